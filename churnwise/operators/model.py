@@ -98,14 +98,16 @@ def feature_names(model: PipelineModel) -> list[str]:
 # F10 / F11 --------------------------------------------------------------------
 def score(model: PipelineModel, df: DataFrame, keep_features: bool = False) -> DataFrame:
     """Add ``predicted_churn``, ``churn_probability`` (leaf mean of class 1) and
-    ``risk_score`` (probability x 100, half-even to 2 digits)."""
+    ``risk_score`` (probability x 100, half-even to 2 digits).  The input
+    columns keep their values; ``keep_features`` adds the encoded features."""
     names = feature_names(model)
-    enc = encode_features(df, names)
-    added = [c for c in enc.columns if c not in df.columns]
+    kept = [c for c in df.columns if c != "churn_probability"]
+    held = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(kept)], *df.columns)
+    enc = encode_features(held, names)
     scored = model.transform(enc)
     p = F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0))
-    keep = list(df.columns) + (added if keep_features else [])
-    return scored.select(*[F.col(c) for c in keep if c != "churn_probability"],
+    extra = [F.col(f) for f in names if f not in df.columns] if keep_features else []
+    return scored.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(kept)], *extra,
                          to_class(p).alias("predicted_churn"),
                          p.alias("churn_probability"),
                          round_even(p * 100, 2).alias("risk_score"))

@@ -564,3 +564,107 @@ SELECT cu.customer_id, cu.churn, round(W.class_weight, 6) AS class_weight
 FROM cu LEFT JOIN W ON cu.churn = W.churn"""))
 def q_balanced_weight(spark, d):
     return rounded(model.balanced_weight(cu(spark, d), "churn").select("customer_id", "churn", "class_weight"))
+
+
+# ---------------------------------------------------------------------------
+# Model queries (F8-F14, F17, A7-A9): fitted trees are not SQL-expressible, so
+# these carry no oracle; tests check their invariants instead.
+# ---------------------------------------------------------------------------
+_MODELS: dict[tuple, object] = {}
+
+
+def fitted_model(spark, d, train_only: bool = False):
+    """The fitted pipeline is reused across queries of one session."""
+    key = (id(spark), d, train_only)
+    if key not in _MODELS:
+        data = cu(spark, d)
+        if train_only:
+            data, _ = model.stratified_split(data)
+        _MODELS[key] = model.train_tree(data)
+    return _MODELS[key]
+
+
+@register("train_evaluate")
+def q_train_evaluate(spark, d):
+    """F6-F8 + D26: fit on the 80 % split, report on the held-out 20 %."""
+    m = fitted_model(spark, d, train_only=True)
+    _, test = model.stratified_split(cu(spark, d))
+    return rounded(model.classification_report(model.score(m, test), "churn", "predicted_churn"))
+
+
+@register("model_scores", headline=True)
+def q_model_scores(spark, d):
+    m = fitted_model(spark, d)
+    return rounded(model.score(m, cu(spark, d)).select(
+        "customer_id", "churn", "predicted_churn", "churn_probability", "risk_score"))
+
+
+@register("model_kpis")
+def q_model_kpis(spark, d):
+    """D13 page variant: predicted rate, high-risk count by score >= 70, mean score."""
+    s = model.score(fitted_model(spark, d), cu(spark, d)).drop("churn")
+    return rounded(stats.kpis(s, churn_col="predicted_churn", prob_col="risk_score", threshold=70.0,
+                              inclusive=True, score_col="risk_score"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    return model.feature_importance(fitted_model(spark, d), spark)
+
+
+@register("customer_factors")
+def q_customer_factors(spark, d):
+    return rounded(model.customer_factors(fitted_model(spark, d), cu(spark, d)))
+
+
+@register("shap_summary")
+def q_shap_summary(spark, d):
+    from churnwise.operators import explain
+    m = fitted_model(spark, d)
+    return explain.shap_summary(explain.shap_values(m, cu(spark, d)))
+
+
+def _scratch(spark, name: str) -> str:
+    import os
+    import uuid
+    from churnwise.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("model_round_trip")
+def q_model_round_trip(spark, d):
+    """Save, load, score; the loaded model must score identically."""
+    from churnwise.sources import io
+    path = _scratch(spark, "model")
+    io.save_model(fitted_model(spark, d), path)
+    return rounded(model.score(io.load_model(path), cu(spark, d)).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score"))
+
+
+@register("stream_scores")
+def q_stream_scores(spark, d):
+    """customers arriving as Parquet files, scored by a streaming query
+    (available-now trigger), read back from the sink."""
+    from churnwise.streaming import scoring
+    src, sink = _scratch(spark, "arrivals"), _scratch(spark, "scores")
+    c = cu(spark, d)
+    c.write.parquet(src)
+    q = scoring.start_scoring(fitted_model(spark, d), scoring.read_customer_stream(spark, src, c.schema),
+                              sink, name=f"scores-{abs(hash(sink))}")
+    q.awaitTermination()
+    return rounded(spark.read.parquet(sink).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score"))
+
+
+@register("csv_round_trip", REGISTRY["quality_checks"].sql)
+def q_csv_round_trip(spark, d):
+    """A1-A4: write the three tables as CSV, read them back with their
+    schemas, and run the check list on the transactions read back."""
+    from churnwise.sources import io
+    path = _scratch(spark, "csv")
+    tables = {"transactions": tx(spark, d), "customers": ct(spark, d), "predictions": preds(spark, d)}
+    io.write_tables(tables, path)
+    back = io.read_tables(spark, path, schemas={k: v.schema for k, v in tables.items()})
+    return rounded(stats.quality_checks(back["transactions"], EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
+                                        MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
+                                        allow_null=["cancellation_date"]))

@@ -31,7 +31,7 @@ def _as_text(schema: T.StructType, names) -> T.StructType:
 
 
 # A2 / A3 ----------------------------------------------------------------------
-def parse_ts(df: DataFrame, col: str, lenient: bool = False, fmt: str | None = None) -> DataFrame:
+def parse_ts(df: DataFrame, col: str, lenient: bool = False, fmt: str | None = TS_FORMAT) -> DataFrame:
     """Text to timestamp (no zone).  Strict raises on a bad value; lenient
     turns it into null."""
     c = F.col(col)
@@ -43,11 +43,17 @@ def parse_ts(df: DataFrame, col: str, lenient: bool = False, fmt: str | None = N
 
 
 # A1 ---------------------------------------------------------------------------
-def read_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The three CSV tables (header, UTF-8, optional byte-order mark)."""
+def read_tables(spark: SparkSession, directory: str,
+                schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
+    """The three CSV tables (header, UTF-8, optional byte-order mark).
+
+    ``schemas`` replaces the declared schemas (for tables bound to other data);
+    their timestamp columns are then parsed strictly."""
     out = {}
-    for name, schema in CSV_SCHEMAS.items():
-        ts = TIMESTAMP_COLUMNS[name]
+    for name, schema in (schemas or CSV_SCHEMAS).items():
+        ts = TIMESTAMP_COLUMNS.get(name, ()) if schemas is None else tuple(
+            (f.name, f.name == "cancellation_date") for f in schema.fields
+            if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)))
         df = (spark.read.schema(_as_text(schema, [c for c, _ in ts]))
               .option("header", True).option("encoding", "UTF-8").option("mode", "FAILFAST")
               .csv(f"{directory.rstrip('/')}/{name}.csv"))
