@@ -42,7 +42,8 @@ def cu(spark, d):
 
 
 def ct(spark, d):
-    return rollups.customer_table(cu(spark, d), tx180(spark, d))
+    # the customer master alone: the churn label is not needed for the table
+    return rollups.customer_table(bindings.customers(spark, d), tx180(spark, d))
 
 
 def preds(spark, d):
