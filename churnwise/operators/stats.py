@@ -318,28 +318,52 @@ def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
                    exact: bool = True) -> DataFrame:
     """The report as ``(section, metric, value)``: table shapes, amount and
     modification statistics, cancellations, the correlation matrix, segment
-    statistics, probability statistics, the risk-level distribution and the
-    check list.  One aggregation per source table plus the grouped sections."""
-    shapes = [table_shape(d, n) for n, d in
-              (("transactions", tx), ("customers", customers), ("predictions", predictions))]
-    parts = [s.select(F.inline(F.array(
-        F.struct(F.lit("shape").alias("section"), F.concat(F.col("table_name"), F.lit(".rows")).alias("metric"),
-                 F.col("rows").cast("double").alias("value")),
-        F.struct(F.lit("shape").alias("section"), F.concat(F.col("table_name"), F.lit(".columns")).alias("metric"),
-                 F.col("columns").cast("double").alias("value"))))) for s in shapes]
-    amount = describe_column(tx, "sales_amount", exact=exact)
-    parts.append(_stack(amount, "sales_amount", ["mean", "std", "min", "max", "median"]))
-    mods = tx.agg(F.avg("modification_count").alias("mean"), F.max("modification_count").alias("max"))
-    parts.append(_stack(mods, "modification_count", ["mean", "max"]))
-    dist = value_counts(tx, "modification_count", sort="value")
+    statistics, probability statistics and the risk-level distribution.
+
+    All transaction-level scalars (shape, moments, modification statistics,
+    cancellations and every correlation pair) come from one aggregation; the
+    median, the modification distribution and the grouped sections are the
+    only other passes over the transactions."""
+    corr_cols = ["sales_amount", "modification_count", "additional_payment", "service_rating",
+                 "transaction_canceled"]
+    pairs = [(a, b) for i, a in enumerate(corr_cols) for b in corr_cols[i:]]
+    one = tx.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg("sales_amount").alias("mean"), F.stddev_samp("sales_amount").alias("std"),
+        F.min("sales_amount").alias("min"), F.max("sales_amount").alias("max"),
+        F.avg("modification_count").alias("mod_mean"), F.max("modification_count").alias("mod_max"),
+        _rate("transaction_canceled").alias("event_rate"), F.sum("transaction_canceled").alias("events"),
+        *[safe_corr(a, b).alias(f"_c_{a}_{b}") for a, b in pairs])
+    med = quantiles(tx, "sales_amount", [0.5], exact=exact).select(F.col("value").alias("median"))
+    one = one.crossJoin(F.broadcast(med))
+
+    def cell(section, metric, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+                        value.cast("double").alias("value"))
+
+    def corr_name(a, b):
+        i, j = sorted((corr_cols.index(a), corr_cols.index(b)))
+        return f"_c_{corr_cols[i]}_{corr_cols[j]}"
+
+    cells = [cell("shape", "transactions.rows", F.col("rows")),
+             cell("shape", "transactions.columns", F.lit(len(tx.columns)))]
+    cells += [cell("sales_amount", m, F.col(m)) for m in ("mean", "std", "min", "max", "median")]
+    cells += [cell("modification_count", "mean", F.col("mod_mean")),
+              cell("modification_count", "max", F.col("mod_max")),
+              cell("cancellations", "event_rate", F.col("event_rate")),
+              cell("cancellations", "events", F.col("events"))]
+    cells += [cell("correlation", f"{a}~{b}", F.col(corr_name(a, b))) for a in corr_cols for b in corr_cols]
+    parts = [one.select(F.inline(F.array(*cells)))]
+    for name, d in (("customers", customers), ("predictions", predictions)):
+        parts.append(table_shape(d, name).select(F.inline(F.array(
+            F.struct(F.lit("shape").alias("section"), F.lit(f"{name}.rows").alias("metric"),
+                     F.col("rows").cast("double").alias("value")),
+            F.struct(F.lit("shape").alias("section"), F.lit(f"{name}.columns").alias("metric"),
+                     F.col("columns").cast("double").alias("value"))))))
+    dist = _keyed(tx, "modification_count").groupBy("modification_count").agg(F.count(F.lit(1)).alias("n"))
     parts.append(dist.select(F.lit("modification_count.distribution").alias("section"),
                              F.col("modification_count").cast("string").alias("metric"),
-                             F.col("count").cast("double").alias("value")))
-    parts.append(_stack(event_rate(tx), "cancellations", ["event_rate", "events"]))
-    corr = correlation_matrix(tx, ["sales_amount", "modification_count", "additional_payment",
-                                   "service_rating", "transaction_canceled"])
-    parts.append(corr.select(F.lit("correlation").alias("section"),
-                             F.concat_ws("~", "col_a", "col_b").alias("metric"), F.col("corr").alias("value")))
+                             F.col("n").cast("double").alias("value")))
     seg = segment_stats(customers)
     seg_metrics = [c for c in seg.columns if c != "customer_segment"]
     parts.append(seg.select(F.inline(F.array(*[
@@ -350,9 +374,9 @@ def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
                            F.stddev_samp("churn_probability").alias("std"),
                            F.min("churn_probability").alias("min"), F.max("churn_probability").alias("max"))
     parts.append(_stack(prob, "churn_probability", ["mean", "std", "min", "max"]))
-    levels = value_counts(predictions, "risk_level")
+    levels = _keyed(predictions, "risk_level").groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
     parts.append(levels.select(F.lit("risk_level").alias("section"), F.col("risk_level").alias("metric"),
-                               F.col("count").cast("double").alias("value")))
+                               F.col("n").cast("double").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -669,3 +669,49 @@ def q_csv_round_trip(spark, d):
     return rounded(stats.quality_checks(back["transactions"], EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
                                         MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
                                         allow_null=["cancellation_date"]))
+
+
+# ---------------------------------------------------------------------------
+# The quality report in long form
+# ---------------------------------------------------------------------------
+def _report_sql() -> str:
+    def r(v):
+        return f"CASE WHEN abs({v}) >= 1e6 THEN round({v}, 2) ELSE round({v}, 6) END"
+
+    parts = []
+    for name, view, ncols in (("transactions", "tx", 11), ("customers", "ct", 8), ("predictions", "preds", 3)):
+        parts.append(f"SELECT 'shape' AS section, '{name}.rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM {view}")
+        parts.append(f"SELECT 'shape', '{name}.columns', CAST({ncols} AS DOUBLE)")
+    for m, e in (("mean", "avg(sales_amount)"), ("std", "stddev_samp(sales_amount)"), ("min", "min(sales_amount)"),
+                 ("max", "max(sales_amount)"), ("median", "quantile_cont(sales_amount, 0.5)")):
+        parts.append(f"SELECT 'sales_amount', '{m}', CAST({e} AS DOUBLE) FROM tx")
+    parts.append("SELECT 'modification_count', 'mean', avg(modification_count) FROM tx")
+    parts.append("SELECT 'modification_count', 'max', CAST(max(modification_count) AS DOUBLE) FROM tx")
+    parts.append("SELECT 'modification_count.distribution', CAST(modification_count AS VARCHAR), "
+                 "CAST(count(*) AS DOUBLE) FROM tx WHERE modification_count IS NOT NULL GROUP BY modification_count")
+    parts.append("SELECT 'cancellations', 'event_rate', avg(CAST(transaction_canceled AS DOUBLE)) FROM tx")
+    parts.append("SELECT 'cancellations', 'events', CAST(sum(transaction_canceled) AS DOUBLE) FROM tx")
+    for a in CORR_COLUMNS:
+        for b in CORR_COLUMNS:
+            parts.append(f"SELECT 'correlation', '{a}~{b}', CASE WHEN isnan(corr({a}, {b})) THEN NULL "
+                         f"ELSE corr({a}, {b}) END FROM tx")
+    for m, e in (("mean_purchase", "avg(total_purchase_amount)"), ("customers", "count(total_purchase_amount)"),
+                 ("total_purchase", "sum(total_purchase_amount)"),
+                 ("mean_modifications", "avg(total_modification_count)"), ("mean_age", "avg(age)")):
+        parts.append(f"SELECT 'segment', customer_segment || '.{m}', CAST({e} AS DOUBLE) FROM ct "
+                     f"WHERE customer_segment IS NOT NULL GROUP BY customer_segment")
+    for m, e in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+        parts.append(f"SELECT 'churn_probability', '{m}', {e}(churn_probability) FROM preds")
+    parts.append("SELECT 'risk_level', risk_level, CAST(count(*) AS DOUBLE) FROM preds "
+                 "WHERE risk_level IS NOT NULL GROUP BY risk_level")
+    body = "ALLROWS AS (" + "\nUNION ALL\n".join(parts) + ")\n"
+    body += f"SELECT section, metric, {r('value')} AS value FROM ALLROWS"
+    return with_ctes(["tx", "ct", "preds"], body)
+
+
+@register("quality_report", _report_sql())
+def q_quality_report(spark, d):
+    rep = stats.quality_report(tx(spark, d), ct(spark, d), preds(spark, d))
+    v = F.col("value")
+    return rep.select("section", "metric",
+                      F.when(F.abs(v) >= 1e6, F.round(v, 2)).otherwise(F.round(v, 6)).alias("value"))
