@@ -6,11 +6,15 @@ entries.  Here the exact answer is found in three distributed steps:
 
 1. one aggregation builds a quantile sketch (``percentile_approx``) and the
    count n per group; the sketch's rank error is at most n/accuracy, so
-   probabilities p +- 2/accuracy bracket the exact order statistics;
-2. rows below and above the bracket collapse into one group each (count and
-   nearest value), rows inside it are counted per distinct value (map-side
-   combined, so a hot value costs nothing extra);
-3. a window over the few distinct values inside each bracket turns counts into
+   probabilities p +- 3/accuracy bracket the exact order statistics;
+2. a narrowing pass sketches only the rows inside each bracket on a grid of
+   ``grid`` + 1 probabilities and keeps the grid cells around the target
+   ranks, so the bracket shrinks by about ``grid`` / 4 (a few thousand rows
+   even for a trillion-row group);
+3. rows below and above the bracket collapse into one partial aggregate
+   each (count and nearest value), rows inside it are counted per distinct
+   value (map-side combined, so a hot value costs nothing extra);
+4. a window over the few distinct values inside each bracket turns counts into
    ranks, from which x[j] and x[j+1] are read and interpolated linearly
    (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
 
@@ -26,10 +30,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+DEFAULT_GRID = 1_000
+NARROW_ACCURACY = 10_000  # rank error m/10^4, a tenth of a grid cell
+
+
+def _narrow(tagged: DataFrame, by: Sequence[str], grid: int, accuracy: int) -> DataFrame:
+    """Shrink each bracket [_lo, _hi] with a grid sketch of the rows inside it.
+
+    With m rows inside and ``below`` rows under it, the target ranks are
+    r = j - below and r + 1 within the bracket; grid value i has rank within
+    i*m/grid +- m/accuracy, so the cells one step outside of those ranks still
+    enclose x[j] and x[j+1].  Grid ends are the exact min and max inside.
+    """
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    inside = (v >= lo) & (v <= hi)
+    grp = [*by, "_i", "p", "_n", "_j", "_frac", "_lo", "_hi"]
+    fracs = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
+    sk = tagged.groupBy(*grp).agg(
+        F.count_if(v < lo).alias("_below"),
+        F.count_if(inside).alias("_m"),
+        F.percentile_approx(F.when(inside, v), fracs, accuracy).alias("_g"))
+    m = F.col("_m").cast("double")
+    slack = m / F.lit(float(accuracy))
+    r0 = F.col("_j") - F.col("_below")
+    i_lo = F.greatest(F.floor((r0 - slack) * grid / m) - 1, F.lit(0))
+    i_hi = F.least(F.ceil((r0 + 1 + slack) * grid / m) + 1, F.lit(grid))
+    ok = F.col("_m") > 0
+    return sk.select(*by, "_i", "p", "_n", "_j", "_frac",
+                     F.when(ok, F.col("_g")[i_lo.cast("int")]).otherwise(F.col("_lo")).alias("_lo"),
+                     F.when(ok, F.col("_g")[i_hi.cast("int")]).otherwise(F.col("_hi")).alias("_hi"))
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-              exact: bool = True, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, refine: bool = True,
+              grid: int = DEFAULT_GRID) -> DataFrame:
     """One row per group and probability: ``(*by, p, value)``; nulls are skipped."""
     by = list(by)
     probs = [float(p) for p in probs]
@@ -57,11 +91,15 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
                         (rank - F.floor(rank)).alias("_frac"),
                         F.col("_q")[F.col("_i")].alias("_lo"),
                         F.col("_q")[F.col("_i") + k].alias("_hi")))
-    if by:
-        tagged = vals.join(brackets, by)
-    else:
+    def attach(b: DataFrame) -> DataFrame:
+        if by:
+            return vals.join(b, by)
         # one row per requested probability: a fixed, tiny broadcast
-        tagged = vals.crossJoin(F.broadcast(brackets))
+        return vals.crossJoin(F.broadcast(b))
+
+    if refine:
+        brackets = _narrow(attach(brackets), by, grid, NARROW_ACCURACY)
+    tagged = attach(brackets)
     # three zones per (group, p): below the bracket, inside it, above it.  Rows
     # outside collapse into one group each (keeping the nearest value), rows
     # inside are counted per distinct value.
