@@ -2,19 +2,21 @@
 
 Spark's exact ``percentile`` merges a value->count map of every distinct value
 into one task per group; at cluster scale that is one task holding billions of
-entries.  Here the exact answer is found in three distributed steps:
+entries.  Here the exact answer is found in distributed steps:
 
 1. one aggregation builds a quantile sketch (``percentile_approx``) and the
    count n per group; the sketch's rank error is at most n/accuracy, so
    probabilities p +- 3/accuracy bracket the exact order statistics;
-2. a narrowing pass sketches only the rows inside each bracket on a grid of
-   ``grid`` + 1 probabilities and keeps the grid cells around the target
-   ranks, so the bracket shrinks by about ``grid`` / 4 (a few thousand rows
-   even for a trillion-row group);
-3. rows below and above the bracket collapse into one partial aggregate
-   each (count and nearest value), rows inside it are counted per distinct
-   value (map-side combined, so a hot value costs nothing extra);
-4. a window over the few distinct values inside each bracket turns counts into
+2. optionally (``refine``) a narrowing pass sketches only the rows inside each
+   bracket on a grid of ``grid`` + 1 probabilities and keeps the grid cells
+   around the target ranks, so the bracket shrinks by about ``grid`` / 4 (a few
+   thousand rows even for a trillion-row group);
+3. one aggregation collapses the rows outside every bracket into a partial
+   aggregate per group and counts rows inside a bracket per distinct value
+   (map-side combined, so a hot value or a hot group costs nothing extra); it
+   also carries, per probability, the count and nearest value below and above;
+4. a window over the distinct values inside each bracket (at most about
+   6 n / accuracy of them, without ``refine``) turns counts into
    ranks, from which x[j] and x[j+1] are read and interpolated linearly
    (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
 
@@ -34,102 +36,140 @@ DEFAULT_GRID = 1_000
 NARROW_ACCURACY = 10_000  # rank error m/10^4, a tenth of a grid cell
 
 
-def _narrow(tagged: DataFrame, by: Sequence[str], grid: int, accuracy: int) -> DataFrame:
-    """Shrink each bracket [_lo, _hi] with a grid sketch of the rows inside it.
+def _narrow(tagged: DataFrame, by: Sequence[str], probs: Sequence[float], grid: int,
+            accuracy: int) -> DataFrame:
+    """Shrink each bracket [lo_i, hi_i] with a grid sketch of the rows inside it.
 
     With m rows inside and ``below`` rows under it, the target ranks are
-    r = j - below and r + 1 within the bracket; grid value i has rank within
-    i*m/grid +- m/accuracy, so the cells one step outside of those ranks still
+    r = j - below and r + 1 within the bracket; grid value g has rank within
+    g*m/grid +- m/accuracy, so the cells one step outside of those ranks still
     enclose x[j] and x[j+1].  Grid ends are the exact min and max inside.
     """
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    inside = (v >= lo) & (v <= hi)
-    grp = [*by, "_i", "p", "_n", "_j", "_frac", "_lo", "_hi"]
-    fracs = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    sk = tagged.groupBy(*grp).agg(
-        F.count_if(v < lo).alias("_below"),
-        F.count_if(inside).alias("_m"),
-        F.percentile_approx(F.when(inside, v), fracs, accuracy).alias("_g"))
-    m = F.col("_m").cast("double")
-    slack = m / F.lit(float(accuracy))
-    r0 = F.col("_j") - F.col("_below")
-    i_lo = F.greatest(F.floor((r0 - slack) * grid / m) - 1, F.lit(0))
-    i_hi = F.least(F.ceil((r0 + 1 + slack) * grid / m) + 1, F.lit(grid))
-    ok = F.col("_m") > 0
-    return sk.select(*by, "_i", "p", "_n", "_j", "_frac",
-                     F.when(ok, F.col("_g")[i_lo.cast("int")]).otherwise(F.col("_lo")).alias("_lo"),
-                     F.when(ok, F.col("_g")[i_hi.cast("int")]).otherwise(F.col("_hi")).alias("_hi"))
+    v = F.col("_v")
+    fracs = F.array(*[F.lit(g / grid) for g in range(grid + 1)])
+    aggs = [F.max("_n").alias("_n")]
+    for i in range(len(probs)):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        inside = (v >= lo) & (v <= hi)
+        aggs += [F.max(lo).alias(f"_lo{i}"), F.max(hi).alias(f"_hi{i}"),
+                 F.count_if(v < lo).alias(f"_b{i}"), F.count_if(inside).alias(f"_m{i}"),
+                 F.percentile_approx(F.when(inside, v), fracs, accuracy).alias(f"_g{i}")]
+    sk = tagged.groupBy(*by).agg(*aggs)
+    new_lo, new_hi = [], []
+    for i, p in enumerate(probs):
+        m = F.col(f"_m{i}").cast("double")
+        slack = m / F.lit(float(accuracy))
+        r0 = F.floor(F.lit(p) * (F.col("_n") - 1)) - F.col(f"_b{i}")
+        g_lo = F.greatest(F.floor((r0 - slack) * grid / m) - 1, F.lit(0)).cast("int")
+        g_hi = F.least(F.ceil((r0 + 1 + slack) * grid / m) + 1, F.lit(grid)).cast("int")
+        ok = F.col(f"_m{i}") > 0
+        new_lo.append(F.when(ok, F.col(f"_g{i}")[g_lo]).otherwise(F.col(f"_lo{i}")))
+        new_hi.append(F.when(ok, F.col(f"_g{i}")[g_hi]).otherwise(F.col(f"_hi{i}")))
+    return sk.select(*by, "_n", F.array(*new_lo).alias("_lo"), F.array(*new_hi).alias("_hi"))
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, refine: bool = True,
+              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, refine: bool = False,
               grid: int = DEFAULT_GRID) -> DataFrame:
-    """One row per group and probability: ``(*by, p, value)``; nulls are skipped."""
+    """One row per group and probability: ``(*by, p, value)``; nulls are skipped.
+
+    ``refine`` adds the narrowing pass: one more pass over the rows, worth it
+    only for groups so large (about 10^11 rows and up) that 6 n / accuracy
+    distinct values no longer sort comfortably in one task."""
     by = list(by)
     probs = [float(p) for p in probs]
     if not probs or any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     k = len(probs)
+    p_arr = F.array(*[F.lit(p) for p in probs])
     if not exact:
-        sketch = vals.groupBy(*by).agg(
-            F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
-        return (sketch.select(*by, F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "p"), "_q")
+        sketch = vals.groupBy(*by).agg(F.percentile_approx("_v", p_arr, accuracy).alias("_q"))
+        return (sketch.select(*by, F.posexplode(p_arr).alias("_i", "p"), "_q")
                 .select(*by, "p", F.col("_q")[F.col("_i")].alias("value")))
 
+    # 1. sketch: one row per group with the k lower and k upper bracket values
     margin = 3.0 / accuracy
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
+    edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     sketch = vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_q"))
-    pos = F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "p")
-    rank = (F.col("p") * (F.col("_n") - 1))
-    brackets = (sketch.select(*by, "_n", "_q", pos)
-                .select(*by, "_i", "p", "_n",
-                        F.floor(rank).alias("_j"),
-                        (rank - F.floor(rank)).alias("_frac"),
-                        F.col("_q")[F.col("_i")].alias("_lo"),
-                        F.col("_q")[F.col("_i") + k].alias("_hi")))
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_q"))
+    brackets = sketch.select(*by, "_n", F.slice("_q", 1, k).alias("_lo"), F.slice("_q", k + 1, k).alias("_hi"))
+
     def attach(b: DataFrame) -> DataFrame:
         if by:
             return vals.join(b, by)
-        # one row per requested probability: a fixed, tiny broadcast
+        # no grouping: the bracket table is exactly one row
         return vals.crossJoin(F.broadcast(b))
 
+    # 2. narrow the brackets
     if refine:
-        brackets = _narrow(attach(brackets), by, grid, NARROW_ACCURACY)
+        brackets = _narrow(attach(brackets), by, probs, grid, NARROW_ACCURACY)
     tagged = attach(brackets)
-    # three zones per (group, p): below the bracket, inside it, above it.  Rows
-    # outside collapse into one group each (keeping the nearest value), rows
-    # inside are counted per distinct value.
+
+    # 3. one pass: rows outside every bracket collapse into one partial aggregate
+    # per group (key null); rows inside some bracket are counted per value.  For
+    # each probability the aggregate also carries the count and nearest value of
+    # the rows below / above its bracket.  Rows are never multiplied by k.
     v = F.col("_v")
-    zone = F.when(v < F.col("_lo"), F.lit(0)).when(v > F.col("_hi"), F.lit(2)).otherwise(F.lit(1))
-    keyed = tagged.select(*by, "_i", "p", "_n", "_j", "_frac", "_v", zone.alias("_zone"),
-                          F.when(zone == 1, v).alias("_key"))
-    grp = [*by, "_i", "p", "_n", "_j", "_frac"]
-    counted = keyed.groupBy(*grp, "_zone", "_key").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_vmax"), F.min("_v").alias("_vmin"))
-    w = (Window.partitionBy(*grp).orderBy("_zone", "_key")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # representative value of a row: nearest-to-bracket value outside, the key inside
-    rep = (F.when(F.col("_zone") == 0, F.col("_vmax")).when(F.col("_zone") == 2, F.col("_vmin"))
-           .otherwise(F.col("_key")))
-    ranked = counted.withColumn("_cum", F.sum("_c").over(w)).withColumn("_rep", rep)
-    j, j1 = F.col("_j"), F.least(F.col("_j") + 1, F.col("_n") - 1)
-    picked = ranked.groupBy(*grp).agg(
+    hits = [(v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]) for i in range(k)]
+    any_hit = hits[0]
+    for h in hits[1:]:
+        any_hit = any_hit | h
+    aggs = [F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"),
+            F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+    for i in range(k):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        aggs += [F.count_if(v < lo).alias(f"_bc{i}"), F.max(F.when(v < lo, v)).alias(f"_bv{i}"),
+                 F.count_if(v > hi).alias(f"_ac{i}"), F.min(F.when(v > hi, v)).alias(f"_av{i}")]
+    stage = tagged.groupBy(*by, F.when(any_hit, v).alias("_key")).agg(*aggs)
+
+    # everything below runs on the small staged rows
+    edges_df = stage.groupBy(*by).agg(
+        F.max("_n").alias("_n"),
+        *[a for i in range(k) for a in (
+            F.sum(f"_bc{i}").alias(f"_bc{i}"), F.max(f"_bv{i}").alias(f"_bv{i}"),
+            F.sum(f"_ac{i}").alias(f"_ac{i}"), F.min(f"_av{i}").alias(f"_av{i}"))])
+    edges_df = edges_df.select(*by, "_n", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_bc{i}").alias("_bc"), F.col(f"_bv{i}").alias("_bv"),
+                 F.col(f"_ac{i}").alias("_ac"), F.col(f"_av{i}").alias("_av")) for i in range(k)])))
+    below = edges_df.select(*by, "_i", "_n", F.lit(0).alias("_zone"), F.col("_bv").alias("_rep"),
+                            F.col("_bc").alias("_c"))
+    above = edges_df.select(*by, "_i", "_n", F.lit(2).alias("_zone"), F.col("_av").alias("_rep"),
+                            F.col("_ac").alias("_c"))
+    key = F.col("_key")
+    inside = (stage.where(key.isNotNull())
+              .select(*by, F.explode(F.array(*[
+                  F.when((key >= F.col("_lo")[i]) & (key <= F.col("_hi")[i]), F.lit(i)) for i in range(k)]))
+                  .alias("_i"), key.alias("_rep"), "_c")
+              .where(F.col("_i").isNotNull())
+              .select(*by, "_i", F.lit(None).cast("long").alias("_n"), F.lit(1).alias("_zone"), "_rep", "_c"))
+
+    # 4. ranks over the (few) rows of each (group, probability)
+    part = Window.partitionBy(*by, "_i")
+    w = part.orderBy("_zone", "_rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (below.unionByName(inside).unionByName(above)
+              .withColumn("_cum", F.sum("_c").over(w)).withColumn("_nn", F.max("_n").over(part)))
+    rank = p_arr[F.col("_i")] * (F.col("_nn") - 1)
+    j = F.floor(rank)
+    j1 = F.least(j + 1, F.col("_nn") - 1)
+    picked = ranked.groupBy(*by, "_i").agg(
+        F.max("_nn").alias("_n"),
         F.min(F.when(F.col("_cum") > j, F.col("_rep"))).alias("_xj"),
         F.min(F.when(F.col("_cum") > j1, F.col("_rep"))).alias("_xj1"),
         F.sum(F.when(F.col("_zone") == 0, F.col("_c"))).alias("_below"),
         F.sum(F.when(F.col("_zone") == 2, F.col("_c"))).alias("_above"))
-    below = F.coalesce(F.col("_below"), F.lit(0))
-    upto = F.col("_n") - F.coalesce(F.col("_above"), F.lit(0))
-    # ranks [0, below) lie below the bracket, [upto, n) above: only the values at
-    # ranks below-1 and upto are known exactly outside it
-    ok = (j >= below - 1) & (j1 <= upto) & F.col("_xj").isNotNull()
-    value = F.col("_xj") + F.col("_frac") * (F.coalesce(F.col("_xj1"), F.col("_xj")) - F.col("_xj"))
+    rank = p_arr[F.col("_i")] * (F.col("_n") - 1)
+    j, frac = F.floor(rank), rank - F.floor(rank)
+    j1 = F.least(j + 1, F.col("_n") - 1)
+    lo_known = F.coalesce(F.col("_below"), F.lit(0)) - 1
+    hi_known = F.col("_n") - F.coalesce(F.col("_above"), F.lit(0))
+    # ranks below the bracket are known only at its edge (the largest value
+    # under it), likewise above: anything else means the bracket missed
+    ok = (j >= lo_known) & (j1 <= hi_known) & F.col("_xj").isNotNull()
+    value = F.col("_xj") + frac * (F.coalesce(F.col("_xj1"), F.col("_xj")) - F.col("_xj"))
     return picked.select(
-        *by, "p",
+        *by, p_arr[F.col("_i")].alias("p"),
         F.when(ok, value).otherwise(
             F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")).alias("value"))
 
