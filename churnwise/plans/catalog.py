@@ -715,3 +715,35 @@ def q_quality_report(spark, d):
     v = F.col("value")
     return rep.select("section", "metric",
                       F.when(F.abs(v) >= 1e6, F.round(v, 2)).otherwise(F.round(v, 6)).alias("value"))
+
+
+@register("dashboard_model_scores")
+def q_dashboard_model_scores(spark, d):
+    """the dashboard form of the tree (depth 5, five features, no weights)."""
+    from churnwise.schemas import DASHBOARD_FEATURES, TreeParams
+    key = (id(spark), d, "dashboard")
+    if key not in _MODELS:
+        _MODELS[key] = model.train_tree(cu(spark, d), params=TreeParams(
+            max_depth=5, min_leaf=1, balanced=False, features=tuple(DASHBOARD_FEATURES)))
+    return rounded(model.score(_MODELS[key], cu(spark, d)).select(
+        "customer_id", "churn", "predicted_churn", "churn_probability", "risk_score"))
+
+
+@register("selected_customer_scores")
+def q_selected_customer_scores(spark, d):
+    """score the customers picked on the dashboard (here: the first one,
+    as the default selection) with the fitted model."""
+    c = cu(spark, d)
+    picked = c.where(F.col("customer_id") == _first_customer(c))
+    return rounded(model.score(fitted_model(spark, d), picked).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score"))
+
+
+@register("chart_json_round_trip", REGISTRY["amount_histogram"].sql)
+def q_chart_json_round_trip(spark, d):
+    """A5: a chart dataset written as JSON lines and read back with its schema."""
+    from churnwise.sources import io
+    path = _scratch(spark, "chart")
+    hist = q_amount_histogram(spark, d)
+    io.write_json(hist, path)
+    return spark.read.schema(hist.schema).json(path)

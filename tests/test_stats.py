@@ -16,19 +16,23 @@ def test_quantile_interpolates(spark):
     assert got == pytest.approx(4.6)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 150, 3000])
-def test_quantiles_match_duckdb(spark, n):
+@pytest.mark.parametrize("n,refine", [(1, False), (2, False), (3, False), (7, False), (150, False),
+                                      (3000, False), (7, True), (3000, True)])
+def test_quantiles_match_duckdb(spark, n, refine):
     rnd = random.Random(n)
     rows = [(rnd.choice("abc"), float(rnd.randint(0, 50)) if rnd.random() > 0.05 else None) for _ in range(n)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.7, 0.9, 1.0]
-    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "x", probs, by=["g"]).collect()}
+    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "x", probs, by=["g"], refine=refine).collect()}
+    glob = {r["p"]: r["value"] for r in quantiles(df, "x", probs, refine=refine).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "x"])  # noqa: F841
     con = duckdb.connect()
     for p in probs:
         for g, v in con.execute(
                 f"SELECT g, quantile_cont(x, {p}) FROM pdf WHERE x IS NOT NULL GROUP BY g").fetchall():
             assert got[(g, p)] == pytest.approx(v, abs=1e-9), (g, p)
+        v = con.execute(f"SELECT quantile_cont(x, {p}) FROM pdf").fetchone()[0]
+        assert glob.get(p) == pytest.approx(v, abs=1e-9) if v is not None else p not in glob
 
 
 def test_correlation_pairs_and_constant(spark):
