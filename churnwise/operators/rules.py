@@ -39,8 +39,11 @@ def rule_score(avg_mods: Column, total_payment: Column, duration_days: Column, a
 
 
 def rule_risk(customers: DataFrame, tx: DataFrame, params: RuleRiskParams = RuleRiskParams(),
-              rating_digits: int | None = 6, include_lowest: bool = False) -> DataFrame:
-    """Predictions table ``(customer_id, churn_probability, risk_level)``.
+              rating_digits: int | None = 6, include_lowest: bool = False,
+              keep: tuple = ()) -> DataFrame:
+    """Predictions table ``(customer_id, churn_probability, risk_level)``, plus
+    the ``keep`` columns of ``customers`` carried through (saves joining the
+    predictions back to the customer table).
 
     ``customers`` is the customer table with ``customer_segment`` (D3); the
     behaviour columns come from the transaction-side rollup only (C2), so a
@@ -50,17 +53,20 @@ def rule_risk(customers: DataFrame, tx: DataFrame, params: RuleRiskParams = Rule
     beh = behaviour_rollup(tx).select(
         "customer_id", "avg_modification_count", F.col("total_additional_payment").alias("tx_payment"),
         "transaction_duration_days", "avg_rating", "total_cancellations")
-    j = customers.select("customer_id", "customer_segment").join(beh, "customer_id", "left")
+    carried = [c for c in keep if c not in ("customer_id", "customer_segment")]
+    j = customers.select("customer_id", "customer_segment", *carried).join(beh, "customer_id", "left")
     rating = F.col("avg_rating")
     if rating_digits is not None:
         rating = F.round(rating, rating_digits)
     score = rule_score(F.col("avg_modification_count"), F.col("tx_payment"),
                        F.col("transaction_duration_days"), rating,
                        F.col("customer_segment"), F.col("total_cancellations"), params)
-    return (j.select("customer_id", score.alias("_p"))
+    extra = [c for c in keep if c != "customer_id"]
+    return (j.select("customer_id", *extra, score.alias("_p"))
             .select("customer_id",
                     round_even("_p", 4).alias("churn_probability"),
-                    cut("_p", RISK_EDGES, RISK_LABELS, include_lowest=include_lowest).alias("risk_level")))
+                    cut("_p", RISK_EDGES, RISK_LABELS, include_lowest=include_lowest).alias("risk_level"),
+                    *extra))
 
 
 # F3 ---------------------------------------------------------------------------

@@ -363,7 +363,10 @@ FROM V JOIN FN ON V.g = FN.g GROUP BY V.g, q1, med, q3, iqr""")
 
 
 def _box(spark, d, col, scale):
-    j = ct(spark, d).join(preds(spark, d).select("customer_id", "churn_probability"), "customer_id")
+    from churnwise.session import materialize
+    j = rules.rule_risk(ct(spark, d), tx180(spark, d), keep=("customer_segment", "total_purchase_amount"))
+    # the box summary reads its input in four passes: write it once
+    j = materialize(j.select("customer_segment", col))
     return stats.box_summary(j, "customer_segment", col, scale=scale, order=SEGMENT_LABELS)
 
 

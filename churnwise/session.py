@@ -52,3 +52,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="churnwise-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write a derived DataFrame once to the shared checkpoint folder and cut
+    its lineage, for operators that read their input in several passes.  A
+    reliable checkpoint (never ``localCheckpoint``): lost executors re-read
+    the written files instead of recomputing the plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
