@@ -33,13 +33,23 @@ def customer_rollup(tx: DataFrame) -> DataFrame:
 
 
 # D2 ---------------------------------------------------------------------------
-def behaviour_rollup(tx: DataFrame) -> DataFrame:
+def exact_mean(col: str, scale: int = 6):
+    """Mean of values with at most ``scale`` decimals, summed as integers: the
+    result does not depend on summation order (partitioning), so thresholds on
+    it are reproducible.  Exact while the scaled sum stays below 2^53."""
+    units = F.round(F.col(col) * F.lit(10.0 ** scale)).cast("long")
+    return F.sum(units).cast("double") / F.count(units) / F.lit(10.0 ** scale)
+
+
+def behaviour_rollup(tx: DataFrame, rating_scale: int = 6) -> DataFrame:
+    """Per customer behaviour; the mean rating is exact for ratings with at most
+    ``rating_scale`` decimals (see ``exact_mean``)."""
     g = tx.groupBy("customer_id").agg(
         F.avg("modification_count").alias("avg_modification_count"),
         F.sum("modification_count").alias("total_modification_count"),
         F.avg("additional_payment").alias("avg_additional_payment"),
         F.sum("additional_payment").alias("total_additional_payment"),
-        F.avg("service_rating").alias("avg_rating"),
+        exact_mean("service_rating", rating_scale).alias("avg_rating"),
         F.sum("transaction_canceled").alias("total_cancellations"),
         F.min("transaction_date").alias("first_transaction_date"),
         F.max("transaction_date").alias("last_transaction_date"),

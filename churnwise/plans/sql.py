@@ -77,7 +77,8 @@ _CTE = {
         CAST(sum(modification_count) AS BIGINT) AS total_modification_count,
         avg(additional_payment) AS avg_additional_payment,
         sum(additional_payment) AS total_additional_payment,
-        avg(service_rating) AS avg_rating,
+        CAST(sum(CAST(round(service_rating * 1000000.0::DOUBLE) AS BIGINT)) AS DOUBLE)
+          / count(CAST(round(service_rating * 1000000.0::DOUBLE) AS BIGINT)) / 1000000.0::DOUBLE AS avg_rating,
         CAST(sum(transaction_canceled) AS BIGINT) AS total_cancellations,
         min(transaction_date) AS first_transaction_date, max(transaction_date) AS last_transaction_date,
         count(*) AS transaction_count, sum(sales_amount) AS total_sales,

@@ -1,13 +1,12 @@
 """Every registered query with an SQL twin agrees with DuckDB at sf0.001."""
 
 import duckdb
-import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from churnwise.sources.bindings import TABLES
 from conftest import SF_SMALL
-from tools.check_oracle import digest
+from tools.check_oracle import _frame, digest
 
 SQL = oracle_sql()
 
@@ -29,8 +28,9 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_duckdb(spark, con, name):
     sdf = queries()[name](spark, SF_SMALL)
-    pdf = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns)
-    odf = con.execute(SQL[name]).fetchdf()
+    pdf = _frame([tuple(r) for r in sdf.collect()], sdf.columns)
+    cur = con.execute(SQL[name])
+    odf = _frame(cur.fetchall(), [c[0] for c in cur.description])
     assert digest(pdf)[:3] == digest(odf)[:3]
 
 
