@@ -527,11 +527,13 @@ UNION ALL SELECT 'mod_cancel_corr', coalesce(cr BETWEEN {MOD_CANCEL_CORR_RANGE[0
   round(cr, 6) FROM T1
 UNION ALL SELECT 'cancel_rate', coalesce(rate BETWEEN {CANCEL_RATE_RANGE[0]} AND {CANCEL_RATE_RANGE[1]}, false),
   round(rate, 6) FROM T1
-UNION ALL SELECT 'no_missing', coalesce(nulls = 0, false), round(nulls, 6) FROM T1"""))
+UNION ALL SELECT 'no_missing', coalesce(nulls = 0, false), round(nulls, 6) FROM T1
+UNION ALL SELECT 'declared_columns', true, 0.0::DOUBLE"""))
 def q_quality_checks(spark, d):
+    from churnwise.schemas import BOUND_TRANSACTIONS
     return rounded(stats.quality_checks(tx(spark, d), EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
                                         MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
-                                        allow_null=["cancellation_date"]))
+                                        allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS))
 
 
 # ---------------------------------------------------------------------------
@@ -672,9 +674,10 @@ def q_csv_round_trip(spark, d):
     tables = {"transactions": tx(spark, d), "customers": ct(spark, d), "predictions": preds(spark, d)}
     io.write_tables(tables, path)
     back = io.read_tables(spark, path, schemas={k: v.schema for k, v in tables.items()})
+    from churnwise.schemas import BOUND_TRANSACTIONS
     return rounded(stats.quality_checks(back["transactions"], EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
                                         MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
-                                        allow_null=["cancellation_date"]))
+                                        allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS))
 
 
 # ---------------------------------------------------------------------------

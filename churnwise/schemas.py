@@ -45,6 +45,22 @@ PREDICTIONS = T.StructType([
     T.StructField("risk_level", T.StringType(), True),
 ])
 
+# Transactions as bound to the driver's tables (FIXTURES.md section 2): numeric
+# keys, amounts as double; the quality check verifies these names and types.
+BOUND_TRANSACTIONS = T.StructType([
+    T.StructField("transaction_id", T.LongType()),
+    T.StructField("customer_id", T.LongType()),
+    T.StructField("seller_id", T.LongType()),
+    T.StructField("transaction_date", T.TimestampNTZType()),
+    T.StructField("sales_amount", T.DoubleType()),
+    T.StructField("service_category", T.StringType()),
+    T.StructField("modification_count", T.IntegerType()),
+    T.StructField("additional_payment", T.DoubleType()),
+    T.StructField("service_rating", T.DoubleType()),
+    T.StructField("transaction_canceled", T.IntegerType()),
+    T.StructField("cancellation_date", T.TimestampNTZType()),
+])
+
 # CSV tables as written by the table builder; the two timestamp columns that
 # may hold unparseable text are read as strings and converted afterwards.
 CSV_SCHEMAS = {"transactions": TRANSACTIONS, "customers": CUSTOMERS, "predictions": PREDICTIONS}
