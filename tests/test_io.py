@@ -48,3 +48,15 @@ def test_write_read_round_trip(spark):
     assert back.collect() == df.collect()
     io.write_json(df, f"{d}/json")
     assert spark.read.json(f"{d}/json").count() == 1
+
+
+def test_write_report_text(spark):
+    from churnwise.operators.stats import quality_report
+    from churnwise.plans import catalog
+    from conftest import SF_SMALL
+    d = tempfile.mkdtemp(prefix="cw-rep-")
+    rep = quality_report(catalog.tx(spark, SF_SMALL), catalog.ct(spark, SF_SMALL), catalog.preds(spark, SF_SMALL))
+    io.write_report(rep, f"{d}/report")
+    lines = [r[0] for r in spark.read.text(f"{d}/report").collect()]
+    assert len(lines) == rep.count()
+    assert any(line.startswith("shape | transactions.rows | ") for line in lines)
