@@ -98,3 +98,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def hash_bucket(columns: list[Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def usable_vector(vector: Column) -> Column:
+    """True for vectors that are not null, not zero and hold finite components only."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    some = F.exists(vector, lambda x: x != 0)
+    return F.coalesce(finite & some, F.lit(False))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """An Arrow column of equally long vectors as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)

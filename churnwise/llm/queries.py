@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.llm import (language_id, license_scan, mixing, packing, quality, sharding, simhash)
+from churnwise.llm import (cross_polytope, embedding_dedup, language_id, license_scan, mixing, packing, quality,
+                           sharding, simhash)
 from churnwise.sources.bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,16 @@ def op8_simhash(spark, d):
 def op9_mixing(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"), TARGET_WEIGHTS)
     return mixed.select("doc_id", "source", "mix_source", "block", "release", "deadline", "slot", "place", "on_target")
+
+
+@register
+def op7_embedding_dedup(spark, d):
+    linked = embedding_dedup.link(table(spark, d, "embeddings"))
+    return linked.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+@register
+def op10_nearest(spark, d):
+    rows = table(spark, d, "embeddings")
+    return cross_polytope.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
