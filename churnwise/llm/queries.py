@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnwise.llm import (cross_polytope, embedding_dedup, language_id, license_scan, mixing, packing, quality,
-                           sharding, simhash)
+                           sharding, simhash, suffix_dedup)
 from churnwise.sources.bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op7_embedding_dedup(spark, d):
 def op10_nearest(spark, d):
     rows = table(spark, d, "embeddings")
     return cross_polytope.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@register
+def op6_suffix_dedup(spark, d):
+    cut = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

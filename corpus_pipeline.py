@@ -14,14 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.llm import mixing, packing, quality, simhash
+from churnwise.llm import mixing, packing, quality, simhash, suffix_dedup
 from churnwise.llm.common import written
 from churnwise.llm.queries import TARGET_WEIGHTS, section, tokenizer
 from churnwise.sources.bindings import table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     out = quality.classify(docs, table(spark, sf_dir, "labels"), *section(docs))
@@ -33,6 +30,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without the passages that a document with a smaller id has."""
+    cut = suffix_dedup.remove_repeats(docs)
+    rest = cut.withColumn("text", F.when(F.col("n_removed") > 0, suffix_dedup.kept_text(F.col("kept")))
+                          .otherwise(F.col("text")))
+    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; the rows come in the order of the mix."""
     mixed = mixing.mix(docs, TARGET_WEIGHTS)
@@ -49,6 +54,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
