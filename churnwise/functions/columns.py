@@ -36,8 +36,9 @@ def round_even(col, digits: int = 0) -> Column:
 
 
 # G4 -------------------------------------------------------------------------
-def scale(col, factor: float) -> Column:
-    return _c(col) * F.lit(factor)
+def per_unit(col, divisor: float) -> Column:
+    """The value in a larger unit: an amount of 2,500,000 with 1e6 is 2.5."""
+    return _c(col).cast("double") / F.lit(float(divisor))
 
 
 # G5 -------------------------------------------------------------------------
@@ -125,15 +126,16 @@ def thousands(col, decimals: int = 0) -> Column:
 
 
 # G15 ------------------------------------------------------------------------
-def title_case_name(name: str) -> str:
-    """snake_case header to Title Case (applied to schema names, not data)."""
-    return " ".join(part.capitalize() for part in name.split("_"))
-
-
 def title_case(col) -> Column:
+    """snake_case name to Title Case."""
     return F.initcap(F.regexp_replace(_c(col), "_", " "))
 
 
+def upper_name(col) -> Column:
+    """snake_case name in capitals, as the factor headings show it."""
+    return F.upper(F.regexp_replace(_c(col), "_", " "))
+
+
 # G16 ------------------------------------------------------------------------
 def padded_key(col, prefix: str = "CUST_", width: int = 5) -> Column:
     return F.format_string(f"{prefix}%0{width}d", _c(col))
@@ -177,4 +179,5 @@ def numeric_columns(df: DataFrame, exclude: Iterable[str] = ("customer_id",)) ->
 
 # B11 --------------------------------------------------------------------------
 def as_of_stamp(as_of) -> Column:
-    return F.lit(as_of).alias("as_of")
+    """The as-of moment of a report as a column, from a value or a scalar subquery."""
+    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).alias("as_of")

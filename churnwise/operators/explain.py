@@ -15,8 +15,6 @@ attributions add up exactly: base value + sum of SHAP values = prediction.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.operators.model import encode_features, feature_names
-from churnwise.session import checkpoint_dir
+from churnwise.session import scratch_path
 
 
 def tree_nodes(model: PipelineModel, spark) -> dict:
     """Node arrays of the fitted tree: children, split feature and threshold,
     cover (weighted count) and leaf value, indexed by node id."""
-    path = os.path.join(checkpoint_dir(spark), f"tree-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "tree")
     model.stages[-1].write().overwrite().save(path)
     rows = (spark.read.parquet(f"{path}/data")
             .select("id", "prediction", F.col("impurityStats")[0].alias("cover"), "leftChild", "rightChild",

@@ -49,7 +49,7 @@ def top_risk(df: DataFrame, n: int = 10, prob_col: str = "churn_probability",
 
 
 # E2 ---------------------------------------------------------------------------
-HIGH_RISK_COLUMNS = ("customer_id", "age", "region", "subscription_type", "total_spent",
+HIGH_RISK_COLUMNS = ("customer_id", "region", "subscription_type", "total_orders", "last_order_days",
                      "risk_score", "churn_probability")
 
 

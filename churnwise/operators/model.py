@@ -15,10 +15,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.functions.columns import encode, equals_flag, round_even, to_class
+from churnwise.operators.quantiles import quantiles
 from churnwise.schemas import (COMPANY_LABEL, FEATURES, REGION_CODES, REGION_DEFAULT,
                                SUBSCRIPTION_CODES, SUBSCRIPTION_DEFAULT, TreeParams)
 
@@ -48,31 +49,43 @@ def encode_features(df: DataFrame, features: Sequence[str] = FEATURES,
 
 # F6 ---------------------------------------------------------------------------
 def split_hash(key: str = "customer_id", seed: int = 42) -> Column:
-    """0..99 from the first 32 bits of md5(key || '|' || seed); DuckDB computes
-    the same value, and no shuffle or sort is needed."""
+    """The first 52 bits of md5(key || '|' || seed) as a double (exact); DuckDB computes the
+    same value."""
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(100)).cast("int")
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 
 
 def stratified_split(df: DataFrame, key: str = "customer_id", test: float = 0.2,
-                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): a row is in test when its key hash falls below the test
-    share; independent of the label, so every class keeps the proportion in
-    expectation, and the split is repeatable on any partitioning."""
-    cut = int(round(test * 100))
-    is_test = split_hash(key, seed) < F.lit(cut)
-    return df.where(~is_test), df.where(is_test)
+                     seed: int = 42, label: str = "churn") -> tuple[DataFrame, DataFrame]:
+    """(train, test): of each class the rows whose key hash is at most the class's ``test``
+    quantile of the hash, which is that share of its rows to within one row.
+
+    The split depends on keys and labels only, so it is repeatable on any partitioning.
+    Rows with a null label are split as a class of their own."""
+    rows = df.withColumn("_h", split_hash(key, seed)).withColumn("_class", F.coalesce(
+        F.col(label).cast("string"), F.lit("null label")))
+    cuts = quantiles(rows, "_h", [test], by=["_class"]).select("_class", F.col("value").alias("_cut"))
+    limit = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_class", "_cut")))).scalar()  # an entry per class
+    marked = rows.withColumn("_test", F.col("_h") <= F.try_element_at(limit, F.col("_class")))
+    return (marked.where(~F.col("_test")).drop("_h", "_class", "_test"),
+            marked.where(F.col("_test")).drop("_h", "_class", "_test"))
 
 
 # F7 ---------------------------------------------------------------------------
+MOST_CLASSES = 1000
+
+
 def balanced_weight(df: DataFrame, label: str = "churn", out: str = WEIGHT) -> DataFrame:
-    """Add n / (k * n_class).  The class table has one row per label value
-    (two for churn), so it is broadcast; the window runs over those k rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.partitionBy(F.lit(0))
-    weights = counts.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
-                            .alias(out))
-    return df.join(F.broadcast(weights), label, "left")
+    """Add n / (k * n_class).  The weights are one map with an entry per label value,
+    read as a scalar, so no row is exchanged; more than ``MOST_CLASSES`` values raise."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    few = F.when(F.count(F.lit(1)) <= MOST_CLASSES, F.count(F.lit(1))).otherwise(
+        F.raise_error(F.lit(f"more than {MOST_CLASSES} classes in {label}")).cast("long"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("_nc"))))
+    one = counts.agg(F.transform_values(entries, lambda _, v: F.lit(1.0) / v).alias("_inv"),
+                     (F.sum("_nc") / few).alias("_share"))
+    weight = one.select(F.transform_values("_inv", lambda _, v: F.col("_share") * v)).scalar()
+    return df.withColumn(out, F.try_element_at(weight, F.col(label)))
 
 
 # F8 / F9 ----------------------------------------------------------------------

@@ -1,177 +1,129 @@
 """Exact interpolated quantiles that stay distributed.
 
-Spark's exact ``percentile`` merges a value->count map of every distinct value
-into one task per group; at cluster scale that is one task holding billions of
-entries.  Here the exact answer is found in distributed steps:
-
-1. one aggregation builds a quantile sketch (``percentile_approx``) and the
-   count n per group; the sketch's rank error is at most n/accuracy, so
-   probabilities p +- 3/accuracy bracket the exact order statistics;
-2. optionally (``refine``) a narrowing pass sketches only the rows inside each
-   bracket on a grid of ``grid`` + 1 probabilities and keeps the grid cells
-   around the target ranks, so the bracket shrinks by about ``grid`` / 4 (a few
-   thousand rows even for a trillion-row group);
-3. one aggregation collapses the rows outside every bracket into a partial
-   aggregate per group and counts rows inside a bracket per distinct value
-   (map-side combined, so a hot value or a hot group costs nothing extra); it
-   also carries, per probability, the count and nearest value below and above;
-4. a window over the distinct values inside each bracket (at most about
-   6 n / accuracy of them, without ``refine``) turns counts into
-   ranks, from which x[j] and x[j+1] are read and interpolated linearly
+Spark's exact ``percentile`` merges a value->count map of every distinct value into one
+task per group; at cluster scale that is one task holding billions of entries.  Here the
+exact answer takes two passes over the rows:
+
+1. Rows are counted per group and logarithmic bin, a monotone integer of the value with
+   ``BINS_PER_E`` bins per factor e.  Counts, smallest and largest value (and, on request,
+   moments) are combined map-side; a running sum over the bins of a group finds the bin
+   that holds each wanted rank.  The bins of a group are at most a few million whatever the
+   number of rows.
+2. Rows of the wanted bins (about n / BINS_PER_E of a group's rows) are counted per distinct
+   value; a running sum gives x[j] and x[j+1], which are interpolated linearly
    (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
 
-If a bracket ever failed to contain the answer the query raises instead of
-returning a wrong value.  ``exact=False`` returns the sketch values directly.
+Nulls and NaN are skipped; without any value the quantiles are null.  ``exact=False``
+returns the values of a sketch instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
-DEFAULT_GRID = 1_000
-NARROW_ACCURACY = 10_000  # rank error m/10^4, a tenth of a grid cell
-
-
-def _narrow(tagged: DataFrame, by: Sequence[str], probs: Sequence[float], grid: int,
-            accuracy: int) -> DataFrame:
-    """Shrink each bracket [lo_i, hi_i] with a grid sketch of the rows inside it.
-
-    With m rows inside and ``below`` rows under it, the target ranks are
-    r = j - below and r + 1 within the bracket; grid value g has rank within
-    g*m/grid +- m/accuracy, so the cells one step outside of those ranks still
-    enclose x[j] and x[j+1].  Grid ends are the exact min and max inside.
-    """
+DEFAULT_ACCURACY = 10_000
+BINS_PER_E = 10_000
+# ln of the smallest double is -744.4, so this makes the bin of every positive value positive
+BIN_SHIFT = 8_000_000
+BROADCAST_TARGETS = 100_000  # (group, probability) rows broadcast at most
+
+
+def value_bin(v: Column) -> Column:
+    """A long that never decreases as ``v`` grows; 0 for zero, infinities at the ends."""
+    size = F.least(F.floor(F.log(F.abs(v)) * F.lit(float(BINS_PER_E))), F.lit(BIN_SHIFT)) + F.lit(BIN_SHIFT)
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def _targets(vals: DataFrame, by: Sequence[str], probs: Sequence[float], moments: bool) -> DataFrame:
+    """One row per group and probability: the bin of rank j = floor(p(n-1)) and what is
+    known about it."""
+    aggs = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    if moments:
+        aggs += [F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s2")]
+    bins = vals.groupBy(*by, "_bin").agg(*aggs)
+    group = Window.partitionBy(*by)
+    order = group.orderBy("_bin")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = F.col("_c")
+    cols = [F.sum("_c").over(group).alias("_n"), (F.sum("_c").over(running) - c).alias("_before"),
+            F.lead("_lo").over(order).alias("_next")]
+    if moments:
+        mean = F.sum(c * F.col("_m")).over(group) / F.sum("_c").over(group)
+        cols += [mean.alias("_mean"), F.min("_lo").over(group).alias("_min"), F.max("_hi").over(group).alias("_max")]
+    out = bins.select(*bins.columns, *cols)
+    kept = ["_n", "_before", "_c", "_hi", "_next"]
+    if moments:
+        off = F.col("_m") - F.col("_mean")
+        out = out.withColumn("_ss", F.sum(c * (F.col("_s2") + off * off)).over(group))
+        std = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
+        out = out.withColumn("_std", std)
+        kept += ["_mean", "_std", "_min", "_max"]
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.floor(F.lit(p) * (F.col("_n") - 1)).alias("_j"),
+                                F.lit(p).alias("_p")) for i, p in enumerate(probs)])
+    hit = F.filter(wanted, lambda t: (t["_j"] >= F.col("_before")) & (t["_j"] < F.col("_before") + F.col("_c")))
+    return out.select(*by, "_bin", *kept, F.inline(hit))
+
+
+def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str], moments: bool,
+            broadcast: bool) -> DataFrame:
     v = F.col("_v")
-    fracs = F.array(*[F.lit(g / grid) for g in range(grid + 1)])
-    aggs = [F.max("_n").alias("_n")]
-    for i in range(len(probs)):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        inside = (v >= lo) & (v <= hi)
-        aggs += [F.max(lo).alias(f"_lo{i}"), F.max(hi).alias(f"_hi{i}"),
-                 F.count_if(v < lo).alias(f"_b{i}"), F.count_if(inside).alias(f"_m{i}"),
-                 F.percentile_approx(F.when(inside, v), fracs, accuracy).alias(f"_g{i}")]
-    sk = tagged.groupBy(*by).agg(*aggs)
-    new_lo, new_hi = [], []
-    for i, p in enumerate(probs):
-        m = F.col(f"_m{i}").cast("double")
-        slack = m / F.lit(float(accuracy))
-        r0 = F.floor(F.lit(p) * (F.col("_n") - 1)) - F.col(f"_b{i}")
-        g_lo = F.greatest(F.floor((r0 - slack) * grid / m) - 1, F.lit(0)).cast("int")
-        g_hi = F.least(F.ceil((r0 + 1 + slack) * grid / m) + 1, F.lit(grid)).cast("int")
-        ok = F.col(f"_m{i}") > 0
-        new_lo.append(F.when(ok, F.col(f"_g{i}")[g_lo]).otherwise(F.col(f"_lo{i}")))
-        new_hi.append(F.when(ok, F.col(f"_g{i}")[g_hi]).otherwise(F.col(f"_hi{i}")))
-    return sk.select(*by, "_n", F.array(*new_lo).alias("_lo"), F.array(*new_hi).alias("_hi"))
+    vals = (df.select(*by, F.col(col).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+            .withColumn("_bin", value_bin(v)))
+    targets = _targets(vals, by, probs, moments)
+    if broadcast:
+        rows = F.count(F.lit(1)).over(Window.partitionBy())
+        few = F.when(rows <= BROADCAST_TARGETS, F.col("_bin")).otherwise(F.raise_error(F.lit(
+            f"more than {BROADCAST_TARGETS} groups and probabilities: pass broadcast=False")).cast("long"))
+        targets = F.broadcast(targets.withColumn("_bin", few) if by else targets)
+    keys = [*by, "_bin"]
+    carried = [c for c in targets.columns if c not in keys]
+    counts = vals.join(targets, keys).groupBy(*keys, *carried, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    one = Window.partitionBy(*by, "_i")
+    upto = F.col("_before") + F.sum("_k").over(one.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("_upto", upto)
+    held = [c for c in carried if c not in ("_i", "_p")]
+    picked = ranked.groupBy(*by, "_i").agg(
+        F.first("_p").alias("p"), *[F.first(c).alias(c) for c in held],
+        F.min(F.when(F.col("_upto") > F.col("_j"), v)).alias("_x"),
+        F.min(F.when(F.col("_upto") > F.col("_j") + 1, v)).alias("_x1"))
+    frac = F.col("p") * (F.col("_n") - 1) - F.col("_j")
+    above = F.coalesce("_x1", "_next", "_x")
+    # equal neighbours need no arithmetic (and infinities would give NaN)
+    value = F.when((frac == 0) | (above == F.col("_x")), F.col("_x")).otherwise(
+        F.col("_x") + frac * (above - F.col("_x")))
+    return picked.withColumn("value", value)
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, refine: bool = False,
-              grid: int = DEFAULT_GRID) -> DataFrame:
-    """One row per group and probability: ``(*by, p, value)``; nulls are skipped.
+              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, broadcast: bool = True) -> DataFrame:
+    """One row per group and probability: ``(*by, p, value)``; nulls and NaN are skipped.
 
-    ``refine`` adds the narrowing pass: one more pass over the rows, worth it
-    only for groups so large (about 10^11 rows and up) that 6 n / accuracy
-    distinct values no longer sort comfortably in one task."""
+    Without ``by`` there is a row per probability even when there are no values.  The
+    wanted bins (groups times probabilities) are broadcast so that no row is exchanged
+    before it is counted; beyond ``BROADCAST_TARGETS`` of them pass ``broadcast=False``,
+    which joins by group and bin.
+    """
     by = list(by)
     probs = [float(p) for p in probs]
     if not probs or any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
-    vals = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    k = len(probs)
-    p_arr = F.array(*[F.lit(p) for p in probs])
-    if not exact:
-        sketch = vals.groupBy(*by).agg(F.percentile_approx("_v", p_arr, accuracy).alias("_q"))
-        return (sketch.select(*by, F.posexplode(p_arr).alias("_i", "p"), "_q")
-                .select(*by, "p", F.col("_q")[F.col("_i")].alias("value")))
-
-    # 1. sketch: one row per group with the k lower and k upper bracket values
-    margin = 3.0 / accuracy
-    edges = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketch = vals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_q"))
-    brackets = sketch.select(*by, "_n", F.slice("_q", 1, k).alias("_lo"), F.slice("_q", k + 1, k).alias("_hi"))
-
-    def attach(b: DataFrame) -> DataFrame:
-        if by:
-            return vals.join(b, by)
-        # no grouping: the bracket table is exactly one row
-        return vals.crossJoin(F.broadcast(b))
-
-    # 2. narrow the brackets
-    if refine:
-        brackets = _narrow(attach(brackets), by, probs, grid, NARROW_ACCURACY)
-    tagged = attach(brackets)
-
-    # 3. one pass: rows outside every bracket collapse into one partial aggregate
-    # per group (key null); rows inside some bracket are counted per value.  For
-    # each probability the aggregate also carries the count and nearest value of
-    # the rows below / above its bracket.  Rows are never multiplied by k.
-    v = F.col("_v")
-    hits = [(v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]) for i in range(k)]
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    aggs = [F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"),
-            F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
-    for i in range(k):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        aggs += [F.count_if(v < lo).alias(f"_bc{i}"), F.max(F.when(v < lo, v)).alias(f"_bv{i}"),
-                 F.count_if(v > hi).alias(f"_ac{i}"), F.min(F.when(v > hi, v)).alias(f"_av{i}")]
-    stage = tagged.groupBy(*by, F.when(any_hit, v).alias("_key")).agg(*aggs)
-
-    # everything below runs on the small staged rows
-    edges_df = stage.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        *[a for i in range(k) for a in (
-            F.sum(f"_bc{i}").alias(f"_bc{i}"), F.max(f"_bv{i}").alias(f"_bv{i}"),
-            F.sum(f"_ac{i}").alias(f"_ac{i}"), F.min(f"_av{i}").alias(f"_av{i}"))])
-    edges_df = edges_df.select(*by, "_n", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.col(f"_bc{i}").alias("_bc"), F.col(f"_bv{i}").alias("_bv"),
-                 F.col(f"_ac{i}").alias("_ac"), F.col(f"_av{i}").alias("_av")) for i in range(k)])))
-    below = edges_df.select(*by, "_i", "_n", F.lit(0).alias("_zone"), F.col("_bv").alias("_rep"),
-                            F.col("_bc").alias("_c"))
-    above = edges_df.select(*by, "_i", "_n", F.lit(2).alias("_zone"), F.col("_av").alias("_rep"),
-                            F.col("_ac").alias("_c"))
-    key = F.col("_key")
-    inside = (stage.where(key.isNotNull())
-              .select(*by, F.explode(F.array(*[
-                  F.when((key >= F.col("_lo")[i]) & (key <= F.col("_hi")[i]), F.lit(i)) for i in range(k)]))
-                  .alias("_i"), key.alias("_rep"), "_c")
-              .where(F.col("_i").isNotNull())
-              .select(*by, "_i", F.lit(None).cast("long").alias("_n"), F.lit(1).alias("_zone"), "_rep", "_c"))
-
-    # 4. ranks over the (few) rows of each (group, probability)
-    part = Window.partitionBy(*by, "_i")
-    w = part.orderBy("_zone", "_rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (below.unionByName(inside).unionByName(above)
-              .withColumn("_cum", F.sum("_c").over(w)).withColumn("_nn", F.max("_n").over(part)))
-    rank = p_arr[F.col("_i")] * (F.col("_nn") - 1)
-    j = F.floor(rank)
-    j1 = F.least(j + 1, F.col("_nn") - 1)
-    picked = ranked.groupBy(*by, "_i").agg(
-        F.max("_nn").alias("_n"),
-        F.min(F.when(F.col("_cum") > j, F.col("_rep"))).alias("_xj"),
-        F.min(F.when(F.col("_cum") > j1, F.col("_rep"))).alias("_xj1"),
-        F.sum(F.when(F.col("_zone") == 0, F.col("_c"))).alias("_below"),
-        F.sum(F.when(F.col("_zone") == 2, F.col("_c"))).alias("_above"))
-    rank = p_arr[F.col("_i")] * (F.col("_n") - 1)
-    j, frac = F.floor(rank), rank - F.floor(rank)
-    j1 = F.least(j + 1, F.col("_n") - 1)
-    lo_known = F.coalesce(F.col("_below"), F.lit(0)) - 1
-    hi_known = F.col("_n") - F.coalesce(F.col("_above"), F.lit(0))
-    # ranks below the bracket are known only at its edge (the largest value
-    # under it), likewise above: anything else means the bracket missed
-    ok = (j >= lo_known) & (j1 <= hi_known) & F.col("_xj").isNotNull()
-    value = F.col("_xj") + frac * (F.coalesce(F.col("_xj1"), F.col("_xj")) - F.col("_xj"))
-    return picked.select(
-        *by, p_arr[F.col("_i")].alias("p"),
-        F.when(ok, value).otherwise(
-            F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")).alias("value"))
+    if exact:
+        picked = _picked(df, col, probs, by, False, broadcast).select(*by, "_i", "p", "value")
+    else:
+        v = F.col(col).cast("double")
+        vals = df.select(*by, v.alias("_v")).where(~F.isnan(v) & v.isNotNull())
+        sketch = vals.groupBy(*by).agg(
+            F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
+        picked = sketch.select(*by, F.posexplode("_q").alias("_i", "value")).withColumn(
+            "p", F.array(*[F.lit(p) for p in probs])[F.col("_i")])
+    if by:
+        return picked.select(*by, "p", "value")
+    one = picked.agg(*[F.max(F.when(F.col("_i") == i, F.col("value"))).alias(f"_v{i}") for i in range(len(probs))])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(f"_v{i}").alias("value")) for i, p in enumerate(probs)])))
 
 
 def quantile_row(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str],
@@ -182,5 +134,13 @@ def quantile_row(df: DataFrame, col: str, probs: Sequence[float], names: Sequenc
                    for p, n in zip(probs, names)])
 
 
+def moments_and_median(df: DataFrame, col: str) -> DataFrame:
+    """One row (mean, std, min, max, median) in the two passes of the median; nulls when
+    there are no values."""
+    picked = _picked(df, col, [0.5], [], True, True)
+    return picked.agg(*[F.max(c).alias(n) for c, n in (
+        ("_mean", "mean"), ("_std", "std"), ("_min", "min"), ("_max", "max"), ("value", "median"))])
+
+
 def median(df: DataFrame, col: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     return quantiles(df, col, [0.5], by=by, exact=exact).drop("p").withColumnRenamed("value", "median")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.functions.columns import whole_days
+from churnwise.functions.columns import fill_zero, whole_days
 from churnwise.operators.quantiles import quantile_row
 from churnwise.schemas import SEGMENT_LABELS
 
@@ -41,15 +41,16 @@ def exact_mean(col: str, scale: int = 6):
     return F.sum(units).cast("double") / F.count(units) / F.lit(10.0 ** scale)
 
 
-def behaviour_rollup(tx: DataFrame, rating_scale: int = 6) -> DataFrame:
-    """Per customer behaviour; the mean rating is exact for ratings with at most
-    ``rating_scale`` decimals (see ``exact_mean``)."""
+def behaviour_rollup(tx: DataFrame, rating_digits: int | None = None) -> DataFrame:
+    """Per customer behaviour.  The mean rating is the plain mean; with ``rating_digits``
+    it is that of the ratings rounded to so many decimals, summed exactly (see ``exact_mean``)."""
+    rating = F.avg("service_rating") if rating_digits is None else exact_mean("service_rating", rating_digits)
     g = tx.groupBy("customer_id").agg(
         F.avg("modification_count").alias("avg_modification_count"),
         F.sum("modification_count").alias("total_modification_count"),
         F.avg("additional_payment").alias("avg_additional_payment"),
         F.sum("additional_payment").alias("total_additional_payment"),
-        exact_mean("service_rating", rating_scale).alias("avg_rating"),
+        rating.alias("avg_rating"),
         F.sum("transaction_canceled").alias("total_cancellations"),
         F.min("transaction_date").alias("first_transaction_date"),
         F.max("transaction_date").alias("last_transaction_date"),
@@ -90,15 +91,12 @@ def customer_table(customers: DataFrame, tx: DataFrame, exact: bool = True) -> D
     reg = "registration_date" if "registration_date" in customers.columns else "join_date"
     master = customers.select("customer_id", "age", "region", F.col(reg).alias("registration_date"))
     j = master.join(stats, "customer_id", "left")
-    zero = F.lit(0.0)
-    return j.select(
-        "customer_id", "age", "region",
-        F.coalesce(F.col("total_purchase_amount").cast("double"), zero).alias("total_purchase_amount"),
+    totals = ("total_purchase_amount", "total_modification_count", "total_additional_payment")
+    out = j.select(
+        "customer_id", "age", "region", F.col(totals[0]).cast("double"),
         F.coalesce(F.col("customer_segment"), F.lit(SEGMENT_LABELS[0])).alias("customer_segment"),
-        "registration_date",
-        F.coalesce(F.col("total_modification_count").cast("double"), zero).alias("total_modification_count"),
-        F.coalesce(F.col("total_additional_payment").cast("double"), zero).alias("total_additional_payment"),
-    )
+        "registration_date", F.col(totals[1]).cast("double"), F.col(totals[2]).cast("double"))
+    return fill_zero(out, totals)
 
 
 # C3 ---------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.functions.columns import band, clip, cut, flag, null_false, round_even
+from churnwise.functions.columns import band, clip, cut, flag, null_false, round_even, zscore
 from churnwise.operators.quantiles import quantile_row
 from churnwise.operators.rollups import behaviour_rollup, with_scalars
 from churnwise.schemas import (GAUGE_EDGES, GAUGE_LABELS, RISK_EDGES, RISK_LABELS,
@@ -39,7 +39,7 @@ def rule_score(avg_mods: Column, total_payment: Column, duration_days: Column, a
 
 
 def rule_risk(customers: DataFrame, tx: DataFrame, params: RuleRiskParams = RuleRiskParams(),
-              rating_digits: int | None = 6, include_lowest: bool = False,
+              rating_digits: int | None = None, include_lowest: bool = False,
               keep: tuple = ()) -> DataFrame:
     """Predictions table ``(customer_id, churn_probability, risk_level)``, plus
     the ``keep`` columns of ``customers`` carried through (saves joining the
@@ -48,9 +48,11 @@ def rule_risk(customers: DataFrame, tx: DataFrame, params: RuleRiskParams = Rule
     ``customers`` is the customer table with ``customer_segment`` (D3); the
     behaviour columns come from the transaction-side rollup only (C2), so a
     customer without transactions triggers no rule and scores 0 with a null
-    band (S3) unless ``include_lowest``.
+    band (S3) unless ``include_lowest``.  ``rating_digits`` rounds the ratings and their
+    mean to that many decimals and makes the mean independent of summation order (see
+    ``exact_mean``), for data whose means fall on the threshold.
     """
-    beh = behaviour_rollup(tx).select(
+    beh = behaviour_rollup(tx, rating_digits).select(
         "customer_id", "avg_modification_count", F.col("total_additional_payment").alias("tx_payment"),
         "transaction_duration_days", "avg_rating", "total_cancellations")
     carried = [c for c in keep if c not in ("customer_id", "customer_segment")]
@@ -71,14 +73,17 @@ def rule_risk(customers: DataFrame, tx: DataFrame, params: RuleRiskParams = Rule
 
 # F3 ---------------------------------------------------------------------------
 def churn_label(df: DataFrame, params: ChurnLabelParams = ChurnLabelParams(),
-                noise_col: str | None = None, exact: bool = True) -> DataFrame:
+                noise_col: str | None = None, exact: bool = True, values: DataFrame | None = None) -> DataFrame:
     """Add ``churn_probability`` (rule score) and ``churn`` (score > threshold).
 
     The low-value signal compares with the 25 % quantile of ``avg_order_value``
     over all rows (nulls skipped); the original random term is an optional column.
+    ``values`` supplies the same ``avg_order_value`` from a smaller plan, so that the
+    quantile's passes need not evaluate ``df``.
     """
     p = params
-    q = quantile_row(df, "avg_order_value", [p.low_value_quantile], ["_q_low"], exact=exact)
+    q = quantile_row(df if values is None else values, "avg_order_value", [p.low_value_quantile], ["_q_low"],
+                     exact=exact)
     score = (flag(F.col("last_order_days") > F.lit(p.inactive_days)) * F.lit(p.inactive_weight)
              + flag(F.col("support_tickets") > F.lit(p.tickets)) * F.lit(p.tickets_weight)
              + flag(F.col("total_orders") < F.lit(p.few_orders)) * F.lit(p.few_orders_weight)
@@ -97,7 +102,7 @@ def cancel_propensity(tx: DataFrame, params: PropensityParams = PropensityParams
     mean and sample deviation (one-row aggregate, broadcast)."""
     p = params
     moments = tx.agg(F.avg("sales_amount").alias("_mean"), F.stddev_samp("sales_amount").alias("_std"))
-    z = F.try_divide(F.col("sales_amount") - F.col("_mean"), F.col("_std"))
+    z = zscore("sales_amount", F.col("_mean"), F.col("_std"))
     prob = (F.lit(p.base)
             + F.col("modification_count") / F.lit(p.mod_divisor) * F.lit(p.mod_corr) * F.lit(p.mod_scale)
             + flag(F.col("additional_payment") == F.lit(0)) * F.lit(p.payment_corr) * F.lit(p.payment_scale)

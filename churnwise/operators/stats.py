@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.functions.columns import cut, numeric_columns, round_even
-from churnwise.operators.quantiles import quantiles
+from churnwise.functions.columns import cut, month, numeric_columns, per_unit, round_even
+from churnwise.operators.quantiles import moments_and_median, quantiles
 from churnwise.schemas import AGE_EDGES, AGE_LABELS
 
 
@@ -83,7 +83,7 @@ def age_group_churn(df: DataFrame, label: str = "churn") -> DataFrame:
 
 # D9 ---------------------------------------------------------------------------
 def monthly_churn(df: DataFrame, date_col: str = "join_date", label: str = "churn") -> DataFrame:
-    g = df.select(F.date_format(date_col, "yyyy-MM").alias("year_month"), label)
+    g = df.select(month(date_col).alias("year_month"), label)
     return (_keyed(g, "year_month").groupBy("year_month")
             .agg(_rate(label).alias("_m"), F.count(label).alias("customers"))
             .select("year_month", round_even(F.col("_m") * 100, 2).alias("churn_rate"), "customers"))
@@ -92,7 +92,7 @@ def monthly_churn(df: DataFrame, date_col: str = "join_date", label: str = "chur
 # D10 --------------------------------------------------------------------------
 def monthly_transactions(tx: DataFrame, date_col: str = "transaction_date",
                          flag_col: str = "transaction_canceled") -> DataFrame:
-    g = tx.select(F.date_format(date_col, "yyyy-MM").alias("year_month"), flag_col)
+    g = tx.select(month(date_col).alias("year_month"), flag_col)
     return (_keyed(g, "year_month").groupBy("year_month")
             .agg(F.count(F.lit(1)).alias("transactions"),
                  (_rate(flag_col) * 100).alias("cancel_rate")))
@@ -135,12 +135,14 @@ def table_shape(df: DataFrame, name: str = "table") -> DataFrame:
 
 # D15 --------------------------------------------------------------------------
 def describe_column(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Mean, sample deviation, min, max and (interpolated) median in one row."""
-    moments = df.agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                     F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
-    med = quantiles(df, col, [0.5], exact=exact).select(F.col("value").alias("median"))
-    return moments.crossJoin(F.broadcast(med)).select(
-        F.lit(col).alias("column_name"), "mean", "std", "min", "max", "median")
+    """Mean, sample deviation, min, max and (interpolated) median in one row; nulls and
+    NaN are skipped, and without any value all five are null."""
+    if exact:
+        return moments_and_median(df, col).select(F.lit(col).alias("column_name"), "*")
+    v = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    moments = df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+                     F.max(v).alias("max"), F.percentile_approx(v, 0.5).alias("median"))
+    return moments.select(F.lit(col).alias("column_name"), "*")
 
 
 # D16 --------------------------------------------------------------------------
@@ -182,9 +184,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
 
 
 # D20 --------------------------------------------------------------------------
+def missing(df: DataFrame, col: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
 def null_counts(df: DataFrame, allow: Sequence[str] = ()) -> DataFrame:
-    """``(column_name, null_count, allowed)`` per column, one pass."""
-    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    """``(column_name, null_count, allowed)`` per column, one pass; NaN counts as missing."""
+    one = df.agg(*[F.count_if(missing(df, c)).alias(f"_n{i}") for i, c in enumerate(df.columns)])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("null_count"),
                  F.lit(c in allow).alias("allowed"))
@@ -193,7 +203,7 @@ def null_counts(df: DataFrame, allow: Sequence[str] = ()) -> DataFrame:
 
 def total_nulls(df: DataFrame, allow: Sequence[str] = ()) -> Column:
     """Aggregate expression: null cells over all columns not in ``allow``."""
-    parts = [F.count_if(F.col(c).isNull()) for c in df.columns if c not in allow]
+    parts = [F.count_if(missing(df, c)) for c in df.columns if c not in allow]
     out = F.lit(0).cast("long")
     for p in parts:
         out = out + p
@@ -202,22 +212,28 @@ def total_nulls(df: DataFrame, allow: Sequence[str] = ()) -> Column:
 
 # D21 --------------------------------------------------------------------------
 def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Equal-width bin on [lo, hi], top edge closed (S14); a constant column
-    puts every row in bin 0."""
-    width = hi - lo
-    raw = F.floor((x - lo) / width * F.lit(bins))
-    return F.when(width == 0, F.lit(0).cast("long")).otherwise(F.least(raw, F.lit(bins - 1).cast("long")))
+    """Equal-width bin on [lo, hi] by comparison with the bin edges, top edge closed (S14):
+    the computed index moves by one where rounding put a value on the wrong side."""
+    def edge(i: Column) -> Column:
+        return F.when(i == bins, hi).otherwise(i * ((hi - lo) / F.lit(bins)) + lo)
+    guess = F.least(F.floor((x - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1).cast("long"))
+    return guess + F.when(x < edge(guess), F.lit(-1)).when(
+        (x >= edge(guess + 1)) & (guess < bins - 1), F.lit(1)).otherwise(F.lit(0))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 30, scale: float = 1.0) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 30, divisor: float = 1.0) -> DataFrame:
     """``(bin, bin_start, bin_end, count)`` for all ``bins`` bins, empty ones included.
 
-    Two passes: a global min/max (one row, broadcast) and a grouped count; the
-    bin list is generated from that one row, so nothing depends on the driver.
+    Values are divided by ``divisor``; nulls, NaN and infinities are not counted.  A
+    constant column has the range half a unit around its value.  Two passes: a global
+    min/max (one row, broadcast) and a grouped count; the bin list is generated from that
+    one row, so nothing depends on the driver.
     """
-    x = (F.col(col).cast("double") * F.lit(float(scale))).alias("_x")
-    vals = df.select(x).where(F.col("_x").isNotNull())
-    rng = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    x = per_unit(col, divisor).alias("_x")
+    vals = df.select(x).where(F.abs("_x") < float("inf"))
+    ends = vals.agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    half = F.when(F.col("_a") == F.col("_b"), F.lit(0.5)).otherwise(F.lit(0.0))
+    rng = ends.select((F.col("_a") - half).alias("_lo"), (F.col("_b") + half).alias("_hi"))
     counts = (vals.crossJoin(F.broadcast(rng))
               .select(bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
@@ -226,17 +242,18 @@ def histogram(df: DataFrame, col: str, bins: int = 30, scale: float = 1.0) -> Da
         "_lo", "_hi")
     step = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     return (edges.join(counts, "bin", "left")
-            .select("bin", (F.col("_lo") + F.col("bin") * step).alias("bin_start"),
-                    (F.col("_lo") + (F.col("bin") + 1) * step).alias("bin_end"),
+            .select("bin", (F.col("bin") * step + F.col("_lo")).alias("bin_start"),
+                    F.when(F.col("bin") == bins - 1, F.col("_hi"))
+                    .otherwise((F.col("bin") + 1) * step + F.col("_lo")).alias("bin_end"),
                     F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count")))
 
 
 # D22 / E3 ---------------------------------------------------------------------
-def box_summary(df: DataFrame, group: str, col: str, scale: float = 1.0,
+def box_summary(df: DataFrame, group: str, col: str, divisor: float = 1.0,
                 order: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Quartiles, 1.5 x IQR whiskers (most extreme values inside the fences)
     and outlier count per group; rows ordered by the declared category order."""
-    vals = _keyed(df, group).select(group, (F.col(col).cast("double") * F.lit(float(scale))).alias("_x"))
+    vals = _keyed(df, group).select(group, per_unit(col, divisor).alias("_x"))
     q = quantiles(vals, "_x", [0.25, 0.5, 0.75], by=[group], exact=exact)
     wide = q.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
@@ -246,7 +263,8 @@ def box_summary(df: DataFrame, group: str, col: str, scale: float = 1.0,
                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
     x = F.col("_x")
     inside = (x >= F.col("_lf")) & (x <= F.col("_uf"))
-    out = (vals.where(x.isNotNull()).join(fences, group)
+    # one row per category, as many as quantiles() has just broadcast
+    out = (vals.where(x.isNotNull() & ~F.isnan(x)).join(F.broadcast(fences), group)
            .groupBy(group, "q1", "median", "q3", "iqr")
            .agg(F.min(F.when(inside, x)).alias("lower_whisker"),
                 F.max(F.when(inside, x)).alias("upper_whisker"),
@@ -274,7 +292,7 @@ def quality_checks(tx: DataFrame, expected_rows: int, amount_range: tuple, corr_
                    schema: T.StructType | None = None) -> DataFrame:
     """Check list ``(check_name, passed, value)`` from one aggregation.
 
-    Checks: row count, amount range, modification/cancel correlation range,
+    Checks: row count, smallest and largest amount, modification/cancel correlation range,
     cancel-rate range, no missing values outside ``allow_null`` and, given a
     ``schema``, that every declared column is present with its type.
     """
@@ -295,7 +313,8 @@ def quality_checks(tx: DataFrame, expected_rows: int, amount_range: tuple, corr_
 
     cells = [
         chk("row_count", F.col("rows") == F.lit(float(expected_rows)), F.col("rows")),
-        chk("amount_range", (F.col("amin") >= lo_a) & (F.col("amax") <= hi_a), F.col("amax") - F.col("amin")),
+        chk("amount_min", F.col("amin") >= lo_a, F.col("amin")),
+        chk("amount_max", F.col("amax") <= hi_a, F.col("amax")),
         chk("mod_cancel_corr", F.col("corr").between(lo_c, hi_c), F.col("corr")),
         chk("cancel_rate", F.col("rate").between(lo_r, hi_r), F.col("rate")),
         chk("no_missing", F.col("nulls") == 0, F.col("nulls")),
@@ -315,10 +334,12 @@ def _stack(one: DataFrame, section: str, metrics: Sequence[str]) -> DataFrame:
 
 
 def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
-                   exact: bool = True) -> DataFrame:
+                   exact: bool = True, checks: DataFrame | None = None) -> DataFrame:
     """The report as ``(section, metric, value)``: table shapes, amount and
     modification statistics, cancellations, the correlation matrix, segment
-    statistics, probability statistics and the risk-level distribution.
+    statistics, probability statistics, the risk-level distribution and, given
+    the rows of ``quality_checks``, the check list (each check's value, and
+    whether it passed as 1 or 0).
 
     All transaction-level scalars (shape, moments, modification statistics,
     cancellations and every correlation pair) come from one aggregation; the
@@ -377,6 +398,11 @@ def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
     levels = _keyed(predictions, "risk_level").groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
     parts.append(levels.select(F.lit("risk_level").alias("section"), F.col("risk_level").alias("metric"),
                                F.col("n").cast("double").alias("value")))
+    if checks is not None:
+        parts.append(checks.select(F.inline(F.array(
+            F.struct(F.lit("checks").alias("section"), F.col("check_name").alias("metric"), F.col("value")),
+            F.struct(F.lit("checks").alias("section"), F.concat("check_name", F.lit(".passed")).alias("metric"),
+                     F.col("passed").cast("int").cast("double").alias("value"))))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -384,8 +410,8 @@ def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    """One text line per report row, for ``write.text``."""
+    """One text line per report row, for ``write.text``; values with six decimals."""
     return report.select(F.format_string("%s | %s | %s", "section", "metric",
-                                         F.coalesce(F.col("value").cast("string"), F.lit("NaN")))
+                                         F.coalesce(F.format_string("%.6f", "value"), F.lit("NaN")))
                          .alias("value"))
 

@@ -9,18 +9,21 @@ summation order cannot change the compared values.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.functions.columns import high_risk
+from churnwise.functions.columns import (as_of_stamp, flag, high_risk, numeric_columns, padded_key, percent_text,
+                                         select_available, thousands, title_case, to_class, upper_name)
 from churnwise.operators import lists, model, rollups, rules, stats
 from churnwise.operators.quantiles import quantiles
 from churnwise.plans.sql import with_ctes
-from churnwise.schemas import (AMOUNT_RANGE, CANCEL_RATE_RANGE, EXPECTED_TRANSACTION_ROWS,
-                               MOD_CANCEL_CORR_RANGE, SEGMENT_LABELS, ChurnLabelParams)
+from churnwise.schemas import (AMOUNT_RANGE, BOUND_TRANSACTIONS, CANCEL_RATE_RANGE, DASHBOARD_FEATURES,
+                               EXPECTED_TRANSACTION_ROWS, MOD_CANCEL_CORR_RANGE, SEGMENT_LABELS, ChurnLabelParams,
+                               TreeParams)
+from churnwise.session import reused, scratch_path
 from churnwise.sources import bindings
 
 LABEL_THRESHOLD = 0.4  # FIXTURES: the default 0.5 leaves few positives
@@ -38,16 +41,21 @@ def tx180(spark, d):
 
 
 def cu(spark, d):
-    return rules.churn_label(bindings.customers(spark, d), ChurnLabelParams(threshold=LABEL_THRESHOLD))
+    # the quantile of the label rule reads the order averages alone
+    return rules.churn_label(bindings.customers(spark, d), ChurnLabelParams(threshold=LABEL_THRESHOLD),
+                             values=bindings.average_orders(spark, d))
 
 
 def ct(spark, d):
     # the customer master alone: the churn label is not needed for the table
-    return rollups.customer_table(bindings.customers(spark, d), tx180(spark, d))
+    return rollups.customer_table(bindings.customers(spark, d), tx(spark, d))
+
+
+RATING_DIGITS = 6  # FIXTURES: some mean ratings of the bound data fall exactly on the threshold
 
 
 def preds(spark, d):
-    return rules.rule_risk(ct(spark, d), tx180(spark, d))
+    return rules.rule_risk(ct(spark, d), tx(spark, d), rating_digits=RATING_DIGITS)
 
 
 def rounded(df: DataFrame, digits: int = 6, **special) -> DataFrame:
@@ -98,6 +106,16 @@ def q_customer_table(spark, d):
     return rounded(ct(spark, d), total_purchase_amount=2, total_additional_payment=4)
 
 
+@register("customer_table_recent", with_ctes(["ct180"], """
+SELECT customer_id, age, region, round(total_purchase_amount, 2) AS total_purchase_amount,
+  customer_segment, registration_date, round(total_modification_count, 6) AS total_modification_count,
+  round(total_additional_payment, 4) AS total_additional_payment FROM ct180"""))
+def q_customer_table_recent(spark, d):
+    """The customer table over the transactions of the last 180 days: half the customers have none."""
+    return rounded(rollups.customer_table(bindings.customers(spark, d), tx180(spark, d)),
+                   total_purchase_amount=2, total_additional_payment=4)
+
+
 @register("customer_rollup", with_ctes(["tx"], """
 SELECT customer_id, round(sum(sales_amount), 2) AS total_purchase_amount,
   CAST(sum(modification_count) AS BIGINT) AS total_modification_count,
@@ -112,14 +130,14 @@ def q_customer_rollup(spark, d):
 
 @register("behaviour_rollup", with_ctes(["B"], """
 SELECT customer_id, round(avg_modification_count, 6) AS avg_modification_count, total_modification_count,
-  round(avg_additional_payment, 6) AS avg_additional_payment,
+  round(avg_additional_payment, 8) AS avg_additional_payment,
   round(total_additional_payment, 4) AS total_additional_payment, avg_rating,
   total_cancellations, first_transaction_date, last_transaction_date, transaction_count,
   round(total_sales, 2) AS total_sales, transaction_duration_days FROM B"""))
 def q_behaviour_rollup(spark, d):
-    return rounded(rollups.behaviour_rollup(tx180(spark, d)).withColumn(
+    return rounded(rollups.behaviour_rollup(tx(spark, d), RATING_DIGITS).withColumn(
         "total_modification_count", F.col("total_modification_count").cast("long")),
-        total_additional_payment=4, total_sales=2, avg_rating=None)
+        total_additional_payment=4, total_sales=2, avg_rating=None, avg_additional_payment=8)
 
 
 @register("purchase_segments", with_ctes(["tx"], """
@@ -337,17 +355,37 @@ def q_null_counts(spark, d):
     return stats.null_counts(tx(spark, d), allow=["cancellation_date"])
 
 
-@register("amount_histogram", with_ctes(["tx"], """
-V AS (SELECT CAST(sales_amount AS DOUBLE) * 1e-6 AS x FROM tx WHERE sales_amount IS NOT NULL),
-RG AS (SELECT min(x) AS lo, max(x) AS hi FROM V),
-C AS (SELECT CAST(CASE WHEN hi - lo = 0 THEN 0 ELSE least(floor((x - lo) / (hi - lo) * 50), 49) END AS BIGINT)
-      AS bin, count(*) AS cnt FROM V CROSS JOIN RG GROUP BY 1),
-BN AS (SELECT range AS bin FROM range(0, 50))
-SELECT BN.bin, round(lo + BN.bin * ((hi - lo) / 50), 6) AS bin_start,
-  round(lo + (BN.bin + 1) * ((hi - lo) / 50), 6) AS bin_end, coalesce(cnt, 0) AS count
-FROM BN CROSS JOIN RG LEFT JOIN C ON BN.bin = C.bin WHERE lo IS NOT NULL"""), headline=True)
+def _hist_sql(uses: list[str], table: str, expr: str, bins: int) -> str:
+    """Counts by a range join on the bin edges."""
+    return with_ctes(uses, f"""
+V AS (SELECT CAST({expr} AS DOUBLE) AS x FROM {table} WHERE {expr} IS NOT NULL),
+RG AS (SELECT min(x) - CASE WHEN min(x) = max(x) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS lo,
+              max(x) + CASE WHEN min(x) = max(x) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS hi FROM V),
+BN AS (SELECT range AS bin, range * ((hi - lo) / {bins}) + lo AS a,
+         CASE WHEN range = {bins - 1} THEN hi ELSE (range + 1) * ((hi - lo) / {bins}) + lo END AS b
+       FROM range(0, {bins}) CROSS JOIN RG WHERE lo IS NOT NULL)
+SELECT bin, round(a, 6) AS bin_start, round(b, 6) AS bin_end, count(x) AS count
+FROM BN LEFT JOIN V ON x >= a AND (x < b OR (bin = {bins - 1} AND x <= b)) GROUP BY bin, a, b""")
+
+
+@register("amount_histogram", _hist_sql(["tx"], "tx", "sales_amount / 1e6::DOUBLE", 50), headline=True)
 def q_amount_histogram(spark, d):
-    return rounded(stats.histogram(tx(spark, d), "sales_amount", bins=50, scale=1e-6))
+    return rounded(stats.histogram(tx(spark, d), "sales_amount", bins=50, divisor=1e6))
+
+
+@register("modification_histogram", _hist_sql(["tx"], "tx", "modification_count", 11))
+def q_modification_histogram(spark, d):
+    return rounded(stats.histogram(tx(spark, d), "modification_count", bins=11))
+
+
+@register("rating_histogram", _hist_sql(["tx"], "tx", "service_rating", 20))
+def q_rating_histogram(spark, d):
+    return rounded(stats.histogram(tx(spark, d), "service_rating", bins=20))
+
+
+@register("risk_histogram", _hist_sql(["cu"], "cu", "churn_probability", 30))
+def q_risk_histogram(spark, d):
+    return rounded(stats.histogram(cu(spark, d), "churn_probability", bins=30))
 
 
 def _box_sql(expr: str, digits: int) -> str:
@@ -365,17 +403,17 @@ SELECT V.g AS customer_segment, round(q1, {digits}) AS q1, round(med, {digits})
 FROM V JOIN FN ON V.g = FN.g GROUP BY V.g, q1, med, q3, iqr""")
 
 
-def _box(spark, d, col, scale):
-    from churnwise.session import materialize
-    j = rules.rule_risk(ct(spark, d), tx180(spark, d), keep=("customer_segment", "total_purchase_amount"))
-    # the box summary reads its input in four passes: write it once
-    j = materialize(j.select("customer_segment", col))
-    return stats.box_summary(j, "customer_segment", col, scale=scale, order=SEGMENT_LABELS)
+def _box(spark, d, col, divisor):
+    j = rules.rule_risk(ct(spark, d), tx(spark, d), rating_digits=RATING_DIGITS,
+                        keep=("customer_segment", "total_purchase_amount"))
+    # the box summary reads its input in three passes
+    j = reused(j.select("customer_segment", col))
+    return stats.box_summary(j, "customer_segment", col, divisor=divisor, order=SEGMENT_LABELS)
 
 
-@register("box_purchase", _box_sql("total_purchase_amount * 1e-6", 6))
+@register("box_purchase", _box_sql("total_purchase_amount / 1e6::DOUBLE", 6))
 def q_box_purchase(spark, d):
-    return rounded(_box(spark, d, "total_purchase_amount", 1e-6))
+    return rounded(_box(spark, d, "total_purchase_amount", 1e6))
 
 
 @register("box_probability", _box_sql("churn_probability", 6))
@@ -446,13 +484,26 @@ def q_top_risk(spark, d):
     return rounded(lists.top_risk(cu(spark, d)), total_spent=2)
 
 
-@register("high_risk_list", with_ctes(["preds"], """
-S AS (SELECT customer_id, round_even(churn_probability * 100, 2) AS risk_score, churn_probability FROM preds)
-SELECT customer_id, round(risk_score, 6) AS risk_score, round(churn_probability, 6) AS churn_probability
-FROM S WHERE coalesce(risk_score >= 70.0, false) ORDER BY risk_score DESC, customer_id LIMIT 50"""))
+def _high_risk_sql(n: int) -> str:
+    return with_ctes(["cu"], f"""
+S AS (SELECT *, round_even(churn_probability * 100, 2) AS risk_score FROM cu)
+SELECT customer_id, region, subscription_type, total_orders, last_order_days, round(risk_score, 6) AS risk_score,
+  round(churn_probability, 6) AS churn_probability
+FROM S WHERE coalesce(risk_score >= 70.0, false) ORDER BY risk_score DESC, customer_id LIMIT {n}""")
+
+
+def _scored(spark, d):
+    return cu(spark, d).withColumn("risk_score", F.bround(F.col("churn_probability") * 100, 2))
+
+
+@register("high_risk_list", _high_risk_sql(50))
 def q_high_risk_list(spark, d):
-    p = preds(spark, d).withColumn("risk_score", F.bround(F.col("churn_probability") * 100, 2))
-    return rounded(lists.high_risk_list(p, 70.0, 50))
+    return rounded(lists.high_risk_list(_scored(spark, d), 70.0, 50))
+
+
+@register("high_risk_first", _high_risk_sql(10))
+def q_high_risk_first(spark, d):
+    return rounded(lists.high_risk_list(_scored(spark, d), 70.0, 10))
 
 
 @register("high_risk_customers", with_ctes(["cu"], """
@@ -471,9 +522,9 @@ def q_preview(spark, d):
     return rounded(lists.preview(cu(spark, d)), total_spent=2)
 
 
-def _first_customer(df: DataFrame):
-    """The dashboard's default selection: the first customer id (scalar subquery)."""
-    return df.select(F.min("customer_id")).scalar()
+def _first_customer(spark, d):
+    """The dashboard's default selection, the first customer id, from the key column alone."""
+    return bindings.table(spark, d, "customer").select(F.min("c_custkey")).scalar()
 
 
 @register("customer_detail", with_ctes(["cu"], """
@@ -482,8 +533,7 @@ SELECT customer_id, age, region, customer_type, subscription_type, join_date,
   last_order_days, support_tickets, round(churn_probability, 6) AS churn_probability, churn
 FROM cu WHERE customer_id = (SELECT min(customer_id) FROM cu)"""))
 def q_customer_detail(spark, d):
-    c = cu(spark, d)
-    return rounded(c.where(F.col("customer_id") == _first_customer(c)), total_spent=2)
+    return rounded(lists.customer_detail(cu(spark, d), _first_customer(spark, d)), total_spent=2)
 
 
 @register("customer_history", with_ctes(["tx"], """
@@ -493,8 +543,8 @@ SELECT transaction_id, customer_id, seller_id, transaction_date, round(sales_amo
 FROM tx WHERE customer_id = (SELECT min(customer_id) FROM tx)
 ORDER BY transaction_date DESC, transaction_id"""))
 def q_customer_history(spark, d):
-    t = tx(spark, d)
-    return rounded(lists.customer_history(t, _first_customer(t)), sales_amount=2, additional_payment=4)
+    first = bindings.table(spark, d, "orders").select(F.min("o_custkey")).scalar()
+    return rounded(lists.customer_history(tx(spark, d), first), sales_amount=2, additional_payment=4)
 
 
 @register("cancel_scatter", with_ctes(["tx"], """
@@ -507,7 +557,7 @@ def q_cancel_scatter(spark, d):
 # ---------------------------------------------------------------------------
 # Checks and report
 # ---------------------------------------------------------------------------
-@register("quality_checks", with_ctes(["tx"], f"""
+_CHECKS_SQL = f"""
 T1 AS (SELECT CAST(count(*) AS DOUBLE) AS rws, CAST(min(sales_amount) AS DOUBLE) AS amin,
   CAST(max(sales_amount) AS DOUBLE) AS amax,
   CASE WHEN isnan(corr(modification_count, transaction_canceled)) THEN NULL
@@ -521,19 +571,25 @@ T1 AS (SELECT CAST(count(*) AS DOUBLE) AS rws, CAST(min(sales_amount) AS DOUBLE)
    AS DOUBLE) AS nulls FROM tx)
 SELECT 'row_count' AS check_name, coalesce(rws = {float(EXPECTED_TRANSACTION_ROWS)}, false) AS passed,
   round(rws, 6) AS value FROM T1
-UNION ALL SELECT 'amount_range', coalesce(amin >= {AMOUNT_RANGE[0]} AND amax <= {AMOUNT_RANGE[1]}, false),
-  round(amax - amin, 6) FROM T1
+UNION ALL SELECT 'amount_min', coalesce(amin >= {AMOUNT_RANGE[0]}, false), round(amin, 6) FROM T1
+UNION ALL SELECT 'amount_max', coalesce(amax <= {AMOUNT_RANGE[1]}, false), round(amax, 6) FROM T1
 UNION ALL SELECT 'mod_cancel_corr', coalesce(cr BETWEEN {MOD_CANCEL_CORR_RANGE[0]} AND {MOD_CANCEL_CORR_RANGE[1]}, false),
   round(cr, 6) FROM T1
 UNION ALL SELECT 'cancel_rate', coalesce(rate BETWEEN {CANCEL_RATE_RANGE[0]} AND {CANCEL_RATE_RANGE[1]}, false),
   round(rate, 6) FROM T1
 UNION ALL SELECT 'no_missing', coalesce(nulls = 0, false), round(nulls, 6) FROM T1
-UNION ALL SELECT 'declared_columns', true, 0.0::DOUBLE"""))
+UNION ALL SELECT 'declared_columns', true, 0.0::DOUBLE"""
+
+
+def _checks(spark, d):
+    return stats.quality_checks(tx(spark, d), EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
+                                MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
+                                allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS)
+
+
+@register("quality_checks", with_ctes(["tx"], _CHECKS_SQL))
 def q_quality_checks(spark, d):
-    from churnwise.schemas import BOUND_TRANSACTIONS
-    return rounded(stats.quality_checks(tx(spark, d), EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
-                                        MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
-                                        allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS))
+    return rounded(_checks(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -559,8 +615,10 @@ def q_encode_features(spark, d):
 
 
 @register("stratified_split", with_ctes(["cu"], """
-SELECT customer_id, churn FROM cu
-WHERE CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) % 100 < 20"""))
+H AS (SELECT customer_id, churn,
+        CAST(CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '|42'), 1, 13)) AS BIGINT) AS DOUBLE) AS h FROM cu),
+K AS (SELECT churn, quantile_cont(h, 0.2) AS q FROM H GROUP BY churn)
+SELECT H.customer_id, H.churn FROM H JOIN K ON H.churn = K.churn WHERE h <= q"""))
 def q_stratified_split(spark, d):
     _, test = model.stratified_split(cu(spark, d))
     return test.select("customer_id", "churn")
@@ -582,22 +640,19 @@ def q_balanced_weight(spark, d):
 _MODELS: dict[tuple, object] = {}
 
 
-def fitted_model(spark, d, train_only: bool = False):
-    """The fitted pipeline is reused across queries of one session."""
-    key = (id(spark), d, train_only)
+def fitted_model(spark, d):
+    """The fitted pipeline is reused across queries of one application."""
+    key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        data = cu(spark, d)
-        if train_only:
-            data, _ = model.stratified_split(data)
-        _MODELS[key] = model.train_tree(data)
+        _MODELS[key] = model.train_tree(cu(spark, d))
     return _MODELS[key]
 
 
-@register("train_evaluate")
+@register("train_evaluate", headline=True)
 def q_train_evaluate(spark, d):
-    """F6-F8 + D26: fit on the 80 % split, report on the held-out 20 %."""
-    m = fitted_model(spark, d, train_only=True)
-    _, test = model.stratified_split(cu(spark, d))
+    """F6-F8 + D26: fit on the 80 % split, report on the held-out 20 %; always trained anew."""
+    train, test = model.stratified_split(reused(cu(spark, d)))
+    m = model.train_tree(train)
     return rounded(model.classification_report(model.score(m, test), "churn", "predicted_churn"))
 
 
@@ -618,7 +673,7 @@ def q_model_kpis(spark, d):
 
 @register("feature_importance")
 def q_feature_importance(spark, d):
-    return model.feature_importance(fitted_model(spark, d), spark)
+    return model.feature_importance(model.train_tree(cu(spark, d)), spark)
 
 
 @register("customer_factors")
@@ -633,18 +688,11 @@ def q_shap_summary(spark, d):
     return explain.shap_summary(explain.shap_values(m, cu(spark, d)))
 
 
-def _scratch(spark, name: str) -> str:
-    import os
-    import uuid
-    from churnwise.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 @register("model_round_trip")
 def q_model_round_trip(spark, d):
     """Save, load, score; the loaded model must score identically."""
     from churnwise.sources import io
-    path = _scratch(spark, "model")
+    path = scratch_path(spark, "model")
     io.save_model(fitted_model(spark, d), path)
     return rounded(model.score(io.load_model(path), cu(spark, d)).select(
         "customer_id", "predicted_churn", "churn_probability", "risk_score"))
@@ -655,7 +703,7 @@ def q_stream_scores(spark, d):
     """customers arriving as Parquet files, scored by a streaming query
     (available-now trigger), read back from the sink."""
     from churnwise.streaming import scoring
-    src, sink = _scratch(spark, "arrivals"), _scratch(spark, "scores")
+    src, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "scores")
     c = cu(spark, d)
     c.write.parquet(src)
     q = scoring.start_scoring(fitted_model(spark, d), scoring.read_customer_stream(spark, src, c.schema),
@@ -665,19 +713,27 @@ def q_stream_scores(spark, d):
         "customer_id", "predicted_churn", "churn_probability", "risk_score"))
 
 
-@register("csv_round_trip", REGISTRY["quality_checks"].sql)
+def _difference(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(table_name, rows, mismatches): rows of either side that the other does not have."""
+    rows = a.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+    odd = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("mismatches"))
+    return rollups.with_scalars(rows, odd)
+
+
+@register("csv_round_trip", with_ctes(["tx", "ct", "preds"], "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS table_name, count(*) AS rows, 0::BIGINT AS mismatches FROM {t}"
+    for n, t in (("transactions", "tx"), ("customers", "ct"), ("predictions", "preds")))))
 def q_csv_round_trip(spark, d):
-    """A1-A4: write the three tables as CSV, read them back with their
-    schemas, and run the check list on the transactions read back."""
+    """A1-A4: the three tables written as CSV and read back with their schemas, compared row by row."""
     from churnwise.sources import io
-    path = _scratch(spark, "csv")
-    tables = {"transactions": tx(spark, d), "customers": ct(spark, d), "predictions": preds(spark, d)}
+    path = scratch_path(spark, "csv")
+    customers = reused(ct(spark, d))
+    tables = {"transactions": reused(tx(spark, d)), "customers": customers,
+              "predictions": reused(rules.rule_risk(customers, tx(spark, d), rating_digits=RATING_DIGITS))}
     io.write_tables(tables, path)
     back = io.read_tables(spark, path, schemas={k: v.schema for k, v in tables.items()})
-    from churnwise.schemas import BOUND_TRANSACTIONS
-    return rounded(stats.quality_checks(back["transactions"], EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
-                                        MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
-                                        allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS))
+    parts = [_difference(k, v, back[k]) for k, v in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---------------------------------------------------------------------------
@@ -713,28 +769,50 @@ def _report_sql() -> str:
         parts.append(f"SELECT 'churn_probability', '{m}', {e}(churn_probability) FROM preds")
     parts.append("SELECT 'risk_level', risk_level, CAST(count(*) AS DOUBLE) FROM preds "
                  "WHERE risk_level IS NOT NULL GROUP BY risk_level")
-    body = "ALLROWS AS (" + "\nUNION ALL\n".join(parts) + ")\n"
+    t1, checks = _CHECKS_SQL.strip().split("\nSELECT 'row_count'", 1)
+    parts.append("SELECT 'checks', check_name, value FROM CK")
+    parts.append("SELECT 'checks', check_name || '.passed', CAST(passed AS INTEGER) FROM CK")
+    body = f"{t1}, CK AS (SELECT 'row_count'{checks}),\n"
+    body += "ALLROWS AS (" + "\nUNION ALL\n".join(parts) + ")\n"
     body += f"SELECT section, metric, {r('value')} AS value FROM ALLROWS"
     return with_ctes(["tx", "ct", "preds"], body)
 
 
-@register("quality_report", _report_sql())
-def q_quality_report(spark, d):
-    rep = stats.quality_report(tx(spark, d), ct(spark, d), preds(spark, d))
+def _report(spark, d):
+    customers = reused(ct(spark, d))
+    scored = reused(rules.rule_risk(customers, tx(spark, d), rating_digits=RATING_DIGITS))
+    rep = stats.quality_report(tx(spark, d), customers, scored, checks=_checks(spark, d))
     v = F.col("value")
     return rep.select("section", "metric",
                       F.when(F.abs(v) >= 1e6, F.round(v, 2)).otherwise(F.round(v, 6)).alias("value"))
 
 
+@register("quality_report", _report_sql())
+def q_quality_report(spark, d):
+    return _report(spark, d)
+
+
+@register("quality_report_text", _report_sql().replace(
+    "SELECT section, metric, CASE", "SELECT section || ' | ' || metric || ' | ' || "
+    "coalesce(printf('%.6f', CASE", 1).replace(" AS value FROM ALLROWS", "), 'NaN') AS value FROM ALLROWS"))
+def q_quality_report_text(spark, d):
+    return stats.report_text(_report(spark, d))
+
+
+def dashboard_model(spark, d):
+    key = (spark.sparkContext.applicationId, d, "dashboard")
+    if key not in _MODELS:
+        _MODELS[key] = model.train_tree(cu(spark, d), params=DASHBOARD_TREE)
+    return _MODELS[key]
+
+
+DASHBOARD_TREE = TreeParams(max_depth=5, min_leaf=1, balanced=False, features=tuple(DASHBOARD_FEATURES))
+
+
 @register("dashboard_model_scores")
 def q_dashboard_model_scores(spark, d):
     """the dashboard form of the tree (depth 5, five features, no weights)."""
-    from churnwise.schemas import DASHBOARD_FEATURES, TreeParams
-    key = (id(spark), d, "dashboard")
-    if key not in _MODELS:
-        _MODELS[key] = model.train_tree(cu(spark, d), params=TreeParams(
-            max_depth=5, min_leaf=1, balanced=False, features=tuple(DASHBOARD_FEATURES)))
-    return rounded(model.score(_MODELS[key], cu(spark, d)).select(
+    return rounded(model.score(dashboard_model(spark, d), cu(spark, d)).select(
         "customer_id", "churn", "predicted_churn", "churn_probability", "risk_score"))
 
 
@@ -742,17 +820,210 @@ def q_dashboard_model_scores(spark, d):
 def q_selected_customer_scores(spark, d):
     """score the customers picked on the dashboard (here: the first one,
     as the default selection) with the fitted model."""
-    c = cu(spark, d)
-    picked = c.where(F.col("customer_id") == _first_customer(c))
-    return rounded(model.score(fitted_model(spark, d), picked).select(
-        "customer_id", "predicted_churn", "churn_probability", "risk_score"))
+    picked = model.score_customers(fitted_model(spark, d), cu(spark, d), [_first_customer(spark, d)])
+    return rounded(picked.select("customer_id", "predicted_churn", "churn_probability", "risk_score"))
 
 
 @register("chart_json_round_trip", REGISTRY["amount_histogram"].sql)
 def q_chart_json_round_trip(spark, d):
     """A5: a chart dataset written as JSON lines and read back with its schema."""
     from churnwise.sources import io
-    path = _scratch(spark, "chart")
+    path = scratch_path(spark, "chart")
     hist = q_amount_histogram(spark, d)
     io.write_json(hist, path)
     return spark.read.schema(hist.schema).json(path)
+
+
+# ---------------------------------------------------------------------------
+# Facts of the model operators that SQL can state: agreement of two ways to the
+# same scores, sums, and what a tree must learn of a planted label.
+# ---------------------------------------------------------------------------
+def _agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _difference("scores", a, b).drop("table_name")
+
+
+_AGREEMENT_SQL = with_ctes(["cu"], "SELECT count(*) AS rows, 0::BIGINT AS mismatches FROM cu")
+
+
+@register("model_round_trip_agrees", _AGREEMENT_SQL)
+def q_model_round_trip_agrees(spark, d):
+    """A model saved and loaded scores every customer as before."""
+    scores = model.score(fitted_model(spark, d), cu(spark, d)).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score")
+    return _agreement(rounded(scores), q_model_round_trip(spark, d))
+
+
+@register("stream_agrees", _AGREEMENT_SQL)
+def q_stream_agrees(spark, d):
+    """the stream scores every customer as the batch does."""
+    scores = model.score(fitted_model(spark, d), cu(spark, d)).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score")
+    return _agreement(rounded(scores), q_stream_scores(spark, d))
+
+
+@register("shap_adds_up", with_ctes(["cu"], "SELECT count(*) AS rows, 0::BIGINT AS mismatches FROM cu"))
+def q_shap_adds_up(spark, d):
+    """base value and attributions of each customer sum to the score."""
+    from churnwise.operators import explain
+    m = fitted_model(spark, d)
+    shap = explain.shap_values(m, cu(spark, d))
+    parts = F.array(*[F.col(c) for c in shap.columns if c.startswith("shap_")])
+    total = shap.select("customer_id", F.aggregate(parts, F.col("base_value"), lambda t, v: t + v).alias("total"))
+    scores = model.score(m, cu(spark, d)).select("customer_id", "churn_probability")
+    off = F.abs(F.col("total") - F.col("churn_probability")) > 1e-9
+    return scores.join(total, "customer_id", "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(off, F.lit(True))).alias("mismatches"))
+
+
+@register("importance_adds_up", with_ctes(["cu"], """
+SELECT 9::BIGINT AS features, true AS sums_to_one, true AS in_order"""))
+def q_importance_adds_up(spark, d):
+    """importances of all features, largest first, sum to 1."""
+    rows = model.feature_importance(model.train_tree(cu(spark, d)), spark)
+    before = F.lag("importance").over(Window.orderBy("rank"))  # one row per feature
+    return rows.withColumn("ok", F.coalesce(before >= F.col("importance"), F.lit(True))).agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        F.bool_and("ok").alias("in_order"))
+
+
+PLANTED_DAYS = 90
+_PLANTED = "CAST(coalesce(last_order_days > 90, false) AS INTEGER)"
+
+
+def _planted(spark, d):
+    """Customers with a label that one feature decides, and the tree that has to find it
+    (a bin per value, so that the threshold is among the candidates)."""
+    rows = cu(spark, d).drop("churn_probability").withColumn(
+        "planted", flag(F.col("last_order_days") > PLANTED_DAYS))
+    return rows, model.train_tree(rows, "planted", TreeParams(max_bins=4096))
+
+
+@register("planted_scores", with_ctes(["cu"], f"""
+SELECT customer_id, {_PLANTED} AS planted, {_PLANTED} AS predicted_churn,
+  CAST({_PLANTED} AS DOUBLE) AS churn_probability, {_PLANTED} * 100.0::DOUBLE AS risk_score FROM cu"""))
+def q_planted_scores(spark, d):
+    rows, m = _planted(spark, d)
+    return rounded(model.score(m, rows).select("customer_id", "planted", "predicted_churn", "churn_probability",
+                                               "risk_score"))
+
+
+@register("planted_dashboard_scores", with_ctes(["cu"], f"""
+SELECT customer_id, {_PLANTED} AS predicted_churn, CAST({_PLANTED} AS DOUBLE) AS churn_probability FROM cu"""))
+def q_planted_dashboard_scores(spark, d):
+    rows, _ = cu(spark, d).drop("churn_probability").withColumn(
+        "planted", flag(F.col("last_order_days") > PLANTED_DAYS)), None
+    m = model.train_tree(rows, "planted", replace(DASHBOARD_TREE, max_bins=4096))
+    return rounded(model.score(m, rows).select("customer_id", "predicted_churn", "churn_probability"))
+
+
+@register("planted_report", with_ctes(["cu"], f"""
+C AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_PLANTED} = 0) AS n0,
+        count(*) FILTER (WHERE {_PLANTED} = 1) AS n1 FROM cu),
+ONE AS (SELECT *, CAST(n0 > 0 AS INTEGER)::DOUBLE AS o0, CAST(n1 > 0 AS INTEGER)::DOUBLE AS o1 FROM C)
+SELECT '0' AS class, o0 AS precision, o0 AS recall, o0 AS f1_score, n0 AS support FROM ONE
+UNION ALL SELECT '1', o1, o1, o1, n1 FROM ONE
+UNION ALL SELECT 'accuracy', NULL, NULL, 1.0::DOUBLE, n FROM ONE
+UNION ALL SELECT 'macro avg', (o0 + o1) / 2, (o0 + o1) / 2, (o0 + o1) / 2, n FROM ONE
+UNION ALL SELECT 'weighted avg', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, n FROM ONE"""))
+def q_planted_report(spark, d):
+    rows, m = _planted(spark, d)
+    return rounded(model.classification_report(model.score(m, rows), "planted", "predicted_churn"))
+
+
+@register("planted_factors", with_ctes(["cu"], """
+SELECT customer_id, 'last_order_days' AS feature, 1.0::DOUBLE AS importance,
+  CAST(coalesce(last_order_days, 0) AS DOUBLE) AS value, 1 AS rank FROM cu"""))
+def q_planted_factors(spark, d):
+    rows, m = _planted(spark, d)
+    return rounded(model.customer_factors(m, rows, n=1))
+
+
+@register("planted_kpis", with_ctes(["cu"], f"""
+SELECT round(avg(CAST({_PLANTED} AS DOUBLE)) * 100, 6) AS churn_rate,
+  count(*) FILTER (WHERE {_PLANTED} = 1) AS high_risk_customers, count(*) AS customers,
+  round(avg({_PLANTED} * 100.0::DOUBLE), 6) AS mean_risk_score FROM cu"""))
+def q_planted_kpis(spark, d):
+    """D13, page variant on predictions."""
+    rows, m = _planted(spark, d)
+    scored = model.score(m, rows).drop("churn")
+    return rounded(stats.kpis(scored, prob_col="risk_score", threshold=70.0, inclusive=True, score_col="risk_score"))
+
+
+@register("planted_distribution", with_ctes(["cu"], f"""
+SELECT 0 AS class, count(*) FILTER (WHERE {_PLANTED} = 0) AS count FROM cu
+UNION ALL SELECT 1, count(*) FILTER (WHERE {_PLANTED} = 1) FROM cu"""))
+def q_planted_distribution(spark, d):
+    """D12, predicted variant."""
+    rows, m = _planted(spark, d)
+    return stats.churn_distribution(model.score(m, rows), "predicted_churn")
+
+
+# ---------------------------------------------------------------------------
+# Display helpers, declared orders, numeric columns, as-of stamp
+# ---------------------------------------------------------------------------
+@register("display_values", with_ctes(["cu"], """
+SELECT 'CUST_' || lpad(CAST(customer_id AS VARCHAR), 5, '0') AS customer_key,
+  printf('%.1f%%', churn_probability * 100.0::DOUBLE) AS percent,
+  format('{:,}', CAST(round_even(total_spent, 0) AS BIGINT)) AS spent,
+  upper(substr(customer_type, 1, 1)) || substr(customer_type, 2) AS type_title,
+  'Last Order Days' AS factor_title, 'LAST ORDER DAYS' AS factor_heading,
+  CAST(churn_probability > 0.5::DOUBLE AS INTEGER) AS predicted FROM cu"""))
+def q_display_values(spark, d):
+    factor = F.lit("last_order_days")
+    return cu(spark, d).select(
+        padded_key("customer_id").alias("customer_key"), percent_text("churn_probability").alias("percent"),
+        thousands("total_spent").alias("spent"), title_case("customer_type").alias("type_title"),
+        title_case(factor).alias("factor_title"), upper_name(factor).alias("factor_heading"),
+        to_class("churn_probability").alias("predicted"))
+
+
+def _ranked(df: DataFrame, *cols: str) -> DataFrame:
+    """The order in which a short sorted list comes out, as a rank."""
+    at = df.select(*cols, F.monotonically_increasing_id().alias("_at"))
+    return at.select(*cols, F.row_number().over(Window.orderBy("_at")).cast("long").alias("rank"))
+
+
+@register("segment_order", with_ctes(["ct"], """
+SELECT customer_segment, row_number() OVER (ORDER BY CASE customer_segment WHEN 'regular' THEN 0
+  WHEN 'premium' THEN 1 ELSE 2 END) AS rank FROM (SELECT DISTINCT customer_segment FROM ct)"""))
+def q_segment_order(spark, d):
+    """Categories in their declared order."""
+    return _ranked(stats.order_by_category(ct(spark, d).select("customer_segment").distinct(), "customer_segment",
+                                           SEGMENT_LABELS), "customer_segment")
+
+
+@register("category_order", with_ctes(["tx"], """
+G AS (SELECT service_category, count(*) AS count FROM tx WHERE service_category IS NOT NULL GROUP BY 1)
+SELECT 'value' AS sort, service_category, count, row_number() OVER (ORDER BY service_category) AS rank FROM G
+UNION ALL SELECT 'count', service_category, count, row_number() OVER (ORDER BY count DESC, service_category) FROM G"""))
+def q_category_order(spark, d):
+    """Both sort orders of the value counts."""
+    parts = [_ranked(stats.value_counts(tx(spark, d), "service_category", sort=s), "service_category", "count")
+             .withColumn("sort", F.lit(s)) for s in ("value", "count")]
+    return parts[0].unionByName(parts[1])
+
+
+_NUMERIC = ("age", "total_spent", "total_orders", "avg_order_value", "last_order_days", "support_tickets",
+            "churn_probability", "churn")
+
+
+@register("numeric_null_counts", with_ctes(["cu"], "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, false AS allowed FROM cu"
+    for c in _NUMERIC)))
+def q_numeric_null_counts(spark, d):
+    """The numeric columns of the customers, key left out."""
+    c = cu(spark, d)
+    return stats.null_counts(c.select(*numeric_columns(c)))
+
+
+@register("stamped_shape", with_ctes(["tx", "A"], """
+SELECT 'transactions' AS table_name, count(*) AS rows, 11 AS columns, (SELECT as_of FROM A) AS as_of FROM tx"""))
+def q_stamped_shape(spark, d):
+    """A figure with the as-of moment of the data."""
+    return stats.table_shape(tx(spark, d), "transactions").select("*", as_of_stamp(bindings.as_of(spark, d)))
+
+
+@register("available_columns", with_ctes(["cu"], "SELECT customer_id, region, churn FROM cu"))
+def q_available_columns(spark, d):
+    """B1: the wanted columns that exist, in the wanted order."""
+    return select_available(cu(spark, d), ["customer_id", "region", "seller_rank", "churn"])

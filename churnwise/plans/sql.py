@@ -60,7 +60,7 @@ _CTE = {
         CAST(sum(transaction_canceled) AS BIGINT) AS total_cancellations,
         min(transaction_date) AS first_transaction_date, max(transaction_date) AS last_transaction_date,
         count(*) AS transaction_count
-        FROM tx180 GROUP BY customer_id""",
+        FROM tx GROUP BY customer_id""",
     "RQ": """SELECT quantile_cont(CAST(total_purchase_amount AS DOUBLE), 0.7) AS q70,
         quantile_cont(CAST(total_purchase_amount AS DOUBLE), 0.9) AS q90 FROM R""",
     "RS": """SELECT R.*, CASE WHEN coalesce(total_purchase_amount >= q90, false) THEN 'VIP'
@@ -73,6 +73,19 @@ _CTE = {
         coalesce(CAST(RS.total_modification_count AS DOUBLE), 0.0::DOUBLE) AS total_modification_count,
         coalesce(CAST(RS.total_additional_payment AS DOUBLE), 0.0::DOUBLE) AS total_additional_payment
         FROM cu LEFT JOIN RS ON cu.customer_id = RS.customer_id""",
+    "R180": """SELECT customer_id, sum(sales_amount) AS total_purchase_amount,
+        sum(modification_count) AS total_modification_count, sum(additional_payment) AS total_additional_payment
+        FROM tx180 GROUP BY customer_id""",
+    "ct180": """SELECT cu0.customer_id, cu0.age, cu0.region,
+        coalesce(CAST(R180.total_purchase_amount AS DOUBLE), 0.0::DOUBLE) AS total_purchase_amount,
+        CASE WHEN coalesce(total_purchase_amount >= (SELECT quantile_cont(total_purchase_amount, 0.9) FROM R180), false)
+               THEN 'VIP'
+             WHEN coalesce(total_purchase_amount >= (SELECT quantile_cont(total_purchase_amount, 0.7) FROM R180), false)
+               THEN 'premium' ELSE 'regular' END AS customer_segment,
+        cu0.join_date AS registration_date,
+        coalesce(CAST(R180.total_modification_count AS DOUBLE), 0.0::DOUBLE) AS total_modification_count,
+        coalesce(CAST(R180.total_additional_payment AS DOUBLE), 0.0::DOUBLE) AS total_additional_payment
+        FROM cu0 LEFT JOIN R180 ON cu0.customer_id = R180.customer_id""",
     "B": """SELECT customer_id, avg(modification_count) AS avg_modification_count,
         CAST(sum(modification_count) AS BIGINT) AS total_modification_count,
         avg(additional_payment) AS avg_additional_payment,
@@ -83,7 +96,7 @@ _CTE = {
         min(transaction_date) AS first_transaction_date, max(transaction_date) AS last_transaction_date,
         count(*) AS transaction_count, sum(sales_amount) AS total_sales,
         datesub('day', min(transaction_date), max(transaction_date)) AS transaction_duration_days
-        FROM tx180 GROUP BY customer_id""",
+        FROM tx GROUP BY customer_id""",
     "ps": """SELECT ct.customer_id, least(greatest(
           CASE WHEN coalesce(ct.customer_segment IN ('premium', 'VIP'), false)
                THEN (0.0::DOUBLE
@@ -110,8 +123,8 @@ _CTE = {
 _DEPS = {
     "A": [], "L": [], "tx": ["L"], "tx180": ["tx", "A"], "O": [], "E": [],
     "cu0": ["O", "E", "A"], "cuq": ["cu0"], "cus": ["cuq"], "cu": ["cus"],
-    "R": ["tx180"], "RQ": ["R"], "RS": ["RQ"], "ct": ["cu", "RS"],
-    "B": ["tx180"], "ps": ["ct", "B"], "preds": ["ps"],
+    "R": ["tx"], "RQ": ["R"], "RS": ["RQ"], "ct": ["cu", "RS"],
+    "R180": ["tx180"], "ct180": ["cu0", "R180"], "B": ["tx"], "ps": ["ct", "B"], "preds": ["ps"],
 }
 
 

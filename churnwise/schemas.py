@@ -79,7 +79,6 @@ DASHBOARD_FEATURES = ["age", "total_spent", "total_orders", "avg_order_value", "
 
 SUBSCRIPTION_CODES = {"Basic": 0, "Premium": 1, "Enterprise": 2}
 SUBSCRIPTION_DEFAULT = 0
-CUSTOMER_TYPE_DEFAULT = 0
 REGION_DEFAULT = 5
 
 # Original vocabulary, for tables that carry it.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -41,23 +44,40 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster); only when it is
-    unset, as in local tests, a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  Where it is unset, a
+    local session gets a scratch folder; any other raises, since a folder of one
+    machine would lose what the others write.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="churnwise-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
-def materialize(df):
-    """Write a derived DataFrame once to the shared checkpoint folder and cut
-    its lineage, for operators that read their input in several passes.  A
-    reliable checkpoint (never ``localCheckpoint``): lost executors re-read
-    the written files instead of recomputing the plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through Spark's file systems, if the session is still up."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """Keep a derived table that several passes read: it is computed by the first job that
+    needs it and held on the executors, in memory and beyond that on their disks; what a
+    lost executor held is computed again from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.functions.columns import whole_days
+from churnwise.functions.columns import clip, whole_days
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -59,7 +59,8 @@ def transactions(spark: SparkSession, sf_dir: str, recent_days: int | None = Non
         F.col("o_orderdate").alias("transaction_date"),
         F.col("o_totalprice").alias("sales_amount"),
         F.col("o_orderpriority").alias("service_category"),
-        F.least(F.coalesce(F.col("n_lines"), F.lit(0)), F.lit(10)).cast("int").alias("modification_count"),
+        # the domain of the count is 0..10 (its declared range), so larger line counts are clipped to it
+        clip(F.coalesce(F.col("n_lines"), F.lit(0)), 0, 10).cast("int").alias("modification_count"),
         F.coalesce(F.col("payment"), F.lit(0.0)).alias("additional_payment"),
         F.round(F.coalesce(F.lit(5.0) - F.lit(40.0) * F.col("avg_discount"), F.lit(5.0)), 6)
         .alias("service_rating"),
@@ -68,6 +69,11 @@ def transactions(spark: SparkSession, sf_dir: str, recent_days: int | None = Non
     )
 
 
+def average_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``avg_order_value`` of every customer with orders, from the orders alone."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("avg_order_value"))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cu`` without the churn label (see ``rules.churn_label``)."""
     c = table(spark, sf_dir, "customer")

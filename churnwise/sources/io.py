@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from churnwise.schemas import CSV_SCHEMAS
 
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # as written: nothing of a timestamp is cut
 # (column, lenient) per table: which text columns become timestamps
 TIMESTAMP_COLUMNS = {
     "transactions": (("transaction_date", False), ("cancellation_date", True)),
@@ -31,14 +31,15 @@ def _as_text(schema: T.StructType, names) -> T.StructType:
 
 
 # A2 / A3 ----------------------------------------------------------------------
-def parse_ts(df: DataFrame, col: str, lenient: bool = False, fmt: str | None = TS_FORMAT) -> DataFrame:
-    """Text to timestamp (no zone).  Strict raises on a bad value; lenient
-    turns it into null."""
-    c = F.col(col)
-    if lenient:
-        parsed = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+def parse_ts(df: DataFrame, col: str, lenient: bool = False, fmt: str | None = None) -> DataFrame:
+    """Text to timestamp (no zone).  Without ``fmt`` a date alone, whole seconds and any
+    fraction of up to six digits are read; ``fmt`` fixes one form.  Strict raises on a bad
+    value; lenient turns it into null."""
+    c = F.trim(F.col(col))
+    if fmt is not None:
+        parsed = (F.try_to_timestamp if lenient else F.to_timestamp)(c, F.lit(fmt) if lenient else fmt)
     else:
-        parsed = F.to_timestamp(c, fmt) if fmt else F.to_timestamp(c)
+        parsed = c.try_cast(T.TimestampNTZType()) if lenient else c.cast(T.TimestampNTZType())
     return df.withColumn(col, parsed.cast(T.TimestampNTZType()))
 
 
@@ -77,11 +78,6 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def as_json_rows(df: DataFrame) -> DataFrame:
-    """One JSON text per row, for sinks that take text."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-
-
 # A6 ---------------------------------------------------------------------------
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     from churnwise.operators.stats import report_text

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from churnwise.operators import explain, model
+from churnwise import schemas
+from churnwise.functions.columns import band, cut
+from churnwise.operators import explain, model, rollups
 from churnwise.plans import catalog
 from churnwise.schemas import DASHBOARD_FEATURES, TreeParams
 from churnwise.session import checkpoint_dir
@@ -135,3 +137,42 @@ def test_split_is_repeatable(spark, data):
     _, b = model.stratified_split(data.repartition(5))
     assert sorted(r[0] for r in a.select("customer_id").collect()) == \
         sorted(r[0] for r in b.select("customer_id").collect())
+
+
+def test_split_share_per_class(spark):
+    df = spark.range(5000).selectExpr("id AS customer_id", "CAST(id % 17 = 0 AS INT) AS churn")
+    train, test = model.stratified_split(df)
+    n = {r["churn"]: r["count"] for r in df.groupBy("churn").count().collect()}
+    got = {r["churn"]: r["count"] for r in test.groupBy("churn").count().collect()}
+    assert all(abs(got[c] - 0.2 * n[c]) <= 1 for c in n)
+    assert train.count() + test.count() == 5000
+
+
+def test_split_of_few_and_null_labels(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "customer_id long, churn int")
+    train, test = model.stratified_split(df)
+    assert train.count() + test.count() == 3
+
+
+def test_too_many_classes_raise(spark, monkeypatch):
+    monkeypatch.setattr(model, "MOST_CLASSES", 1)
+    with pytest.raises(Exception, match="more than 1 classes"):
+        model.balanced_weight(spark.createDataFrame([(0,), (1,)], "churn int")).collect()
+
+
+def test_original_vocabulary(spark):
+    """Tables that carry the original category names."""
+    df = spark.createDataFrame([("서울", "기업", "Premium"), ("제주", "개인", None)],
+                               "region string, customer_type string, subscription_type string")
+    got = model.encode_features(df, region_codes=schemas.ORIGINAL_REGION_CODES,
+                                company_label=schemas.ORIGINAL_COMPANY_LABEL).collect()
+    assert [(r["region_encoded"], r["customer_type_encoded"], r["subscription_type_encoded"]) for r in got] == [
+        (0.0, 1.0, 1.0), (5.0, 0.0, 0.0)]
+    amounts = spark.createDataFrame([(float(i),) for i in range(10)], "total_purchase_amount double")
+    seg = rollups.assign_segment(amounts, labels=schemas.ORIGINAL_SEGMENT_LABELS)
+    assert [r[0] for r in seg.groupBy("customer_segment").count().orderBy("count", "customer_segment")
+            .select("customer_segment").collect()] == ["VIP", "프리미엄", "일반"]
+    risk = spark.createDataFrame([(0.1, 10.0), (0.9, 90.0)], "p double, s double").select(
+        cut("p", schemas.RISK_EDGES, schemas.ORIGINAL_RISK_LABELS).alias("r"),
+        band("s", schemas.GAUGE_EDGES, schemas.ORIGINAL_GAUGE_LABELS).alias("g")).collect()
+    assert [tuple(r) for r in risk] == [("낮음", "낮음"), ("높음", "높음")]

@@ -5,7 +5,10 @@ import io
 import re
 from contextlib import redirect_stdout
 
+import pytest
+
 from churnwise.operators import lists, rollups
+from churnwise.operators.quantiles import quantiles
 from churnwise.plans import catalog
 from conftest import SF_SMALL
 
@@ -41,16 +44,37 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in plan, name
 
 
-def test_lineitem_rollup_is_shared(spark):
-    df = catalog.REGISTRY["segment_stats"].run(spark, SF_SMALL)
+def _scans(df) -> dict[str, int]:
+    """Scans per table that the executed plan holds (a reused exchange counts once)."""
     df.collect()
     plan = _plan(df)
-    assert plan.count("lineitem.parquet") <= 1 or "ReusedExchange" in plan
+    plan = plan[plan.index("== Final Plan =="):] if "== Final Plan ==" in plan else plan
+    plan = plan.split("== Initial Plan ==")[0]
+    return {t: len(re.findall(rf"Location: \S+ \[\S*/{t}\.parquet\]", plan)) for t in ("customer", "orders", "lineitem")}
+
+
+@pytest.mark.parametrize("name,customer,orders", [
+    ("customers", 1, 4), ("kpis", 1, 4), ("top_risk", 1, 4), ("describe_amount", 0, 2), ("customer_rollup", 0, 1)])
+def test_scan_counts(spark, name, customer, orders):
+    scans = _scans(catalog.REGISTRY[name].run(spark, SF_SMALL))
+    assert scans["customer"] <= customer and scans["orders"] <= orders, scans
+
+
+def test_rows_are_not_exchanged_by_group(spark):
+    """Quantiles per category send counts over the network, not the rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(i % 5, float(i)) for i in range(20000)], "g int, x double").repartition(4)
+        df = quantiles(rows, "x", [0.1, 0.5], by=["g"])
+        plan = _plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_report_sections(spark):
     rep = catalog.REGISTRY["quality_report"].run(spark, SF_SMALL)
     sections = {r["section"] for r in rep.select("section").distinct().collect()}
     assert sections == {"shape", "sales_amount", "modification_count", "modification_count.distribution",
-                        "cancellations", "correlation", "segment", "churn_probability", "risk_level"}
+                        "cancellations", "correlation", "segment", "churn_probability", "risk_level", "checks"}
     assert rep.where("section = 'correlation'").count() == 25

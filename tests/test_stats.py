@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from churnwise.operators import model, stats
+from churnwise.operators import model, rollups, stats
 from churnwise.operators.quantiles import quantiles
 
 
@@ -16,23 +17,64 @@ def test_quantile_interpolates(spark):
     assert got == pytest.approx(4.6)
 
 
-@pytest.mark.parametrize("n,refine", [(1, False), (2, False), (3, False), (7, False), (150, False),
-                                      (3000, False), (7, True), (3000, True)])
-def test_quantiles_match_duckdb(spark, n, refine):
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 150, 3000])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_quantiles_match_duckdb(spark, n, broadcast):
     rnd = random.Random(n)
-    rows = [(rnd.choice("abc"), float(rnd.randint(0, 50)) if rnd.random() > 0.05 else None) for _ in range(n)]
+    rows = [(rnd.choice("abc"), rnd.choice([float(rnd.randint(-50, 50)), rnd.uniform(-1e-9, 1e9)])
+             if rnd.random() > 0.05 else None) for _ in range(n)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.7, 0.9, 1.0]
-    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "x", probs, by=["g"], refine=refine).collect()}
-    glob = {r["p"]: r["value"] for r in quantiles(df, "x", probs, refine=refine).collect()}
+    got = {(r["g"], r["p"]): r["value"]
+           for r in quantiles(df, "x", probs, by=["g"], broadcast=broadcast).collect()}
+    glob = {r["p"]: r["value"] for r in quantiles(df, "x", probs).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "x"])  # noqa: F841
     con = duckdb.connect()
     for p in probs:
         for g, v in con.execute(
                 f"SELECT g, quantile_cont(x, {p}) FROM pdf WHERE x IS NOT NULL GROUP BY g").fetchall():
-            assert got[(g, p)] == pytest.approx(v, abs=1e-9), (g, p)
+            assert got[(g, p)] == pytest.approx(v, rel=1e-12, abs=1e-9), (g, p)
         v = con.execute(f"SELECT quantile_cont(x, {p}) FROM pdf").fetchone()[0]
-        assert glob.get(p) == pytest.approx(v, abs=1e-9) if v is not None else p not in glob
+        assert glob[p] == (pytest.approx(v, rel=1e-12, abs=1e-9) if v is not None else None)
+
+
+@pytest.mark.parametrize("values", [[], [None, None], [float("nan"), None]])
+def test_no_values_give_nulls(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r["value"] for r in quantiles(df, "x", [0.2, 0.5]).collect()] == [None, None]
+    assert [r["value"] for r in quantiles(df, "x", [0.5], exact=False).collect()] == [None]
+    assert quantiles(df.selectExpr("'g' AS g", "x"), "x", [0.5], by=["g"]).count() == 0
+    d = stats.describe_column(df, "x").first()
+    assert (d["mean"], d["std"], d["min"], d["max"], d["median"]) == (None,) * 5
+    rolled = rollups.assign_segment(df.selectExpr("x AS total_purchase_amount"))
+    assert {r["customer_segment"] for r in rolled.collect()} <= {"regular"}
+
+
+def test_quantiles_skip_nan_and_order_extremes(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, float("nan"), -inf, inf, -0.0, 5e-324, -1e308)], "x double")
+    got = [r["value"] for r in quantiles(df, "x", [0.0, 1 / 6, 2 / 6, 0.5, 4 / 6, 5 / 6, 1.0]).collect()]
+    assert got == [-inf, -1e308, 0.0, 5e-324, 1.0, 2.0, inf]
+    assert stats.null_counts(df).first()["null_count"] == 1
+
+
+def test_describe_matches_numpy(spark):
+    x = np.random.default_rng(1).lognormal(3, 2, 2000)
+    d = stats.describe_column(spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5), "x").first()
+    assert d["mean"] == pytest.approx(x.mean()) and d["std"] == pytest.approx(x.std(ddof=1))
+    assert (d["min"], d["max"]) == (x.min(), x.max()) and d["median"] == pytest.approx(np.median(x))
+
+
+@pytest.mark.parametrize("values,bins", [
+    ([round(1 + i * 0.1, 1) for i in range(41)], 20), ([round(1 + i * 0.1, 1) for i in range(41)], 11),
+    ([float(i % 11) for i in range(100)], 11), ([7.0] * 5, 10), ([0.1 * i for i in range(97)], 30), ([-1.5, 2.5], 50)])
+def test_histogram_bins_like_numpy(spark, values, bins):
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+    got = stats.histogram(df, "x", bins=bins).orderBy("bin").collect()
+    count, edges = np.histogram(values, bins)
+    assert [r["count"] for r in got] == list(count)
+    assert [r["bin_start"] for r in got] == pytest.approx(list(edges[:-1]))
+    assert got[-1]["bin_end"] == edges[-1]
 
 
 def test_correlation_pairs_and_constant(spark):
@@ -109,5 +151,5 @@ def test_quality_checks_flags(spark):
     got = {r["check_name"]: r["passed"] for r in
            stats.quality_checks(df, 2, (1_000_000, 30_000_000), (0.5, 0.7), (0.0, 1.0),
                                 allow_null=["cancellation_date"]).collect()}
-    assert got == {"row_count": True, "amount_range": False, "mod_cancel_corr": False,
+    assert got == {"row_count": True, "amount_min": True, "amount_max": False, "mod_cancel_corr": False,
                    "cancel_rate": True, "no_missing": False}
