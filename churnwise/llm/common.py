@@ -38,21 +38,6 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_values)))
 
 
-def pairs_in_runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i < j, of equal neighbours in a sorted array, run by run."""
-    n, first, second = len(sorted_values), [], []
-    left, step = np.arange(n), 1
-    while len(left):
-        left = left[left + step < n]
-        left = left[sorted_values[left] == sorted_values[left + step]]
-        first.append(left)
-        second.append(left + step)
-        step += 1
-    if not first:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(first), np.concatenate(second)
-
-
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (src, dst)."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

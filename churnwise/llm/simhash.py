@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import connected_components, pairs_in_runs, text_bytes, written
+from churnwise.llm.common import connected_components, runs, text_bytes, written
 
 BITS = 64
 SEED = 42
 RANK = "rank of a repeated id"
 TEXT_STEP = 1 << 20  # bytes of one text whose words are held at a time
-TASK_VARIANTS = 1 << 21  # variants one group is planned for, and at most sorted at once
+TASK_VARIANTS = 1 << 20  # variants one group is planned for, and at most sorted at once
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -72,17 +72,20 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def similar_pairs(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataFrame:
-    """(src, dst): all pairs of the distinct fingerprints ``fp`` within ``radius`` bits.
+def similar_links(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataFrame:
+    """(src, dst): links that join the distinct fingerprints ``fp`` as all pairs within
+    ``radius`` bits do.
 
     Every fingerprint stands for all its variants within half the radius, and two
     fingerprints meet where they share a variant.  For an odd radius 2m+1 those with
     an even number of ones take m+1 and the others m: a pair at an odd distance has one
     of each, and a pair at an even distance is at most 2m apart.  The variants are
     shuffled factored: the upper ``key_bits`` bits are varied before the shuffle, the
-    lower bits, by what is left of the radius, in the group that reads them.  Meeting
-    pairs are verified by their true distance.  At most a ball of variants (2,081 for
-    radius 3) can meet in one variant, so no group of fingerprints is quadratic.
+    lower bits, by what is left of the radius, in the group that reads them.  Of the
+    fingerprints that meet in a variant, those within m of it are within the radius of
+    all the others, so one of them is linked to each of the rest and the true distance
+    verified; two that are both further off meet elsewhere if they are similar.  The links
+    are therefore no more than the meetings, however large a group of near copies is.
     """
     low_bits = BITS - key_bits
     small, large = radius // 2, radius - radius // 2
@@ -126,11 +129,18 @@ def similar_pairs(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataF
                     owners.append(o)
             v, o = np.concatenate(values), np.concatenate(owners)
             order = np.argsort(v)
-            i, j = pairs_in_runs(v[order])
-            a, b = fp[o[order[i]]], fp[o[order[j]]]
-            near = np.bitwise_count(a ^ b) <= radius
-            a, b = a[near].view(np.int64), b[near].view(np.int64)
-            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+            v, o = v[order], o[order]
+            same = v[1:] == v[:-1]
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            v, x = v[shared], fp[o[shared]]
+            far = np.bitwise_count(v ^ x) > small
+            order = np.lexsort((far, v))
+            v, x, far = v[order], x[order], far[order]
+            start, size = runs(v)
+            pivot, has = np.repeat(x[start], size), np.repeat(~far[start], size)
+            link = has & (pivot != x) & (np.bitwise_count(pivot ^ x) <= radius)
+            a, b = pivot[link].view(np.int64), x[link].view(np.int64)
+            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"src": pa.array(out[:, 0]), "dst": pa.array(out[:, 1])})
 
@@ -149,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col, size))
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(similar_pairs(classes.select("fp"), radius))
+    roots = connected_components(similar_links(classes.select("fp"), radius))
     joined = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component"))
