@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,48 +13,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TEXT_STEP = 1 << 20  # characters of one text that are tokenized at a time
-CACHE_WORDS = 300_000  # tokenized words a worker remembers
+CACHE_WORDS = 200_000  # tokenized words of one generation that a worker remembers
 BATCH_PIECES = 4096  # pieces in one output batch
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")  # always a border between two words
+_LATIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+_LATIN_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Fixed rule of byte-level vocabularies: visible Latin-1 characters stand for their byte, the other bytes for
+# the characters from 256 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+class _Words(dict):
+    """Ids of words by word, as little-endian unsigned 32-bit integers; new words are encoded on demand."""
+
+    def __init__(self, model, older: dict[str, bytes]):
+        super().__init__()
+        self.model, self.older = model, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            symbols = word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            ids = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 class WordTokenizer:
     """Byte-level BPE ids of whole texts, word by word.
 
-    The vocabulary's own word pattern splits a text exactly as the tokenizer does
-    before it merges bytes, so the ids of a text are those of its words in turn; each
-    distinct word is encoded once and remembered.
+    The vocabulary's own word pattern splits a text exactly as the tokenizer does before
+    it merges bytes, so the ids of a text are those of its words in turn.  Each word is
+    encoded once and remembered for two generations of ``CACHE_WORDS`` words.  Texts of
+    plain Latin characters are split by an equal pattern of the faster ``re`` module.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path).model
+        self.pattern = regex.compile(pattern)
+        self.known = _Words(self.model, {})
 
-    def _parts(self, text: str) -> Iterator[str]:
-        at = 0
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + TEXT_STEP) if at + TEXT_STEP < len(text) else None
             end = cut.start() if cut else len(text)
-            yield text[at:end]
-            at = end
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in self._parts(text):
-            words = self.words.findall(part)
-            new = list(set(words).difference(self.known))
-            if new:
-                if len(self.known) > CACHE_WORDS:
-                    self.known = {}
-                    new = list(set(words))
-                for word, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[word] = np.array(enc.ids, dtype="<u4").tobytes()
+            part = text[at:end] if at or cut else text
+            words = (_LATIN_WORDS if _LATIN.fullmatch(part) else self.pattern).findall(part)
             known = self.known
             out.append(b"".join([known[w] for w in words]))
+            if len(known) > CACHE_WORDS:
+                self.known = _Words(self.model, dict(known))
+            at = end
         return b"".join(out)
 
 
