@@ -581,15 +581,15 @@ UNION ALL SELECT 'no_missing', coalesce(nulls = 0, false), round(nulls, 6) FROM
 UNION ALL SELECT 'declared_columns', true, 0.0::DOUBLE"""
 
 
-def _checks(spark, d):
-    return stats.quality_checks(tx(spark, d), EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
+def _checks(t: DataFrame) -> DataFrame:
+    return stats.quality_checks(t, EXPECTED_TRANSACTION_ROWS, AMOUNT_RANGE,
                                 MOD_CANCEL_CORR_RANGE, CANCEL_RATE_RANGE,
                                 allow_null=["cancellation_date"], schema=BOUND_TRANSACTIONS)
 
 
 @register("quality_checks", with_ctes(["tx"], _CHECKS_SQL))
 def q_quality_checks(spark, d):
-    return rounded(_checks(spark, d))
+    return rounded(_checks(tx(spark, d)))
 
 
 # ---------------------------------------------------------------------------
@@ -713,6 +713,13 @@ def q_stream_scores(spark, d):
         "customer_id", "predicted_churn", "churn_probability", "risk_score"))
 
 
+def _three_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transactions, customers and predictions for queries that read each several times."""
+    t = reused(tx(spark, d))
+    customers = reused(rollups.customer_table(bindings.customers(spark, d), t))
+    return t, customers, reused(rules.rule_risk(customers, t, rating_digits=RATING_DIGITS))
+
+
 def _difference(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
     """(table_name, rows, mismatches): rows of either side that the other does not have."""
     rows = a.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
@@ -727,9 +734,7 @@ def q_csv_round_trip(spark, d):
     """A1-A4: the three tables written as CSV and read back with their schemas, compared row by row."""
     from churnwise.sources import io
     path = scratch_path(spark, "csv")
-    customers = reused(ct(spark, d))
-    tables = {"transactions": reused(tx(spark, d)), "customers": customers,
-              "predictions": reused(rules.rule_risk(customers, tx(spark, d), rating_digits=RATING_DIGITS))}
+    tables = dict(zip(("transactions", "customers", "predictions"), _three_tables(spark, d)))
     io.write_tables(tables, path)
     back = io.read_tables(spark, path, schemas={k: v.schema for k, v in tables.items()})
     parts = [_difference(k, v, back[k]) for k, v in tables.items()]
@@ -779,9 +784,8 @@ def _report_sql() -> str:
 
 
 def _report(spark, d):
-    customers = reused(ct(spark, d))
-    scored = reused(rules.rule_risk(customers, tx(spark, d), rating_digits=RATING_DIGITS))
-    rep = stats.quality_report(tx(spark, d), customers, scored, checks=_checks(spark, d))
+    t, customers, scored = _three_tables(spark, d)
+    rep = stats.quality_report(t, customers, scored, checks=_checks(t))
     v = F.col("value")
     return rep.select("section", "metric",
                       F.when(F.abs(v) >= 1e6, F.round(v, 2)).otherwise(F.round(v, 6)).alias("value"))
