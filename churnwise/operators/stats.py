@@ -410,8 +410,10 @@ def quality_report(tx: DataFrame, customers: DataFrame, predictions: DataFrame,
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    """One text line per report row, for ``write.text``; values with six decimals."""
-    return report.select(F.format_string("%s | %s | %s", "section", "metric",
-                                         F.coalesce(F.format_string("%.6f", "value"), F.lit("NaN")))
+    """One text line per report row, for ``write.text``; values with six decimals, from a
+    million on (amounts) with two."""
+    v = F.col("value")
+    text = F.when(F.abs(v) >= 1e6, F.format_string("%.2f", v)).when(v.isNotNull(), F.format_string("%.6f", v))
+    return report.select(F.format_string("%s | %s | %s", "section", "metric", F.coalesce(text, F.lit("NaN")))
                          .alias("value"))
 

@@ -796,9 +796,10 @@ def q_quality_report(spark, d):
     return _report(spark, d)
 
 
-@register("quality_report_text", _report_sql().replace(
-    "SELECT section, metric, CASE", "SELECT section || ' | ' || metric || ' | ' || "
-    "coalesce(printf('%.6f', CASE", 1).replace(" AS value FROM ALLROWS", "), 'NaN') AS value FROM ALLROWS"))
+@register("quality_report_text", f"""
+SELECT section || ' | ' || metric || ' | ' || CASE WHEN value IS NULL THEN 'NaN'
+  WHEN abs(value) >= 1e6 THEN printf('%.2f', value) ELSE printf('%.6f', value) END AS value
+FROM ({_report_sql()})""")
 def q_quality_report_text(spark, d):
     return stats.report_text(_report(spark, d))
 
