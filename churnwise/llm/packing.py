@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,13 @@ CACHE_WORDS = 200_000  # tokenized words of one generation that a worker remembe
 BATCH_PIECES = 4096  # pieces in one output batch
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")  # always a border between two words
 _LATIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
-_LATIN_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN_WORDS = re.compile(
+    rf" ?[{_LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 # Fixed rule of byte-level vocabularies: visible Latin-1 characters stand for their byte, the other bytes for
 # the characters from 256 on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPACE = chr(256 + 32)
 BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
@@ -34,8 +38,12 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            symbols = word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-            ids = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+            if word.isascii() and word.isprintable():  # only spaces have another symbol
+                symbols = word.replace(" ", SPACE)
+            else:
+                symbols = word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            found = [t.id for t in self.model.tokenize(symbols)]
+            ids = pack_ids(f"<{len(found)}I", *found)
         self[word] = ids
         return ids
 
@@ -63,10 +71,9 @@ class WordTokenizer:
             end = cut.start() if cut else len(text)
             part = text[at:end] if at or cut else text
             words = (_LATIN_WORDS if _LATIN.fullmatch(part) else self.pattern).findall(part)
-            known = self.known
-            out.append(b"".join([known[w] for w in words]))
-            if len(known) > CACHE_WORDS:
-                self.known = _Words(self.model, dict(known))
+            out.append(b"".join(map(self.known.__getitem__, words)))
+            if len(self.known) > CACHE_WORDS:
+                self.known = _Words(self.model, dict(self.known))
             at = end
         return b"".join(out)
 
