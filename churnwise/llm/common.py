@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.session import checkpoint_dir
+from churnwise.session import scratch_path
 
 
-def written(df: DataFrame) -> DataFrame:
+FILE_ROWS = 100_000  # narrow rows in one file of a small table
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage with a table that survives lost executors; the folder is the
-    session's ``spark.checkpoint.dir``.
+    session's ``spark.checkpoint.dir``, and the table goes when the driver ends.  ``rows``
+    is the number of rows to expect of a narrow table that was just shuffled: it is written
+    in as few files as hold ``FILE_ROWS`` each instead of one per shuffle partition.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession, "written")
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of an Arrow string column; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of an Arrow string column, one text at a time; null counts as empty."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +42,22 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_values)))
 
 
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes on the links (a, b) and the smallest node each reaches over these links."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    s, t = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[s], root[t])
+        new = root.copy()
+        np.minimum.at(new, root[s], low)
+        np.minimum.at(new, root[t], low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over (src, dst)."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -58,20 +78,20 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) of every node on an edge; root is the smallest node reachable.
 
-    ``edges`` has two columns ``src`` and ``dst`` of one orderable type.  Alternating
-    large-star and small-star steps end in stars around the roots after a number of
-    rounds that grows with the logarithm of the longest path.  Every round is two
-    grouped minima and two joins; the links stay distributed, and each round is
-    written so that a lost executor does not undo the rounds before it.
+    ``edges`` has two columns ``src`` and ``dst`` of one orderable type, and about ``rows``
+    rows if that is known.  Alternating large-star and small-star steps end in stars around
+    the roots after a number of rounds that grows with the logarithm of the longest path.
+    Every round is two grouped minima and two joins; the links stay distributed, and each
+    round is written so that a lost executor does not undo the rounds before it.
     """
     current = written(edges.where(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), rows)
     before = _digest(current)
     while before[0]:
-        current = written(_stars(current))
+        current = written(_stars(current), before[0])
         now = _digest(current)
         if now == before:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import connected_components, matrix, usable_vector, written
+from churnwise.llm.common import connected_components, local_roots, matrix, usable_vector, written
 
 LIST_ROWS = 256  # vectors of one label in a list, on average, while the lists stay under MOST_LISTS
 MOST_LISTS = 4096
@@ -91,22 +91,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes on the links (a, b) and the smallest node each reaches over these links."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    s, t = at[:len(a)], at[len(a):]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[s], root[t])
-        new = root.copy()
-        np.minimum.at(new, root[s], low)
-        np.minimum.at(new, root[t], low)
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
-
-
 def link(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
          label_col: str = "label") -> DataFrame:
     """(id, n_links, component) per row: vectors of one label link at a cosine of at least ``threshold``.
@@ -143,7 +127,7 @@ def link(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vecto
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     if found is None:
         return alone
-    found = written(found)
+    found = written(found)  # at most a row per class and block
     roots = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = (classes.join(counts, classes.low == counts.id, "left").drop("id")
@@ -187,7 +171,7 @@ def _links(classes: DataFrame, n: int, labels: int, threshold: float, radius: fl
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
 
-    grid = written(blocks(members, "m_blocks").join(blocks(asking, "a_blocks"), ["label", "list"]))
+    grid = written(blocks(members, "m_blocks").join(blocks(asking, "a_blocks"), ["label", "list"]), labels * lists)
 
     def dealt(df: DataFrame, mine: str, other: str, mine_name: str, other_name: str) -> DataFrame:
         return (df.join(grid, ["label", "list"])

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import connected_components, runs, text_bytes, written
+from churnwise.llm.common import connected_components, each_text, local_roots, runs, written
 
 BITS = 64
 SEED = 42
 RANK = "rank of a repeated id"
-TEXT_STEP = 1 << 20  # bytes of one text whose words are held at a time
-TASK_VARIANTS = 1 << 20  # variants one group is planned for, and at most sorted at once
+TEXT_STEP = 1 << 18  # bytes of one text whose words are held at a time
+TASK_VARIANTS = 1 << 20  # variants one group is planned for
+SORT_VARIANTS = 1 << 19  # variants sorted at once, about; a group with more takes several rounds
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hashed(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, size) for t in text_bytes(batch.column(1))], dtype=np.uint64)
+            fp = np.array([fingerprint(t, size) for t in each_text(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, schema)
@@ -72,9 +73,9 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def similar_links(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataFrame:
-    """(src, dst): links that join the distinct fingerprints ``fp`` as all pairs within
-    ``radius`` bits do.
+def similar_links(distinct: DataFrame, radius: int, count: int, key_bits: int = 16) -> DataFrame:
+    """(src, dst): links that join the distinct fingerprints ``fp`` into the same components
+    as all pairs within ``radius`` bits do; there are ``count`` of them.
 
     Every fingerprint stands for all its variants within half the radius, and two
     fingerprints meet where they share a variant.  For an odd radius 2m+1 those with
@@ -84,12 +85,12 @@ def similar_links(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataF
     lower bits, by what is left of the radius, in the group that reads them.  Of the
     fingerprints that meet in a variant, those within m of it are within the radius of
     all the others, so one of them is linked to each of the rest and the true distance
-    verified; two that are both further off meet elsewhere if they are similar.  The links
-    are therefore no more than the meetings, however large a group of near copies is.
+    verified; two that are both further off meet elsewhere if they are similar.  A group of
+    variants hands on one link per fingerprint, to the smallest it reaches there, however
+    large a group of near copies is.
     """
     low_bits = BITS - key_bits
     small, large = radius // 2, radius - radius // 2
-    count = distinct.count()
     per_fp = sum(math.comb(BITS, r) for r in range(large + 1))
     groups = max(1, math.ceil(count * per_fp / TASK_VARIANTS))
 
@@ -112,12 +113,12 @@ def similar_links(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataF
         left = table.column("left").to_numpy()
         base = (key << np.uint64(low_bits)) | (fp & np.uint64((1 << low_bits) - 1))
         total = sum(int((left == r).sum()) * len(m) for r, m in low_masks.items())
-        slices, found = -(-total // (2 * TASK_VARIANTS)) or 1, []
+        slices, found = -(-total // SORT_VARIANTS) or 1, []
         for s in range(slices):
             values, owners = [], []
             for r, masks in low_masks.items():
                 own = np.flatnonzero(left == r)
-                step = max(1, TASK_VARIANTS // len(masks))
+                step = max(1, SORT_VARIANTS // len(masks))
                 for i in range(0, len(own), step):
                     part = own[i:i + step]
                     v = (base[part][:, None] ^ masks[None, :]).ravel()
@@ -140,9 +141,11 @@ def similar_links(distinct: DataFrame, radius: int, key_bits: int = 16) -> DataF
             pivot, has = np.repeat(x[start], size), np.repeat(~far[start], size)
             link = has & (pivot != x) & (np.bitwise_count(pivot ^ x) <= radius)
             a, b = pivot[link].view(np.int64), x[link].view(np.int64)
-            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"src": pa.array(out[:, 0]), "dst": pa.array(out[:, 1])})
+            found.append(np.stack(local_roots(a, b)))
+        out = np.concatenate(found, axis=1)
+        node, root = local_roots(out[0], out[1])
+        away = node != root
+        return pa.table({"src": pa.array(node[away]), "dst": pa.array(root[away])})
 
     return rows.groupBy("part").applyInArrow(met, "src long, dst long").distinct()
 
@@ -158,8 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take part, and a component without any id has a null ``component``.
     """
     prints = written(fingerprints(docs, id_col, text_col, size))
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(similar_links(classes.select("fp"), radius))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    distinct = prints.select("fp").distinct()
+    count = distinct.count()
+    roots = connected_components(similar_links(distinct, radius, count), count)
     joined = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component"))

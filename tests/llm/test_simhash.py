@@ -78,17 +78,27 @@ def test_every_distance_up_to_the_radius(spark):
                 fps.add(x ^ sum(1 << b for b in rng.sample(range(64), r)))
     fps = sorted(fps)
     signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
-    got = simhash.similar_links(spark.createDataFrame([(signed[x],) for x in fps], "fp long"), 3).collect()
+    got = simhash.similar_links(spark.createDataFrame([(signed[x],) for x in fps], "fp long"), 3, len(fps)).collect()
     found = [(r["src"] % (1 << 64), r["dst"] % (1 << 64)) for r in got]
-    assert all(0 < (a ^ b).bit_count() <= 3 for a, b in found)
     want = union_find([(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 3])
     have = union_find(found)
     assert {x: want.get(x, x) for x in fps} == {x: have.get(x, x) for x in fps}
 
 
+def test_many_near_fingerprints(spark):
+    """A group with more variants than are sorted at once: all share their upper bits."""
+    fps = sorted({(7 << 48) ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(0, 48, 3) for j in range(1, 48, 3)
+                  for k in range(2, 48, 5)} | {(7 << 48) ^ ((1 << 40) - 1)})
+    got = simhash.similar_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, len(fps)).collect()
+    have = union_find([(r["src"], r["dst"]) for r in got])
+    want = union_find([(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 3])
+    assert {x: want.get(x, x) for x in fps} == {x: have.get(x, x) for x in fps}
+    assert len(got) <= 60 * len(fps)
+
+
 def test_even_radius(spark):
     fps = [0, 1, 3, 7, 15, 1 << 40]
-    got = simhash.similar_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 2).collect()
+    got = simhash.similar_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 2, len(fps)).collect()
     root = union_find([(r["src"], r["dst"]) for r in got])
     assert [root[x] for x in fps] == [0] * 6
 
