@@ -140,7 +140,3 @@ def moments_and_median(df: DataFrame, col: str) -> DataFrame:
     picked = _picked(df, col, [0.5], [], True, True)
     return picked.agg(*[F.max(c).alias(n) for c, n in (
         ("_mean", "mean"), ("_std", "std"), ("_min", "min"), ("_max", "max"), ("value", "median"))])
-
-
-def median(df: DataFrame, col: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    return quantiles(df, col, [0.5], by=by, exact=exact).drop("p").withColumnRenamed("value", "median")
