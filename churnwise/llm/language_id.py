@@ -8,13 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import text_bytes, written
+from churnwise.llm.common import each_text
 
 # Language families by language code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -59,7 +57,7 @@ def profile(text: bytes) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _profiles(text: pa.Array) -> pa.Array:
-    return pa.array([profile(t) for t in text_bytes(text)], pa.list_(pa.float64()))
+    return pa.array([profile(t) for t in each_text(text)], pa.list_(pa.float64()))
 
 
 @dataclass(frozen=True)
@@ -95,6 +93,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """Learn from a bounded sample: of each language the texts whose key hashes below
     ``per_language`` divided by the language's number of rows.  Rows without text,
     language or letters are not used."""
+    from pyspark.ml.classification import LinearSVC  # here, so that tasks need not import it
+    from pyspark.ml.functions import array_to_vector
+
     rows = labelled.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     languages = sorted(counts)
@@ -106,10 +107,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     if not languages:
         return LanguageModel({}, {})
     draw = F.pmod(F.xxhash64(F.lit("sample"), key_col), F.lit(1 << 20)) / float(1 << 20)
-    sample = written(rows.where(draw < share[F.col(lang_col)]).select(
-        F.col(lang_col).alias("lang"), _profiles(F.col(text_col)).alias("x"))
-        .select("lang", array_to_vector("x").alias("features")))
-    sample = sample.persist()
+    sample = rows.where(draw < share[F.col(lang_col)]).select(
+        F.col(lang_col).alias("lang"), array_to_vector(_profiles(F.col(text_col))).alias("features")).persist()
     family = F.create_map(*[F.lit(v) for k in languages for v in (k, FAMILIES.get(k, k))])[F.col("lang")]
     svm = LinearSVC(maxIter=25, regParam=0.003, standardization=False)
     machines = {}
@@ -142,7 +141,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predicted(text: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in text_bytes(text)]
+        found = [model.predict(t) for t in each_text(text)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
                                            pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 

@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import hash_bucket, written
+from churnwise.llm.common import hash_bucket
 
 PERIOD = 1000  # slots after which the schedule repeats; weights are multiples of 1 / PERIOD
 BLOCK_ROWS = 16  # documents in one block
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     rows = rows.withColumn("part", hash_bucket([F.col("key"), F.lit(1)], buckets))
     running = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = written(rows.groupBy("src", "part").count()).select(
+    first = rows.groupBy("src", "part").count().select(
         "src", "part", (F.sum("count").over(running) - F.col("count")).alias("first"))
     order = Window.partitionBy("src", "part").orderBy("key")
     ranked = rows.select("*", (F.row_number().over(order) - 1).alias("r")).join(first, ["src", "part"]).select(

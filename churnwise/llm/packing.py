@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import cache
 from struct import pack as pack_ids
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnwise.llm.common import release_memory
+
 TEXT_STEP = 1 << 20  # characters of one text that are tokenized at a time
 CACHE_WORDS = 200_000  # tokenized words of one generation that a worker remembers
 BATCH_PIECES = 4096  # pieces in one output batch
@@ -78,6 +80,12 @@ class WordTokenizer:
         return b"".join(out)
 
 
+@cache
+def shared_tokenizer(path: str, pattern: str) -> WordTokenizer:
+    """One tokenizer, with the words it remembers, for all tasks of a Python worker."""
+    return WordTokenizer(path, pattern)
+
+
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of the power-of-two pieces of ``n`` ids, longest first."""
     out, at = [], 0
@@ -112,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
         T.StructField("doc_tokens", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
     def packed(batches):
-        tokens = WordTokenizer(tokenizer_path, pattern)
+        tokens = shared_tokenizer(tokenizer_path, pattern)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             id_type, ids, rows = batch.column(0).type, batch.column(0), []
@@ -134,6 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
                         rows = []
             if rows:
                 yield block()
+            release_memory()
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, schema)
     return out.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

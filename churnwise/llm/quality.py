@@ -8,13 +8,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import text_bytes, written
+from churnwise.llm.common import each_text, written
 
 LABEL_SAMPLE = 10_000  # expected number of labelled documents the classifier learns from at most
 SITE_BROADCAST_ROWS = 100_000  # site rows (three numbers and two names) broadcast at most
@@ -54,7 +52,7 @@ def features(text: bytes) -> list[float]:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _features(text: pa.Array) -> pa.Array:
-    return pa.array([features(t) for t in text_bytes(text)], pa.list_(pa.float64()))
+    return pa.array([features(t) for t in each_text(text)], pa.list_(pa.float64()))
 
 
 @dataclass(frozen=True)
@@ -73,17 +71,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     has a bound and is broadcast.  Labels other than 0 and 1 are not used; without both
     classes there is no evidence and every document counts as good as another.
     """
+    from pyspark.ml.classification import LogisticRegression  # here, so that tasks need not import it
+    from pyspark.ml.functions import array_to_vector
+
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("labelled"), F.col(label_col).cast("double").alias("label")).distinct()
     total = usable.count()
     draw = F.pmod(F.xxhash64(F.lit("sample"), "labelled"), F.lit(1 << 20)) / float(1 << 20)
     chosen = usable.where(draw < min(1.0, sample / max(1, total)))
-    rows = written(docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
-                   .join(F.broadcast(chosen), "labelled")
-                   .select("label", _features(F.col("text")).alias("x")))
+    rows = (docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
+            .join(F.broadcast(chosen), "labelled")
+            .select("label", array_to_vector(_features(F.col("text"))).alias("features"))).persist()
     if rows.select("label").distinct().count() < 2:
+        rows.unpersist()
         return QualityModel([0.0] * len(FEATURES), 0.0)
-    model = LogisticRegression(maxIter=50, regParam=1e-4).fit(rows.select("label", array_to_vector("x").alias("features")))
+    model = LogisticRegression(maxIter=50, regParam=1e-4).fit(rows)
+    rows.unpersist()
     return QualityModel([float(w) for w in model.coefficients], float(model.intercept))
 
 
@@ -108,27 +111,31 @@ def _strength(groups: DataFrame, prior: Column) -> float:
     return float(min(1e6, max(1.0, mean_var / between - 1))) if between > 0 else 1e6
 
 
-def site_rates(evidence: DataFrame) -> DataFrame:
-    """(host, path, n, host_rate, rate, prior) from rows (host, path, p).
+def site_rates(paths: DataFrame) -> DataFrame:
+    """(host, path, n, host_rate, rate, prior) from the sums (host, path, n, s) of evidence.
 
     The global prior is the mean evidence; a host's rate is its mean drawn to the prior
     with the weight of the hosts' common Beta prior, and a path's rate is its mean drawn
-    to its host's rate.  All sums are combined map-side, so a host with most of the
-    documents costs each task one row.
+    to its host's rate.
     """
-    paths = written(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     prior = total["s"] / total["n"] if total["n"] else 0.5
     k = _strength(hosts, F.lit(prior))
     hosts = hosts.select("host", ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_rate"))
-    both = written(paths.join(hosts, "host"))
+    both = paths.join(hosts, "host")
     k2 = _strength(both, F.col("host_rate"))
     return both.select("host", "path", "n", "host_rate",
                        ((F.col("s") + k2 * F.col("host_rate")) / (F.col("n") + k2)).alias("rate"),
                        F.lit(prior).alias("prior"))
 
 
+def site_sums(evidence: DataFrame) -> DataFrame:
+    """(host, path, n, s): number of rows (host, path, p) and their total evidence.  Sums are
+    combined map-side, so a host with most of the documents costs each task one row."""
+    return evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id",
              text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(row, host, path, evidence, host_rate, path_rate, posterior, keep) per row of ``docs``.
@@ -145,7 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
     @F.arrow_udf("double")
     def log_odds(text: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in text_bytes(text)]).reshape(len(text), len(weights))
+        x = np.array([features(t) for t in each_text(text)]).reshape(len(text), len(weights))
         return pa.array(x @ weights + model.intercept, pa.float64())
 
     name = F.coalesce(host.cast("string"), F.lit(""))
@@ -153,8 +160,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     rows = docs.select(F.struct("*").alias("row"), name.alias("host"), part.alias("path"),
                        log_odds(F.col(text_col)).alias("z"))
     odds = 1 / (1 + F.exp(-F.col("z")))
-    sites = written(site_rates(rows.select("host", "path", odds.alias("p"))).drop("n"))
-    if sites.count() <= SITE_BROADCAST_ROWS:
+    sums = written(site_sums(rows.select("host", "path", odds.alias("p"))))
+    sites = site_rates(sums).drop("n")
+    if sums.count() <= SITE_BROADCAST_ROWS:
         sites = F.broadcast(sites)
     posterior = 1 / (1 + F.exp(-(F.col("z") + _logit(F.col("rate")) - _logit(F.col("prior")))))
     return rows.join(sites, ["host", "path"]).select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import connected_components, each_text, local_roots, runs, written
+from churnwise.llm.common import connected_components, each_text, local_roots, release_memory, runs, written
 
 BITS = 64
 SEED = 42
@@ -145,6 +145,7 @@ def similar_links(distinct: DataFrame, radius: int, count: int, key_bits: int =
         out = np.concatenate(found, axis=1)
         node, root = local_roots(out[0], out[1])
         away = node != root
+        release_memory()
         return pa.table({"src": pa.array(node[away]), "dst": pa.array(root[away])})
 
     return rows.groupBy("part").applyInArrow(met, "src long, dst long").distinct()

@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import runs, written
-from churnwise.session import checkpoint_dir
+from churnwise.llm.common import release_memory, runs, written
+from churnwise.session import scratch_path
 
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 4 << 20  # text in one block; a longer text is a block of its own
-SLICE_BYTES = 1 << 20  # text whose hashes are held at a time
+SLICE_BYTES = 1 << 19  # text whose hashes are held at a time
+SORT_BYTES = 1 << 20  # bytes of runs whose suffixes are sorted together, at least a group of one anchor
 BUCKET_BYTES = 8 << 20  # text whose anchors meet in one group, on average
 COMMON_SURROUNDINGS = 64  # different runs of one anchor in a block
 COMMON_BLOCKS = 4096  # blocks with one anchor
@@ -379,13 +380,25 @@ def _arrays(table: pa.Table, **kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in kinds.items()]
 
 
+def _chunks(group: np.ndarray, end: np.ndarray):
+    """(start, stop) of whole groups with SORT_BYTES bytes at most, one group at least;
+    ``end`` is where each item's bytes end."""
+    last = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+    start, done = 0, 0
+    for k, stop in enumerate(last):
+        if k + 1 == len(last) or end[last[k + 1] - 1] - done > SORT_BYTES:
+            yield start, stop
+            start, done = stop, end[stop - 1]
+
+
 def _owners(table: pa.Table, column: str, width: int) -> np.ndarray:
     """For each entry of a blob column the number of the row it came with."""
     return np.repeat(np.arange(len(table)), [len(b) // width for b in table.column(column).to_pylist()])
 
 
 def blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """(block, data): the rows of ``docs`` in Arrow streams, written bucketed by block."""
+    """(block, size, data): the rows of ``docs`` in Arrow streams, with the bytes of their
+    texts, written bucketed by block."""
     spark = docs.sparkSession
 
     def grouped(batches):
@@ -400,21 +413,26 @@ def blocks(docs: DataFrame, text_col: str) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as stream:
                     stream.write_batch(batch.slice(at, end - at))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()),
+                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["size", "data"])
                 at = end
 
-    rows = docs.mapInArrow(grouped, "data binary").select(F.monotonically_increasing_id().alias("block"), "data")
+    rows = docs.mapInArrow(grouped, "size long, data binary").select(
+        F.monotonically_increasing_id().alias("block"), "size", "data")
     name = f"blocks_{uuid.uuid4().hex}"
     # as many buckets as shuffle partitions, so that joins by block leave the blocks in place
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(n, "block").format("parquet").option("compression", "zstd").option(
-        "path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    return spark.table(name)
+        "path", scratch_path(spark, "blocks")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay until the driver ends
+    return table
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes).
+                   gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes; with
+    ``as_text`` as a string, without the characters that lost some of their bytes).
 
     A byte is removed if it is covered by a string of ``length`` bytes that also starts in
     a document with a smaller id; strings are judged on the input.  ``id_col`` is an integer
@@ -427,14 +445,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 8 <= gram <= length <= gram + 63:
         raise ValueError("gram must be at least 8 and at most 63 bytes shorter than length")
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-             T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
+             T.StructField("n_spans", T.LongType()),
+             T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     docs = docs.drop(*[f.name for f in added])
     table = blocks(docs, text_col)
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total = table.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    table = table.drop("size")
 
-    def block(data) -> Block:
-        return Block(data.as_buffer(), id_col, text_col, buckets, length, gram)
+    def each_block(batches):
+        """(block number, Block, what pass 1, 2 and 3 told it) of each row."""
+        for batch in batches:
+            told = [batch.column(c) if c in batch.schema.names else None for c in ("one", "two", "three")]
+            for at in range(batch.num_rows):
+                b = Block(batch.column("data")[at].as_buffer(), id_col, text_col, buckets, length, gram)
+                yield (batch.column("block")[at].as_py(), b,
+                       *(c[at].as_py() or [] if c is not None else [] for c in told))
+                del b
+                release_memory()
 
     def learnt(found: DataFrame, name: str) -> DataFrame:
         """One row per block: what the groups of a pass told it."""
@@ -445,12 +473,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema1, kinds1 = _fields("bucket:int block:long keys:binary common:binary")
 
     def anchors(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                b, number = block(batch.column("data")[at]), batch.column("block")[at].as_py()
-                bucket = (b.codes >> np.uint64(32)).astype(np.int32)
-                yield _batch([(k, number, keys.tobytes(), common.tobytes()) for k, keys, common in
-                              _split(bucket, b.codes.astype("<u4"), b.common().astype(np.uint8))], schema1, kinds1)
+        for number, b, *_ in each_block(batches):
+            bucket = (b.codes >> np.uint64(32)).astype(np.int32)
+            yield _batch([(k, number, keys.tobytes(), common.tobytes()) for k, keys, common in
+                          _split(bucket, b.codes.astype("<u4"), b.common().astype(np.uint8))], schema1, kinds1)
 
     schema2, kinds2 = _fields("block:long bucket:int status:binary")
 
@@ -471,15 +497,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema3, kinds3 = _fields("bucket:int block:long key:binary content:binary doc:binary number:binary")
 
     def shared_runs(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                b, number = block(batch.column("data")[at]), batch.column("block")[at].as_py()
-                status = b.status(batch.column("one")[at].as_py())
-                mine = np.flatnonzero(status[b.class_code] == 1)
-                code = b.codes[b.class_code[mine]]
-                yield _batch([(k, number, *(c.tobytes() for c in cols)) for k, *cols in _split(
-                    (code >> np.uint64(32)).astype(np.int32), code.astype("<u4"), b.runs.content[b.one[mine]],
-                    b.class_doc[mine], mine.astype("<u4"))], schema3, kinds3)
+        for number, b, one, *_ in each_block(batches):
+            status = b.status(one)
+            mine = np.flatnonzero(status[b.class_code] == 1)
+            code = b.codes[b.class_code[mine]]
+            yield _batch([(k, number, *(c.tobytes() for c in cols)) for k, *cols in _split(
+                (code >> np.uint64(32)).astype(np.int32), code.astype("<u4"), b.runs.content[b.one[mine]],
+                b.class_doc[mine], mine.astype("<u4"))], schema3, kinds3)
 
     schema4, kinds4 = _fields("block:long same:binary differ:binary")
 
@@ -512,28 +536,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                               "offset:binary data:binary")
 
     def differing_runs(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                b, number = block(batch.column("data")[at]), batch.column("block")[at].as_py()
-                status = b.status(batch.column("one")[at].as_py())
-                found = [np.frombuffer(r["differ"], "<u4") for r in batch.column("two")[at].as_py() or []]
-                mine = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
-                run = b.one[mine]
-                _, _, _, place, lowest, hashes = b.common_strings(status)
-                key = np.concatenate((b.runs.anchor[run], hashes))
-                parts = (key, np.concatenate((b.class_doc[mine], lowest)),
-                         np.concatenate((mine, np.arange(len(place)))).astype("<u4"),
-                         np.repeat(np.array([0, 1], np.uint8), [len(mine), len(place)]),
-                         np.concatenate((b.runs.count[run], np.ones(len(place), np.int64))).astype(np.uint8),
-                         np.concatenate((b.runs.offset[run], np.zeros(len(place), np.int64))).astype(np.uint8))
-                from_ = np.concatenate((b.runs.place[run], place))
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                rows = []
-                for k, where, *cols in _split(bucket[order], from_[order], *(p[order] for p in parts)):
-                    piece = b.bytes_of(where, cols[4].astype(np.int64) + length - 1)
-                    rows.append((k, number, *(c.tobytes() for c in cols), piece.tobytes()))
-                yield _batch(rows, schema5, kinds5)
+        for number, b, one, two, _ in each_block(batches):
+            status = b.status(one)
+            found = [np.frombuffer(r["differ"], "<u4") for r in two]
+            mine = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+            run = b.one[mine]
+            _, _, _, place, lowest, hashes = b.common_strings(status)
+            key = np.concatenate((b.runs.anchor[run], hashes))
+            parts = (key, np.concatenate((b.class_doc[mine], lowest)),
+                     np.concatenate((mine, np.arange(len(place)))).astype("<u4"),
+                     np.repeat(np.array([0, 1], np.uint8), [len(mine), len(place)]),
+                     np.concatenate((b.runs.count[run], np.ones(len(place), np.int64))).astype(np.uint8),
+                     np.concatenate((b.runs.offset[run], np.zeros(len(place), np.int64))).astype(np.uint8))
+            from_ = np.concatenate((b.runs.place[run], place))
+            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rows = []
+            for k, where, *cols in _split(bucket[order], from_[order], *(p[order] for p in parts)):
+                piece = b.bytes_of(where, cols[4].astype(np.int64) + length - 1)
+                rows.append((k, number, *(c.tobytes() for c in cols), piece.tobytes()))
+            yield _batch(rows, schema5, kinds5)
 
     schema6, kinds6 = _fields("block:long number:binary common:binary mask:binary")
 
@@ -551,29 +573,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         group = np.cumsum(np.concatenate(([True], (key[order][1:] != key[order][:-1])
                                           | (common[order][1:] != common[order][:-1]))))
         mask = np.empty(len(key), np.uint64)
-        mask[order] = removable(data, group, doc[order], count[order], offset[order], length)
+        for a, b in _chunks(group, first + size):
+            part = order[a:b]
+            mask[part] = removable(data[first[a]:first[b - 1] + size[b - 1]], group[a:b], doc[part], count[part],
+                                   offset[part], length)
         blocks_of, rows = t.column("block").to_pylist(), []
         for i, n, c, m in _split(owner, number, common, mask):
             hit = m > 0
             if hit.any():
                 rows.append((blocks_of[i], n[hit].tobytes(), c[hit].tobytes(), m[hit].tobytes()))
+        release_memory()
         return pa.Table.from_batches([_batch(rows, schema6, kinds6)])
 
     three = written(with_two.mapInArrow(differing_runs, schema5).groupBy("bucket").applyInArrow(cut, schema6))
 
     # pass 4: remove
     def removed(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                b = block(batch.column("data")[at])
-                yield _without(b, b.status(batch.column("one")[at].as_py()), batch.column("two")[at].as_py() or [],
-                               batch.column("three")[at].as_py() or [])
+        for _, b, one, two, three in each_block(batches):
+            yield _without(b, b.status(one), two, three, as_text)
 
     return with_two.join(learnt(three, "three"), "block", "left").mapInArrow(
         removed, T.StructType(docs.schema.fields + added))
 
 
-def _without(b: Block, status: np.ndarray, two: list, three: list) -> pa.RecordBatch:
+def _without(b: Block, status: np.ndarray, two: list, three: list, as_text: bool) -> pa.RecordBatch:
     """The rows of a block with their removed bytes, counts and what is kept."""
     r, length = b.runs, b.length
     edge = np.zeros(len(b.data) + 1, np.int64)
@@ -615,14 +638,9 @@ def _without(b: Block, status: np.ndarray, two: list, three: list) -> pa.RecordB
     n_spans = ups[b.start + b.size] - ups[b.start]
     last = np.cumsum(b.size - n_removed)
     kept = [keep[e - s:e] for e, s in zip(last, b.size - n_removed)]
+    kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
     return pa.RecordBatch.from_arrays(
         [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in
          (b.rows.column(i) for i in range(b.rows.num_columns))]
-        + [pa.array(b.size), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
+        + [pa.array(b.size), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), kept],
         names=[*b.rows.schema.names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-@F.arrow_udf(T.StringType())
-def kept_text(kept: pa.Array) -> pa.Array:
-    """The kept bytes as text; characters that lost some of their bytes go."""
-    return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())

@@ -32,9 +32,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the passages that a document with a smaller id has."""
-    cut = suffix_dedup.remove_repeats(docs)
-    rest = cut.withColumn("text", F.when(F.col("n_removed") > 0, suffix_dedup.kept_text(F.col("kept")))
-                          .otherwise(F.col("text")))
+    cut = suffix_dedup.remove_repeats(docs, as_text=True)
+    rest = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -34,7 +34,7 @@ def test_rates_shrink(spark):
     for host, n, mean in (("big", 400, 0.9), ("bad", 300, 0.2), ("one", 1, 0.0), ("mid", 50, 0.6)):
         rows += [(host, "/%d" % (i % 3), float(np.clip(rng.normal(mean, 0.05), 0, 1))) for i in range(n)]
     df = spark.createDataFrame(rows, "host string, path string, p double")
-    got = {(r["host"], r["path"]): r for r in q.site_rates(df).collect()}
+    got = {(r["host"], r["path"]): r for r in q.site_rates(q.site_sums(df)).collect()}
     p = np.array([r[2] for r in rows])
     prior = p.mean()
     by_host = {h: np.array([x for a, _, x in rows if a == h]) for h in ("big", "bad", "one", "mid")}

@@ -143,5 +143,11 @@ def test_collisions_are_verified(monkeypatch, collide):
 
 
 def test_kept_text_drops_broken_characters(spark):
-    df = spark.createDataFrame([(bytearray("é".encode() + "é".encode()[:1] + b"x"),), (None,)], "b binary")
-    assert [r[0] for r in df.select(sd.kept_text("b")).collect()] == ["éx", None]
+    shared = "passage that both have, of more than fifty bytes in all "
+    rows = [(1, "\u00e9" + shared + "\u00e9"), (2, "\u00e8" + shared + "\u00e8")]  # their last bytes differ
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in sd.remove_repeats(df, as_text=True).collect()}
+    assert got == {1: rows[0][1], 2: "\u00e8"}
+    half = spark.createDataFrame([(1, shared + "\u00e9"), (2, shared + "\u00e8"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in sd.remove_repeats(half, as_text=True).collect()}
+    assert got == {1: shared + "\u00e9", 2: "", 3: ""}
