@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from churnwise.llm.common import matrix, runs, usable_vector, written
 
-TABLES = 16
+TABLES = 24
 CANDIDATES = 6000  # candidates a query is expected to see at least, which sets the probes of a table
-LEAST_PROBES = 2
+LEAST_PROBES = 4  # at fewer, recall on 50,000 unrelated directions falls below 0.9
+BUCKET_ROWS = 1 << 16  # rows of a bucket on average at most; one rotation does up to millions of rows
 BLOCK_ROWS = 4096  # indexed rows of one bucket that are searched together; larger buckets are split
 PART_ROWS = 20_000  # indexed rows of one task group, on average
 SPLIT_BROADCAST_ROWS = 100_000  # rows of the table of split buckets broadcast at most
@@ -40,36 +41,51 @@ def lifted(x: np.ndarray, radius: float) -> np.ndarray:
     return np.pad(up, ((0, 0), (0, width - up.shape[1])))
 
 
-def axes(x: np.ndarray, table: int, probes: int, seed: int = 42) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row after the table's pseudo-rotation
-    (three rounds of random signs and a Hadamard transform), nearest first."""
-    rng = np.random.default_rng([seed, table])
-    for _ in range(3):
-        x = hadamard(x * rng.choice((-1.0, 1.0), size=x.shape[1]))
-    both = np.concatenate((x, -x), axis=1)
-    if probes == 1:
-        return both.argmax(1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def axes(x: np.ndarray, table: int, probes: int, hashes: int = 1, seed: int = 42) -> np.ndarray:
+    """Codes of the ``probes`` nearest buckets of each row in a table, nearest first.
 
-
-def _codes(probes: int, tables: int, radius: float):
-    """Arrow UDF: for each vector the codes (table * 2^20 + axis) of its probes."""
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    Each of the table's ``hashes`` pseudo-rotations (three rounds of random signs and a
+    Hadamard transform) takes a row to a signed axis; a bucket is a combination of them.
+    A bucket is the nearer, the less its axes fall short of the nearest ones in sum.
+    """
+    width = 2 * x.shape[1]
+    code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for h in range(hashes):
+        rng = np.random.default_rng([seed, table, h])
+        y = x
+        for _ in range(3):
+            y = hadamard(y * rng.choice((-1.0, 1.0), size=y.shape[1]))
+        both = np.concatenate((y, -y), axis=1)
+        if probes == 1:
+            best = both.argmax(1)[:, None]
+        else:
+            best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        short = both.max(1, keepdims=True) - np.take_along_axis(both, best, axis=1)
+        total = (loss[:, :, None] + short[:, None, :]).reshape(len(x), -1)
+        codes = (code[:, :, None] * width + best[:, None, :]).reshape(len(x), -1)
+        keep = np.argsort(total, axis=1, kind="stable")[:, :probes]
+        code, loss = np.take_along_axis(codes, keep, axis=1), np.take_along_axis(total, keep, axis=1)
+    return code
+
+
+def _codes(probes: int, tables: int, hashes: int, radius: float):
+    """Arrow UDF: for each vector the codes of its probes; the tables' codes do not overlap."""
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def codes(vectors: pa.Array) -> pa.Array:
         size = np.array(vectors.value_lengths().to_numpy(zero_copy_only=False), int)
         out: list = [None] * len(vectors)
         for n in np.unique(size):
             rows = np.flatnonzero(size == n)
             x = lifted(matrix(vectors.take(pa.array(rows))), radius)
-            found = np.concatenate([(t << 20) + axes(x, t, min(probes, 2 * x.shape[1])) for t in range(tables)], axis=1)
-            for i, c in zip(rows, found.astype(np.int32)):
+            found = np.concatenate([axes(x, t, probes, hashes) * tables + t for t in range(tables)], axis=1)
+            for i, c in zip(rows, found):
                 out[i] = c
-        return pa.array(out, pa.list_(pa.int32()))
+        return pa.array(out, pa.list_(pa.int64()))
     return codes
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-            tables: int = TABLES, candidates: int = CANDIDATES) -> DataFrame:
+            tables: int = TABLES, candidates: int = CANDIDATES, hashes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, ties to smaller ids.
 
     ``rows`` are indexed, ``queries`` (same columns) are searched; a row is no candidate
@@ -78,13 +94,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     part, vectors are only compared with vectors of their length, and a row that repeats
     an id counts once, by its nearest copy.
 
-    Every row is in one bucket of each table; a query looks into its nearest axes of each
-    table, as many as make the expected number of candidates ``candidates``.  The
+    Every row is in one bucket of each table; a query looks into its nearest buckets of each
+    table, as many as make the expected number of candidates ``candidates``.  A bucket joins
+    so many rotations (``hashes``) that it holds ``BUCKET_ROWS`` rows at most on average.  The
     distances of a bucket are taken in a task group, which hands on its ``k`` best per
     query only; buckets above ``BLOCK_ROWS`` rows are split, and their queries go to
     every part.
     """
     def cleaned(df: DataFrame) -> DataFrame:
+        # new names on both sides, also when the queries are rows of the index
         return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(
             F.col("id").isNotNull() & usable_vector(F.col("vec")))
 
@@ -94,15 +112,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
                      F.max(F.size("vec")).alias("dim")).first()
     n, radius = stats["n"], stats["radius"] or 1.0
     buckets = 2 << max(1, math.ceil(math.log2((stats["dim"] or 1) + 1)))
-    probes = min(buckets, max(LEAST_PROBES, math.ceil(candidates * buckets / (tables * max(1, n)))))
+    if hashes is None:
+        hashes = max(1, math.ceil(math.log(max(1, n) / BUCKET_ROWS, buckets)))
+    probes = min(buckets ** hashes, max(LEAST_PROBES, math.ceil(candidates * buckets ** hashes / (tables * max(1, n)))))
 
     def coded(df: DataFrame, count: int) -> DataFrame:
-        return df.select("id", "vec", F.explode(_codes(count, tables, radius)(F.col("vec"))).alias("code"),
+        return df.select("id", "vec", F.explode(_codes(count, tables, hashes, radius)(F.col("vec"))).alias("code"),
                          F.size("vec").alias("dim"))
 
-    index = coded(written(data), 1)
+    index = coded(data, 1)
+    # at most tables * n / BLOCK_ROWS rows
     large = written(index.groupBy("code", "dim").count().where(F.col("count") > BLOCK_ROWS).select(
-        "code", "dim", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
+        "code", "dim", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), tables * n // BLOCK_ROWS)
     if large.count() <= SPLIT_BROADCAST_ROWS:
         large = F.broadcast(large)
     parts = max(1, n * tables // PART_ROWS)

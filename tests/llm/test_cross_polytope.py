@@ -52,6 +52,14 @@ def test_recall(spark):
     assert recall(spark, data(3000, 20, scale=True), every=50) >= 0.9
 
 
+def test_two_rotations_a_bucket(spark):
+    assert recall(spark, data(2000, 12), every=50, hashes=2, candidates=12000) >= 0.9
+    x = cp.lifted(np.array([v for _, v in data(50, 12)]), 1.0)
+    one, two = cp.axes(x, 0, 3), cp.axes(x, 0, 9, hashes=2)
+    assert (two[:, 0] // (2 * x.shape[1]) == one[:, 0]).all()
+    assert (np.sort(two, axis=1)[:, 1:] != np.sort(two, axis=1)[:, :-1]).all()
+
+
 def test_odd_rows_and_ties(spark):
     rows = [(10, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, -1.0]), (4, [2.0, 0.0]), (5, [1.0, 0.0])]
     odd = [(20, None), (30, [0.0, 0.0]), (40, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 0.0]),
