@@ -73,26 +73,29 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def similar_links(distinct: DataFrame, radius: int, count: int, key_bits: int = 16) -> DataFrame:
+def similar_links(distinct: DataFrame, radius: int, count: int, key_bits: int | None = None) -> DataFrame:
     """(src, dst): links that join the distinct fingerprints ``fp`` into the same components
-    as all pairs within ``radius`` bits do; there are ``count`` of them.
+    as all pairs within ``radius`` bits do; there are ``count`` fingerprints.
 
     Every fingerprint stands for all its variants within half the radius, and two
     fingerprints meet where they share a variant.  For an odd radius 2m+1 those with
     an even number of ones take m+1 and the others m: a pair at an odd distance has one
     of each, and a pair at an even distance is at most 2m apart.  The variants are
-    shuffled factored: the upper ``key_bits`` bits are varied before the shuffle, the
-    lower bits, by what is left of the radius, in the group that reads them.  Of the
+    shuffled factored: the upper ``key_bits`` bits (16, and more for so many fingerprints
+    that a key would stand for more than a group's variants) are varied before the shuffle,
+    the lower bits, by what is left of the radius, in the group that reads them.  Of the
     fingerprints that meet in a variant, those within m of it are within the radius of
     all the others, so one of them is linked to each of the rest and the true distance
     verified; two that are both further off meet elsewhere if they are similar.  A group of
     variants hands on one link per fingerprint, to the smallest it reaches there, however
     large a group of near copies is.
     """
-    low_bits = BITS - key_bits
     small, large = radius // 2, radius - radius // 2
     per_fp = sum(math.comb(BITS, r) for r in range(large + 1))
     groups = max(1, math.ceil(count * per_fp / TASK_VARIANTS))
+    if key_bits is None:
+        key_bits = min(30, max(16, 1 + groups.bit_length()))
+    low_bits = BITS - key_bits
 
     def varied(rows: DataFrame, r: int) -> DataFrame:
         masks = F.array(*[F.lit(m).cast("int") for m in _ball(key_bits, r)])

@@ -43,7 +43,7 @@ GRAM = 16
 BLOCK_BYTES = 4 << 20  # text in one block; a longer text is a block of its own
 SLICE_BYTES = 1 << 19  # text whose hashes are held at a time
 SORT_BYTES = 1 << 20  # bytes of runs whose suffixes are sorted together, at least a group of one anchor
-BUCKET_BYTES = 8 << 20  # text whose anchors meet in one group, on average
+BUCKET_BYTES = 8000  # times the cube root of all text: text whose anchors meet in one group, on average
 COMMON_SURROUNDINGS = 64  # different runs of one anchor in a block
 COMMON_BLOCKS = 4096  # blocks with one anchor
 PLACE_BITS = 22  # low bits of a hash that carry its place in the slice
@@ -396,7 +396,7 @@ def _owners(table: pa.Table, column: str, width: int) -> np.ndarray:
     return np.repeat(np.arange(len(table)), [len(b) // width for b in table.column(column).to_pylist()])
 
 
-def blocks(docs: DataFrame, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, size, data): the rows of ``docs`` in Arrow streams, with the bytes of their
     texts, written bucketed by block."""
     spark = docs.sparkSession
@@ -407,7 +407,7 @@ def blocks(docs: DataFrame, text_col: str) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 end, total = at + 1, size[at]
-                while end < batch.num_rows and total + size[end] <= BLOCK_BYTES:
+                while end < batch.num_rows and total + size[end] <= block_bytes:
                     total += size[end]
                     end += 1
                 sink = pa.BufferOutputStream()
@@ -430,7 +430,7 @@ def blocks(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, as_text: bool = False) -> DataFrame:
+                   gram: int = GRAM, as_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (the remaining bytes; with
     ``as_text`` as a string, without the characters that lost some of their bytes).
 
@@ -439,6 +439,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     column; rows with a null id keep all their bytes and take none from others, and rows
     that repeat an id do not remove each other's bytes.  Null and empty texts have no bytes;
     texts of any length are whole.  Columns with the names of the added ones are replaced.
+    ``block_bytes`` is the text of a block; for very large inputs larger blocks (32 MB at
+    100 TB) keep the messages between blocks and groups few.
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer column")
@@ -448,9 +450,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              T.StructField("n_spans", T.LongType()),
              T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     docs = docs.drop(*[f.name for f in added])
-    table = blocks(docs, text_col)
+    table = blocks(docs, text_col, block_bytes)
     total = table.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    # 8 MB of text in a bucket at 1 GB, 370 MB at 100 TB: a block then has several anchors for a bucket, not one
+    buckets = max(1, round(total / (BUCKET_BYTES * max(1, total) ** (1 / 3))))
     table = table.drop("size")
 
     def each_block(batches):

@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import pytest
 import xxhash
 from test_common_llm import union_find
 
@@ -67,7 +68,8 @@ def test_matches_brute_force(spark):
     assert sorted(((r["id"], r["fp"] % (1 << 64), r["component"]) for r in got), key=str) == brute(rows)
 
 
-def test_every_distance_up_to_the_radius(spark):
+@pytest.mark.parametrize("key_bits", [None, 4, 22])
+def test_every_distance_up_to_the_radius(spark, key_bits):
     rng = random.Random(1)
     fps = set()
     for _ in range(12):
@@ -78,7 +80,8 @@ def test_every_distance_up_to_the_radius(spark):
                 fps.add(x ^ sum(1 << b for b in rng.sample(range(64), r)))
     fps = sorted(fps)
     signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
-    got = simhash.similar_links(spark.createDataFrame([(signed[x],) for x in fps], "fp long"), 3, len(fps)).collect()
+    rows = spark.createDataFrame([(signed[x],) for x in fps], "fp long")
+    got = simhash.similar_links(rows, 3, len(fps), key_bits).collect()
     found = [(r["src"] % (1 << 64), r["dst"] % (1 << 64)) for r in got]
     want = union_find([(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 3])
     have = union_find(found)
