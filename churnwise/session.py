@@ -78,6 +78,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def reused(df: DataFrame) -> DataFrame:
     """Keep a derived table that several passes read: it is computed by the first job that
-    needs it and held on the executors, in memory and beyond that on their disks; what a
-    lost executor held is computed again from its lineage."""
+    needs it and held on the executors, in memory and beyond that on their disks, until
+    ``spark.catalog.clearCache()`` or the end of the session; what a lost executor held is
+    computed again from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -13,6 +13,12 @@ from churnwise.plans import catalog
 from conftest import SF_SMALL
 
 
+@pytest.fixture(autouse=True)
+def nothing_reused(spark):
+    """Plans as they are without the tables that other tests have asked to be reused."""
+    spark.catalog.clearCache()
+
+
 def _plan(df) -> str:
     buf = io.StringIO()
     with redirect_stdout(buf):
