@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnwise.llm.common import release_memory
+from churnwise.llm.common import each_text
 
 TEXT_STEP = 1 << 20  # characters of one text that are tokenized at a time
 CACHE_WORDS = 200_000  # tokenized words of one generation that a worker remembers
@@ -132,8 +132,8 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
                     pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64()),
                     pa.array([s.bit_length() - 1 for s in size], pa.int32())], names=schema.names)
 
-            for i in range(batch.num_rows):
-                data = tokens.ids(batch.column(1)[i].as_py() or "") + end
+            for i, text in enumerate(each_text(batch.column(1))):
+                data = tokens.ids(text.decode("utf-8", "replace")) + end
                 n = len(data) // 4
                 for at, size in pieces(n, longest):
                     rows.append((i, at, size, data[4 * at:4 * (at + size)], n))
@@ -142,7 +142,6 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
                         rows = []
             if rows:
                 yield block()
-            release_memory()
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, schema)
     return out.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -62,6 +62,12 @@ def test_round_trip(spark, whole):
     assert sorted(docs, key=str) == sorted(want, key=str) and at == len(rows)
 
 
+def test_bytes_that_are_no_text(spark, whole):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
+    got = packing.pack(df, *tokenizer()).orderBy("start").collect()
+    assert b"".join(r["ids"] for r in got) == np.array(whole("a\ufffdb") + [0], "<u4").tobytes()
+
+
 def test_query_digests(spark):
     from churnwise.llm.queries import QUERIES
     from conftest import SF_SMALL
