@@ -31,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,16 +290,12 @@ class Block:
 
     def __init__(self, data: bytes, id_col: str, text_col: str, buckets: int, length: int, gram: int):
         self.rows = pa.ipc.open_stream(data).read_all().combine_chunks()
-        text = self.rows.column(text_col).cast(pa.large_binary()).combine_chunks()
+        text, ids = self.rows.column(text_col).cast(pa.large_binary()), self.rows.column(id_col)
         self.length = length
-        if isinstance(text, pa.ChunkedArray):
-            text = text.chunk(0) if text.num_chunks else pa.array([], pa.large_binary())
-        self.size = np.array([0 if v is None else v for v in pa.compute.binary_length(text).to_pylist()], np.int64)
+        self.size = pc.fill_null(pc.binary_length(text), 0).to_numpy().astype(np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1].astype(np.int64)
         self.data = np.frombuffer(b"".join([v for v in text.to_pylist() if v]), np.uint8)
-        ids = self.rows.column(id_col)
-        self.usable = ids.is_valid().to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else \
-            ids.combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        self.usable = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
         self.runs = block_runs(self.data, self.start, self.size, self.usable, length, gram)
         self.code = ((self.runs.anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) \
@@ -403,7 +400,7 @@ def blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> Da
 
     def grouped(batches):
         for batch in batches:
-            size = [n or 0 for n in pa.compute.binary_length(batch.column(text_col)).to_pylist()]
+            size = [n or 0 for n in pc.binary_length(batch.column(text_col)).to_pylist()]
             at = 0
             while at < batch.num_rows:
                 end, total = at + 1, size[at]
