@@ -94,6 +94,22 @@ def op7_embedding_dedup(spark, d):
                          F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
+SQL["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+          ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.98),
+reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT links.x, reach.r FROM reach JOIN links ON reach.n = links.y),
+low AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+many AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN low ON low.n = v.vec_id LEFT JOIN many ON many.x = v.vec_id"""
+
+
 @register
 def op10_nearest(spark, d):
     rows = table(spark, d, "embeddings")
@@ -104,3 +120,22 @@ def op10_nearest(spark, d):
 def op6_suffix_dedup(spark, d):
     cut = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.p FROM w JOIN m ON w.s = m.s WHERE m.low < w.doc_id),
+b AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS first FROM g),
+i AS (SELECT doc_id, p, sum(CAST(first AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM b),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+r AS (SELECT gaps.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last,
+        string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept
+      FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY gaps.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
