@@ -92,3 +92,24 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_SMALL)
         assert docs.count() == 0
+
+
+def test_odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids."""
+    long = " ".join("word%d" % (i * 7919 % 5003) for i in range(150000))
+    data = [(None, None, None, None, None), (None, "No id but words here.", "en", "src0", 21), (5, "", "en", "src0", 0),
+            (5, "", "en", "src0", 0), (6, None, "fr", "src1", None), (7, long, "en", None, len(long)),
+            (8, "x " + long, None, "src2", len(long) + 2), (9, "Plain words in a row, once more.", "en", "src0", 32),
+            (9, "Other words under the same id.", "de", "src0", 30), (-3, "Plain words in a row, once more.", "en", "src0", 32)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF_SMALL))
+        kept[name] = docs
+    assert kept["quality"].count() == len(data)
+    ids = sorted(str(r["doc_id"]) for r in kept["near_duplicates"].collect())
+    # 5 and 6 have no words, 8 is 7 with one more word, 9 repeats -3 in one of its two rows
+    assert ids.count("None") == 2 and {"-3", "5", "7"} <= set(ids) and "6" not in ids and "8" not in ids
+    assert len(ids) == len(set(ids)) + 1
+    assert kept["repeats"].count() == kept["mixing"].count() == len(ids)
+    assert {str(r["doc_id"]) for r in kept["packing"].collect()} == set(ids)
