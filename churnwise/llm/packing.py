@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from churnwise.llm.common import each_text
 
 TEXT_STEP = 1 << 20  # characters of one text that are tokenized at a time
-CACHE_WORDS = 200_000  # tokenized words of one generation that a worker remembers
+CACHE_WORDS = 300_000  # tokenized words of one generation that a worker remembers
 BATCH_PIECES = 4096  # pieces in one output batch
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")  # always a border between two words
 _LATIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
