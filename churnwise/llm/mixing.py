@@ -6,7 +6,7 @@ import heapq
 import json
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnwise.llm.common import hash_bucket
@@ -14,12 +14,14 @@ from churnwise.llm.common import hash_bucket
 PERIOD = 1000  # slots after which the schedule repeats; weights are multiples of 1 / PERIOD
 BLOCK_ROWS = 16  # documents in one block
 BUCKET_ROWS = 2000  # documents of a source that are ranked together, on average
+LEAST_SLOTS = 4  # slots of a period per source on average, at least
+TEMPER = 0.7  # power of its rows by which a source without a weight of its own shares the weight of REST
 REST = "rest"
 
 
 def slots_per_period(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Whole blocks of each source per period, by largest remainder; at least one each."""
-    period = max(period, len(weights))
+    period = max(period, LEAST_SLOTS * len(weights))
     total = sum(weights.values())
     exact = {s: w * period / total for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -56,20 +58,27 @@ def pfair_schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]
     return out
 
 
-def _source(weights: dict[str, float], source_col: str) -> Column:
-    named = [s for s in weights if s != REST]
-    return F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(REST))
+def own_weights(weights: dict[str, float], counts: dict[str, int]) -> dict[str, float]:
+    """The weight of every source in ``counts``.
+
+    Sources in ``weights`` have that one.  The others share the weight of ``"rest"`` in
+    proportion to their rows to the power of ``TEMPER``, so that large sources give way to
+    small ones; without that entry they share a trifle, and without any weights one.
+    """
+    others = [s for s in counts if s == REST or s not in weights]
+    share = weights.get(REST, min(weights.values()) / 1e9 if weights else 1.0)
+    total = sum(counts[s] ** TEMPER for s in others)
+    return {s: share * counts[s] ** TEMPER / total if s in others else weights[s] for s in counts}
 
 
 def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id",
         block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
     """``docs`` with mix_source, block, release, deadline, slot, place, on_target.
 
-    ``weights`` names sources and their target weights; all other sources, null
-    included, share the weight of ``"rest"`` in the proportion in which they occur
-    (without that entry they get none of the schedule's weight but the least share of
-    one block per period).  Every row is placed exactly once: the rows of a
-    source, in random order, fill its blocks, and ``place`` (slot times block size plus
+    ``weights`` names sources and their target weights; every other source that occurs
+    gets a weight of its own by dividing that of ``"rest"`` (``own_weights``).  Rows
+    without a source are the source ``"rest"``.  Every row is placed exactly once: the rows
+    of a source, in random order, fill its blocks, and ``place`` (slot times block size plus
     the position in the block) orders the mix.  ``on_target`` holds for the rows before
     the first source runs out; up to there every prefix of whole slots has each source
     less than one block from its target, and after it the remaining sources keep their
@@ -77,7 +86,8 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
 
     Ranks within a source are counted over hash buckets, so a source with most of the
     rows is ranked by many tasks.  The schedule repeats with the period, and its one
-    period (at most max(PERIOD, number of weights) rows) is the only table broadcast.
+    period (at most max(PERIOD, LEAST_SLOTS * number of sources) rows) is the only table
+    broadcast; the driver makes it from one count per source.
     Repeated rows and ids are placed one by one; null ids are placed like others.
     Columns named like the added ones are replaced.
     """
@@ -86,11 +96,10 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
         raise ValueError("weights must be positive")
     keep = [c for c in docs.columns if c not in added]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-                       _source(weights, source_col).alias("src"),
+                       F.coalesce(F.col(source_col).cast("string"), F.lit(REST)).alias("src"),
                        F.xxhash64(F.lit(seed), F.col(id_col), F.struct(*[F.col(f"`{c}`") for c in keep])).alias("key"))
-    counts = {r["src"]: r["count"] for r in rows.groupBy("src").count().collect()}  # one row per weight
-    present = {s: weights.get(s, min(weights.values()) / 1e9) for s in counts} if weights else {s: 1.0 for s in counts}
-    share = slots_per_period(present) if present else {}
+    counts = {r["src"]: r["count"] for r in rows.groupBy("src").count().collect()}  # one row per source
+    share = slots_per_period(own_weights(weights, counts)) if counts else {}
     period = sum(share.values())
     table = [dict(zip(("src", "nth", "release0", "deadline0", "slot0", "share"), (*r, share[r[0]])))
              for r in pfair_schedule(share)]
@@ -102,15 +111,15 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
     buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     rows = rows.withColumn("part", hash_bucket([F.col("key"), F.lit(1)], buckets))
     running = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = F.from_json(F.lit(per_source), "map<string, bigint>")
     first = rows.groupBy("src", "part").count().select(
-        "src", "part", (F.sum("count").over(running) - F.col("count")).alias("first"))
+        "src", "part", (F.sum("count").over(running) - F.col("count")).alias("first"), shares[F.col("src")].alias("n"))
     order = Window.partitionBy("src", "part").orderBy("key")
     ranked = rows.select("*", (F.row_number().over(order) - 1).alias("r")).join(first, ["src", "part"]).select(
-        "row", "src", (F.col("first") + F.col("r")).alias("rank"))
+        "row", "src", "n", (F.col("first") + F.col("r")).alias("rank"))
     ends = min((-(-c // block_rows) * period // share[s] for s, c in counts.items()), default=0)
-    shares = F.from_json(F.lit(per_source), "map<string, bigint>")
     block = F.floor(F.col("rank") / block_rows)
-    placed = ranked.select("row", "src", "rank", block.alias("block"), shares[F.col("src")].alias("n")).select(
+    placed = ranked.select("row", "src", "rank", block.alias("block"), "n").select(
         "*", (F.col("block") % F.col("n")).alias("nth"), F.floor(F.col("block") / F.col("n")).alias("round"))
     out = placed.join(F.broadcast(schedule), ["src", "nth"])
     shift = F.col("round") * period

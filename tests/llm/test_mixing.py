@@ -3,6 +3,7 @@
 import pytest
 
 from churnwise.llm import mixing
+from churnwise.llm.queries import TARGET_WEIGHTS
 
 
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1e-9},
@@ -51,3 +52,29 @@ def test_empty_and_single(spark):
     assert [r["place"] for r in mixing.mix(one, {"a": 1.0}).collect()] == [0]
     with pytest.raises(ValueError):
         mixing.mix(one, {"a": 0.0})
+
+
+def test_every_source_has_its_own_blocks(spark):
+    """Twenty sources, one with a third of the rows: each is less than one block from its own target."""
+    names = ["hot"] * 9 + ["src%d" % i for i in range(19)]
+    df = spark.createDataFrame([(i, names[i % len(names)]) for i in range(28 * 150)], "doc_id long, source string")
+    rows = sorted(mixing.mix(df, TARGET_WEIGHTS, block_rows=4).collect(), key=lambda r: r["place"])
+    assert len(rows) == df.count() and all(r["mix_source"] == r["source"] for r in rows)
+    share = mixing.slots_per_period(mixing.own_weights(TARGET_WEIGHTS, {s: names.count(s) for s in names}))
+    total, blocks = sum(share.values()), {s: set() for s in names}
+    assert share["hot"] / total < 0.95 * 9 / 28 and min(share.values()) / total > 1.03 / 28
+    for r in rows:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        if r["on_target"]:
+            blocks[r["source"]].add(r["block"])
+            assert all(abs(len(b) - (r["slot"] + 1) * share[s] / total) < 1 + 1e-9 for s, b in blocks.items())
+    assert sum(r["on_target"] for r in rows) > 0.75 * len(rows)
+
+
+def test_named_sources_and_the_rest():
+    counts = {"a": 10, "b": 1000, "c": 1000, "rest": 5}
+    own = mixing.own_weights({"a": 0.4, "rest": 0.6, "absent": 1.0}, counts)
+    assert own["a"] == 0.4 and own["b"] == own["c"] and sum(own.values()) == pytest.approx(1.0)
+    assert set(mixing.own_weights({}, counts)) == set(counts)
+    many = mixing.slots_per_period(mixing.own_weights({"rest": 1.0}, {str(i): 1 + 9 * (i % 2) for i in range(3000)}))
+    assert many["1"] > many["0"]
