@@ -44,8 +44,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed sequence."""
-    packed = packing.pack(docs, *tokenizer())
+    """One row per packed sequence, numbered in the order of the mix.
+
+    Files are not read in the order of their rows, so the place of a row is derived again: it
+    depends on the rows alone, and the columns of ``documents`` cannot carry it.
+    """
+    ordered = mixing.mix(docs, TARGET_WEIGHTS).orderBy("place").select(*docs.columns)
+    packed = packing.pack(ordered, *tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

@@ -113,3 +113,23 @@ def test_odd_documents(spark):
     assert len(ids) == len(set(ids)) + 1
     assert kept["repeats"].count() == kept["mixing"].count() == len(ids)
     assert {str(r["doc_id"]) for r in kept["packing"].collect()} == set(ids)
+
+
+def test_packing_keeps_the_order_of_the_mix(spark):
+    """Sequences are numbered in the order of the mix, however the files with the rows are read."""
+    names = ["src0"] * 9 + ["src%d" % i for i in range(1, 8)]
+    data = [(i, "w" * (i % 7 + 1), "en", names[i % len(names)], i % 7 + 1) for i in range(6000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    stored = written(corpus_pipeline.mixing_stage(spark, docs, SF_SMALL).repartition(5))
+    packed = written(corpus_pipeline.packing_stage(spark, stored, SF_SMALL).repartition(3))
+    first = {}
+    for r in packed.orderBy("sequence_id").collect():
+        first.setdefault(r["doc_id"], len(first))
+    mixed = mixing.mix(docs, TARGET_WEIGHTS).orderBy("place").collect()
+    assert list(first) == [r["doc_id"] for r in mixed]
+    counts = {s: sum(r["source"] == s for r in mixed) for s in set(names)}
+    share = mixing.slots_per_period(mixing.own_weights(TARGET_WEIGHTS, counts))
+    total, target = sum(share.values()), [r["source"] for r in mixed if r["on_target"]]
+    for n in range(mixing.BLOCK_ROWS, len(target) * 9 // 10, mixing.BLOCK_ROWS):  # whole blocks only
+        got = [names[d % len(names)] for d in list(first)[:n]]
+        assert all(abs(got.count(s) - n * share[s] / total) < mixing.BLOCK_ROWS for s in share)
