@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from churnwise.llm.common import matrix, runs, usable_vector, written
 
-TABLES = 24
+TABLES = 24  # with one rotation a bucket
+MORE_TABLES = 8  # tables besides for every further rotation
 CANDIDATES = 6000  # candidates a query is expected to see at least, which sets the probes of a table
 LEAST_PROBES = 4  # at fewer, recall on 50,000 unrelated directions falls below 0.9
+MORE_PROBES = 32  # times as many probes for every further rotation; chance to meet at cosine 0.5 stays above 0.99
+CODES = 1024  # codes of a vector that are made at a time, at least those of one table
+STEP_ROWS = 256  # rows that are coded at a time
 BUCKET_ROWS = 1 << 16  # rows of a bucket on average at most; one rotation does up to millions of rows
 BLOCK_ROWS = 4096  # indexed rows of one bucket that are searched together; larger buckets are split
 PART_ROWS = 20_000  # indexed rows of one task group, on average
@@ -48,6 +52,9 @@ def axes(x: np.ndarray, table: int, probes: int, hashes: int = 1, seed: int = 42
     Hadamard transform) takes a row to a signed axis; a bucket is a combination of them.
     A bucket is the nearer, the less its axes fall short of the nearest ones in sum.
     """
+    if len(x) > STEP_ROWS:
+        return np.concatenate([axes(x[i:i + STEP_ROWS], table, probes, hashes, seed)
+                               for i in range(0, len(x), STEP_ROWS)])
     width = 2 * x.shape[1]
     code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for h in range(hashes):
@@ -61,23 +68,39 @@ def axes(x: np.ndarray, table: int, probes: int, hashes: int = 1, seed: int = 42
         else:
             best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
         short = both.max(1, keepdims=True) - np.take_along_axis(both, best, axis=1)
-        total = (loss[:, :, None] + short[:, None, :]).reshape(len(x), -1)
-        codes = (code[:, :, None] * width + best[:, None, :]).reshape(len(x), -1)
+        # both are sorted: the pair (i, j) is no nearer than the (i + 1) * (j + 1) pairs up to it
+        i, j = np.divmod(np.arange(code.shape[1] * best.shape[1]), best.shape[1])
+        i, j = (at[(i + 1) * (j + 1) <= probes] for at in (i, j))
+        total, codes = loss[:, i] + short[:, j], code[:, i] * width + best[:, j]
         keep = np.argsort(total, axis=1, kind="stable")[:, :probes]
         code, loss = np.take_along_axis(codes, keep, axis=1), np.take_along_axis(total, keep, axis=1)
     return code
 
 
-def _codes(probes: int, tables: int, hashes: int, radius: float):
-    """Arrow UDF: for each vector the codes of its probes; the tables' codes do not overlap."""
+def effort(n: int, buckets: int, candidates: int = CANDIDATES, hashes: int | None = None,
+           tables: int | None = None) -> tuple[int, int, int]:
+    """(hashes, tables, probes) for ``n`` rows; a rotation has ``buckets`` signed axes."""
+    if hashes is None:
+        hashes = max(1, math.ceil(math.log(max(1, n) / BUCKET_ROWS, buckets)))
+    if tables is None:
+        tables = TABLES + MORE_TABLES * (hashes - 1)
+    wanted = math.ceil(candidates * buckets ** hashes / (tables * max(1, n)))
+    return hashes, tables, min(buckets ** hashes, max(LEAST_PROBES * MORE_PROBES ** (hashes - 1), wanted))
+
+
+def _codes(probes: int, tables: int, step: int, hashes: int, radius: float):
+    """Arrow UDF: for each vector the codes of its probes in ``step`` tables from the given one on; the
+    tables' codes do not overlap."""
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def codes(vectors: pa.Array) -> pa.Array:
+    def codes(vectors: pa.Array, tables_from: pa.Array) -> pa.Array:
         size = np.array(vectors.value_lengths().to_numpy(zero_copy_only=False), int)
+        first = tables_from.to_numpy(zero_copy_only=False)
         out: list = [None] * len(vectors)
-        for n in np.unique(size):
-            rows = np.flatnonzero(size == n)
+        for n, low in np.unique(np.stack((size, first)), axis=1).T:
+            rows = np.flatnonzero((size == n) & (first == low))
             x = lifted(matrix(vectors.take(pa.array(rows))), radius)
-            found = np.concatenate([axes(x, t, probes, hashes) * tables + t for t in range(tables)], axis=1)
+            found = np.concatenate([axes(x, t, probes, hashes) * tables + t
+                                    for t in range(low, min(low + step, tables))], axis=1)
             for i, c in zip(rows, found):
                 out[i] = c
         return pa.array(out, pa.list_(pa.int64()))
@@ -85,7 +108,7 @@ def _codes(probes: int, tables: int, hashes: int, radius: float):
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-            tables: int = TABLES, candidates: int = CANDIDATES, hashes: int | None = None) -> DataFrame:
+            tables: int | None = None, candidates: int = CANDIDATES, hashes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, ties to smaller ids.
 
     ``rows`` are indexed, ``queries`` (same columns) are searched; a row is no candidate
@@ -96,7 +119,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
 
     Every row is in one bucket of each table; a query looks into its nearest buckets of each
     table, as many as make the expected number of candidates ``candidates``.  A bucket joins
-    so many rotations (``hashes``) that it holds ``BUCKET_ROWS`` rows at most on average.  The
+    so many rotations (``hashes``) that it holds ``BUCKET_ROWS`` rows at most on average; as two
+    near vectors then meet less often, tables and probes grow with the rotations.  The
     distances of a bucket are taken in a task group, which hands on its ``k`` best per
     query only; buckets above ``BLOCK_ROWS`` rows are split, and their queries go to
     every part.
@@ -112,13 +136,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
                      F.max(F.size("vec")).alias("dim")).first()
     n, radius = stats["n"], stats["radius"] or 1.0
     buckets = 2 << max(1, math.ceil(math.log2((stats["dim"] or 1) + 1)))
-    if hashes is None:
-        hashes = max(1, math.ceil(math.log(max(1, n) / BUCKET_ROWS, buckets)))
-    probes = min(buckets ** hashes, max(LEAST_PROBES, math.ceil(candidates * buckets ** hashes / (tables * max(1, n)))))
+    hashes, tables, probes = effort(n, buckets, candidates, hashes, tables)
 
     def coded(df: DataFrame, count: int) -> DataFrame:
-        return df.select("id", "vec", F.explode(_codes(count, tables, hashes, radius)(F.col("vec"))).alias("code"),
-                         F.size("vec").alias("dim"))
+        step = max(1, CODES // count)
+        code = _codes(count, tables, step, hashes, radius)(F.col("vec"), F.col("first"))
+        return df.select("id", "vec", F.explode(F.array(*map(F.lit, range(0, tables, step)))).alias("first")).select(
+            "id", "vec", F.explode(code).alias("code"), F.size("vec").alias("dim"))
 
     index = coded(data, 1)
     # at most tables * n / BLOCK_ROWS rows

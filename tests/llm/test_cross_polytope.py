@@ -91,3 +91,29 @@ def test_transform():
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     up = cp.lifted(y * 2, 2.0)
     assert np.allclose(np.linalg.norm(up, axis=1), 1) and np.allclose(up @ up.T, y @ y.T)
+
+
+def test_chance_to_meet_holds_with_more_rotations():
+    """Neighbours at cosine 0.55 meet at the production tables and probes on both sides of the switch."""
+    rng, m, c = np.random.default_rng(3), 60, 0.55
+    q, z = rng.normal(size=(2, m, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    z -= (z * q).sum(1, keepdims=True) * q
+    v = c * q + (1 - c * c) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    asked, indexed = cp.lifted(q, 1.0), cp.lifted(v, 1.0)
+    last = cp.BUCKET_ROWS * 256
+    for n, rotations in ((last, 1), (last + 1, 2)):
+        hashes, tables, probes = cp.effort(n, 256)
+        assert hashes == rotations
+        met = [(cp.axes(asked, t, probes, hashes) == cp.axes(indexed, t, 1, hashes)).any(1) for t in range(tables)]
+        assert np.any(met, axis=0).mean() >= 0.98
+
+
+def test_nearest_pairs_of_axes():
+    """The probes are the nearest of all combinations of axes."""
+    x, width = cp.lifted(np.array([v for _, v in data(300, 6)]), 1.0), 16
+    one = cp.axes(x, 0, 1)
+    got = cp.axes(x, 0, 20, hashes=2)
+    every = cp.axes(x, 0, width * width, hashes=2)
+    assert (np.sort(every, axis=1) == np.arange(width * width)).all()
+    assert (got == every[:, :20]).all() and (got[:, 0] // width == one[:, 0]).all()
