@@ -53,27 +53,52 @@ class _Words(dict):
 class WordTokenizer:
     """Byte-level BPE ids of whole texts, word by word.
 
-    The vocabulary's own word pattern splits a text exactly as the tokenizer does before
-    it merges bytes, so the ids of a text are those of its words in turn.  Each word is
-    encoded once and remembered for two generations of ``CACHE_WORDS`` words.  Texts of
-    plain Latin characters are split by an equal pattern of the faster ``re`` module.
+    The tokenizer's own first step splits a text into words before it merges bytes, so the
+    ids of a text are those of its words in turn.  Each word is encoded once and
+    remembered for two generations of ``CACHE_WORDS`` words.  Texts of plain Latin
+    characters are split by an equal pattern of the faster ``re`` module.  A tokenizer
+    without such a step needs ``pattern``.
+
+    With ``added`` the vocabulary's added tokens ("<|endoftext|>") are found in the text
+    first, as the tokenizer does by itself; without it they are ordinary words.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.pattern = regex.compile(pattern)
         self.known = _Words(self.model, {})
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: pack_ids("<I", i) for i, t in tokens.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in tokens.values())
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.find_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if tokens else None
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.find_added is None or not any(t in text for t in self.added):
+            return self._word_ids(text)
+        if not self.plain:  # tokens that take in their surroundings
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(found)}I", *found)
+        parts = self.find_added.split(text)  # every second one is a token
+        return b"".join(self.added[p] if i % 2 else self._word_ids(p) for i, p in enumerate(parts))
+
+    def _words(self, part: str) -> list[str]:
+        if _LATIN.fullmatch(part):
+            return _LATIN_WORDS.findall(part)
+        if self.splitter is None:
+            return self.pattern.findall(part)
+        return [part[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(part)]
+
+    def _word_ids(self, text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + TEXT_STEP) if at + TEXT_STEP < len(text) else None
             end = cut.start() if cut else len(text)
             part = text[at:end] if at or cut else text
-            words = (_LATIN_WORDS if _LATIN.fullmatch(part) else self.pattern).findall(part)
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            out.append(b"".join(map(self.known.__getitem__, self._words(part))))
             if len(self.known) > CACHE_WORDS:
                 self.known = _Words(self.model, dict(self.known))
             at = end
@@ -81,9 +106,9 @@ class WordTokenizer:
 
 
 @cache
-def shared_tokenizer(path: str, pattern: str) -> WordTokenizer:
+def shared_tokenizer(path: str, pattern: str, added: bool = False) -> WordTokenizer:
     """One tokenizer, with the words it remembers, for all tasks of a Python worker."""
-    return WordTokenizer(path, pattern)
+    return WordTokenizer(path, pattern, added)
 
 
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -100,7 +125,7 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-         longest: int = 1024, end_id: int = 0) -> DataFrame:
+         longest: int = 1024, end_id: int = 0, added: bool = False) -> DataFrame:
     """One row per packed sequence: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
 
     Each document's ids, ``end_id`` last, are cut into as many pieces of ``longest`` ids
@@ -111,6 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
     is the one id ``end_id``; null and repeated ids are packed like any other row.
     ``sequence_id`` numbers the pieces by input partition and row: it depends only on how
     the input is split, so a task that runs again numbers alike.  Nothing is shuffled.
+    ``added`` finds the vocabulary's added tokens in the texts.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -120,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
         T.StructField("doc_tokens", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
     def packed(batches):
-        tokens = shared_tokenizer(tokenizer_path, pattern)
+        tokens = shared_tokenizer(tokenizer_path, pattern, added)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             id_type, ids, rows = batch.column(0).type, batch.column(0), []

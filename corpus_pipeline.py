@@ -50,7 +50,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     depends on the rows alone, and the columns of ``documents`` cannot carry it.
     """
     ordered = mixing.mix(docs, TARGET_WEIGHTS).orderBy("place").select(*docs.columns)
-    packed = packing.pack(ordered, *tokenizer())
+    packed = packing.pack(ordered, *tokenizer(), added=True)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

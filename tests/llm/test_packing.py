@@ -87,3 +87,18 @@ def test_buckets_and_bad_length(spark, tmp_path):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), *tokenizer()).count() == 0
+
+
+def test_ids_are_those_of_plain_encoding(spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokenizer()[0])
+    words, rng = packing.WordTokenizer(*tokenizer(), added=True), random.Random(2)
+    some = ["<|endoftext|>", "<|endoftext|", " ", "  ", "a", "'s", "12", "\n", "\u0558", "\u208f", "\U00010940", "中", "é"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, "".join(map(chr, range(0x530, 0x590)))]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    texts += ["a%s b%s1 %s" % (chr(c), chr(c), chr(c)) for c in range(0x20000) if not 0xd800 <= c < 0xe000]
+    for s in texts:
+        assert list(np.frombuffer(words.ids(s), "<u4")) == t.encode(s, add_special_tokens=False).ids, repr(s)
+    df = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    got = packing.pack(df, *tokenizer(), added=True).orderBy("start").collect()
+    assert b"".join(r["ids"] for r in got) == np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
