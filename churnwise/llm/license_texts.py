@@ -1,5 +1,7 @@
 """Known licences: public licence texts and the notices that grant them."""
 
+from pathlib import Path
+
 # Spellings that count as one, as patterns on lower-case text.
 EQUIVALENT = [
     (r"\(c\)|©", " copyright "),
@@ -9,6 +11,7 @@ EQUIVALENT = [
     (r"non-commercial", "noncommercial"),
     (r"https?://", ""),
     (r"&", " and "),
+    (r"all rights reserved", " copyright reserved "),  # a line of its own goes with the copyright lines
 ]
 
 # Public licence texts and notices, by SPDX identifier.
@@ -23,6 +26,21 @@ BSD_2 = """Redistribution and use in source and binary forms, with or without mo
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = BSD_2.replace("\nTHIS SOFTWARE", """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE""")
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    """The texts of the files in ``licenses``, whole and up to the end of their terms."""
+    out, end = [], "END OF TERMS AND CONDITIONS"
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = file.read_text("utf-8", "replace")
+        out.append((file.stem, text))
+        if end in text:
+            out.append((file.stem, text[:text.index(end) + len(end)]))
+    return out
+
 
 KNOWN = [
     ("MIT", MIT),
@@ -34,6 +52,8 @@ KNOWN = [
     ("0BSD", "Zero-Clause BSD\n" + ZERO_BSD),
     ("BSD-2-Clause", BSD_2),
     ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -46,4 +66,5 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    *_long_texts(),
 ]

@@ -49,3 +49,18 @@ def test_same_as_sql(spark, own):
     want = con.execute(SQL["op2_license_scan"]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
     assert want
+
+
+def test_whole_long_texts_and_rights_reserved(spark):
+    from churnwise.llm.license_texts import BSD_3, KNOWN
+    text = {i: t for i, t in reversed(KNOWN)}
+    ids = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    longest = {i: max((t for k, t in KNOWN if k == i), key=len) for i in ids}
+    assert all(len(longest[i]) > 1000 for i in ids) and set(ids) <= set(text)
+    rows = list(enumerate(longest.values())) + [
+        (20, "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + BSD_3), (21, "All Rights Reserved\n" + MIT),
+        (22, longest["Apache-2.0"].split("APPENDIX")[0].upper()), (23, longest["GPL-3.0-only"] + "more"),
+        (24, "All rights reserved.")]
+    want = [(n, "document", i, 1) for n, i in enumerate(ids)] + [
+        (20, "document", "BSD-3-Clause", 1), (21, "document", "MIT", 1), (22, "document", "Apache-2.0", 1)]
+    assert [r for r in scan(spark, rows) if r[1] == "document"] == want
