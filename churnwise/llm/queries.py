@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.llm import (cross_polytope, embedding_dedup, language_id, license_scan, mixing, packing, quality,
-                           sharding, simhash, suffix_dedup)
+from churnwise.llm import (best_fit, cross_polytope, embedding_dedup, language_id, license_scan, mixing, packing,
+                           phrases, quality, sharding, simhash, spelling, suffix_dedup)
 from churnwise.sources.bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,24 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(kept || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
+
+
+@register
+def op11_best_fit(spark, d):
+    pieces = best_fit.cut(table(spark, d, "documents"), *tokenizer())
+    digests = pieces.select("item", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(best_fit.place(pieces), "item").drop("item")
+
+
+@register
+def op12_phrases(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
+
+
+SQL["op12_phrases"] = phrases.collocations_sql()
+
+
+@register
+def op13_spelling(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
