@@ -10,6 +10,10 @@ second scan on, and the circle closes over the shards it missed.
 Which phrases have reached the threshold is told to the tasks by a table of bounded size: a byte per
 hash of a phrase, holding the scan in which one with that hash reached it.  Two phrases with one hash
 only make the scans count a phrase that would not have needed it; counts are kept by the phrase itself.
+
+One pass before the scans adds up the occurrences of all phrases by hash alone, in tables of the same
+size.  Where the sum stays below the threshold no phrase with that hash can reach it, and the scans leave
+such phrases out.  Both tables prune the better the fewer words share a slot; neither changes a result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ REPORTED = 2000  # rows per language
 UNKNOWN = "und"
 BLOCK_BYTES = 4 << 20  # text in one block
 BATCH_ROWS = 1 << 16  # rows in one output batch
-TABLE_BYTES = (1 << 16, 1 << 25)  # least and largest table of reached phrases
+TABLE_SLOTS = (1 << 16, 1 << 25)  # least and most slots of the tables by hash
+PIECE_SLOTS = 1 << 16  # slots that are added up together
+MERGED_TASKS = 64  # tasks whose sums are added up at a time
 NEVER = 255
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _GAP, _BREAK = 0, 1, 2
@@ -99,7 +105,7 @@ def _hashes(table: pa.Table) -> np.ndarray:
 
 def _counted(seq: np.ndarray, units: int, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The first place and the number of each distinct phrase of ``size`` words at the places ``at``."""
-    code = seq[at].astype(np.int64)
+    code = pd.factorize(seq[at])[0].astype(np.int64)
     for j in range(1, size):
         code = pd.factorize(code * units + seq[at + j])[0].astype(np.int64)
     count = np.bincount(code)
@@ -108,12 +114,84 @@ def _counted(seq: np.ndarray, units: int, at: np.ndarray, size: int) -> tuple[np
     return first, count
 
 
-def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reached: np.ndarray, longest: int):
-    """(lang, words, phrase, hash, count) of the phrases of a block that are active in this step."""
-    table = table.combine_chunks()
+def phrase_hashes(seq: np.ndarray, hashes: np.ndarray, longest: int):
+    """(words, hash at each place, whether a phrase of so many words is there) for each length."""
+    inside = seq >= 0
+    one = np.where(inside, hashes[seq], np.uint64(0))
+    hashed, whole = one, inside
+    for size in range(1, longest + 1):
+        if size > 1:
+            with np.errstate(over="ignore"):
+                hashed = (hashed[:-1] ^ (hashed[:-1] >> np.uint64(29))) * _MIX + one[size - 1:]
+            whole = whole[:-1] & inside[size - 1:]
+        yield size, hashed, whole
+
+
+def _opened(batch: pa.RecordBatch):
+    for units, ids in zip(batch.column("units"), batch.column("ids")):
+        yield (pa.ipc.open_stream(units.as_buffer()).read_all().combine_chunks(),
+               np.frombuffer(ids.as_buffer(), "<i4"))
+    release_memory()
+
+
+def _possible(stored: DataFrame, slots: int, least: int, longest: int) -> np.ndarray:
+    """A bit per length and slot: whether the phrases with that hash occur ``least`` times together.
+
+    Tasks add up in bytes that stop at 255; their sums are added in two rounds, a stretch of slots at a
+    time, so that no task holds more than ``MERGED_TASKS`` of them.
+    """
+    piece, most = min(PIECE_SLOTS, slots), 255
+
+    def summed(batches):
+        tables = np.zeros((longest, slots), np.uint8)
+        for batch in batches:
+            for table, seq in _opened(batch):
+                for size, hashed, whole in phrase_hashes(seq, _hashes(table), longest):
+                    at = np.sort((hashed[whole] & np.uint64(slots - 1)).astype(np.uint32))
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    slot, n = at[first], np.diff(np.append(first, len(at)))
+                    tables[size - 1, slot] = np.minimum(tables[size - 1, slot] + n, most)
+        number = TaskContext.get().partitionId() // MERGED_TASKS
+        for size in range(longest):
+            kept = [(at // piece, tables[size, at:at + piece]) for at in range(0, slots, piece)
+                    if tables[size, at:at + piece].any()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([size] * len(kept), pa.int32()), pa.array([k for k, _ in kept], pa.int32()),
+                pa.array([number] * len(kept), pa.int32()),
+                pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for _, x in kept], pa.binary())],
+                ["size", "piece", "tasks", "sums"])
+
+    def added(table: pa.Table) -> np.ndarray:
+        total = np.zeros(piece, np.int64)
+        for x in table.column("sums"):
+            total += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=piece, codec="zstd"), np.uint8)
+        return np.minimum(total, most).astype(np.uint8)
+
+    def merged(table: pa.Table) -> pa.Table:
+        return table.select(["size", "piece"]).slice(0, 1).append_column(
+            "sums", pa.array([pa.compress(added(table).tobytes(), codec="zstd", asbytes=True)], pa.binary()))
+
+    def bits(table: pa.Table) -> pa.Table:
+        enough = np.packbits(added(table) >= min(least, most), bitorder="little").tobytes()
+        return table.select(["size", "piece"]).slice(0, 1).append_column("bits", pa.array([enough], pa.binary()))
+
+    schema = "size int, piece int, tasks int, sums binary"
+    rows = stored.select("units", "ids").mapInArrow(summed, schema)
+    rows = rows.groupBy("size", "piece", "tasks").applyInArrow(merged, "size int, piece int, sums binary")
+    rows = rows.groupBy("size", "piece").applyInArrow(bits, "size int, piece int, bits binary")
+    out = np.zeros((longest, slots // 8), np.uint8)
+    for size, at, found in rows.collect():  # at most ``longest`` * slots / 8 bytes
+        out[size, at * piece // 8:(at + 1) * piece // 8] = np.frombuffer(found, np.uint8)
+    return out
+
+
+def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reached: np.ndarray,
+                possible: np.ndarray, longest: int):
+    """(lang, words, phrase, hash, n) of the phrases of a block that are active in this step; while
+    words are, each language's number of words comes with ``words`` 0."""
     lang, word = table.column("lang"), table.column("word")
     hashes = _hashes(table)
-    slot = np.uint64(len(reached) - 1)
+    mask = np.uint64(len(reached) - 1)
 
     def rows(size, place, hashed, count):
         for a in range(0, len(place), BATCH_ROWS):
@@ -126,43 +204,44 @@ def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reache
                 pa.array(hashed[part].view(np.int64)), pa.array(count[a:a + BATCH_ROWS], pa.int64())],
                 ["lang", "words", "phrase", "hash", "n"])
 
-    inside = seq >= 0
-    one = np.where(inside, hashes[seq], np.uint64(0))
     if step < shards:
-        yield from rows(1, *_first_of_each(seq, inside, one))
-    since = np.where(inside, reached[one & slot], NEVER).astype(np.uint8)  # scan that made the phrase here common
-    hashed = one
-    for size in range(2, longest + 1):
-        if len(since) < 2:
+        langs = _flat(lang).dictionary_encode()
+        total = np.bincount(langs.indices.to_numpy()[seq[seq >= 0]], minlength=len(langs.dictionary))
+        zero = np.zeros(len(total), np.int64)
+        yield pa.RecordBatch.from_arrays([
+            langs.dictionary, pa.array(zero, pa.int32()), pa.array([b""] * len(total), pa.binary()), pa.array(zero),
+            pa.array(total, pa.int64())], ["lang", "words", "phrase", "hash", "n"])
+    since = None  # scan after which both subphrases of the phrase at each place were common
+    for size, hashed, whole in phrase_hashes(seq, hashes, longest):
+        if len(whole) == 0:
             return
-        since = np.maximum(since[:-1], since[1:])
-        with np.errstate(over="ignore"):
-            hashed = (hashed[:-1] ^ (hashed[:-1] >> np.uint64(29))) * _MIX + one[size - 1:]
-        at = np.flatnonzero((since < step) & (since.astype(np.int16) + shards >= step) & (since != NEVER))
+        if size == 1:
+            active = whole if step < shards else np.zeros_like(whole)
+        else:
+            since = np.maximum(since[:-1], since[1:])
+            active = whole & (since < step) & (since.astype(np.int16) + shards >= step) & (since != NEVER)
+        slot = hashed & mask
+        at = np.flatnonzero(active)
+        bit = possible[size - 1, slot[at] >> np.uint64(3)] >> (slot[at] & np.uint64(7)).astype(np.uint8)
+        at = at[(bit & 1) == 1]
         if len(at):
             first, count = _counted(seq, len(hashes), at, size)
             yield from rows(size, first, hashed, count)
-        since = np.where(since != NEVER, reached[hashed & slot], NEVER).astype(np.uint8)
+        known = whole if size == 1 else whole & (since != NEVER)
+        since = np.where(known, reached[slot], NEVER).astype(np.uint8)
 
 
 def _flat(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _first_of_each(seq, inside, hashed):
-    first, count = _counted(seq, 1, np.flatnonzero(inside), 1)
-    return first, hashed, count
-
-
-def _scan(shard: DataFrame, step: int, shards: int, reached, longest: int) -> DataFrame:
+def _scan(shard: DataFrame, step: int, shards: int, reached, possible, longest: int) -> DataFrame:
     def counted(batches):
         table = np.frombuffer(reached.value, np.uint8)
+        bits = np.frombuffer(possible.value, np.uint8).reshape(longest, -1)
         for batch in batches:
-            for units, ids in zip(batch.column(0), batch.column(1)):
-                block = pa.ipc.open_stream(units.as_buffer()).read_all()
-                yield from count_block(block, np.frombuffer(ids.as_buffer(), "<i4"), step, shards, table, longest)
-                del block
-            release_memory()
+            for units, seq in _opened(batch):
+                yield from count_block(units, seq, step, shards, table, bits, longest)
 
     rows = shard.select("units", "ids").mapInArrow(counted, "lang string, words int, phrase binary, hash long, n long")
     return written(rows.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")))
@@ -173,7 +252,7 @@ def _newly_reached(tables: list[DataFrame], least: int, longest: int, slots: int
     rows = tables[0].select("hash", "words", "n")
     for t in tables[1:]:
         rows = rows.union(t.select("hash", "words", "n"))
-    common = rows.where(F.col("words") < longest).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    common = rows.where(F.col("words").between(1, longest - 1)).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.col("hash").bitwiseAND(slots - 1) + 1
     maps = common.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
@@ -187,35 +266,41 @@ def _newly_reached(tables: list[DataFrame], least: int, longest: int, slots: int
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST,
                   longest: int = LONGEST, shards: int = SHARDS, block_bytes: int = BLOCK_BYTES,
-                  table_bytes: tuple[int, int] = TABLE_BYTES) -> tuple[DataFrame, DataFrame]:
+                  table_slots: tuple[int, int] = TABLE_SLOTS) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of every phrase with f >= least, (lang, n) of every language).
 
     Both are exact.  A phrase cannot reach the threshold before its subphrases, so at most
-    ``longest`` circles are scanned, the later ones for few phrases.  The table of reached phrases
-    has a byte for every eighth word, between the bounds of ``table_bytes``; beyond them it prunes less.
+    ``longest`` circles are scanned, the later ones for few phrases.  The tables by hash have a
+    slot for every eighth word, between the bounds of ``table_slots``: at most 32 MB for the reached
+    phrases and 4 MB for each length of possible ones are broadcast, and a task adds up in 32 MB a length.
+    Beyond 30 words a slot, a thousand million words, no sum stays below the threshold, and the scans
+    count every phrase whose subphrases are common.
     """
     spark = docs.sparkSession
     stored = word_blocks(docs, text_col, lang_col, shards, block_bytes)
     n_words = stored.agg(F.sum("n")).first()[0] or 0
-    low, high = table_bytes
+    low, high = table_slots
     slots = min(max(low, 1 << (n_words // 8).bit_length()), high)
     reached = np.full(slots, NEVER, np.uint8)
+    possible = spark.sparkContext.broadcast(_possible(stored, slots, least, longest).tobytes())
     counts: list[DataFrame] = []
     step, last = 0, shards - 1
     while step <= last:
         sent = spark.sparkContext.broadcast(reached.tobytes())
-        counts.append(_scan(stored.where(F.col("shard") == step % shards), step, shards, sent, longest))
+        counts.append(_scan(stored.where(F.col("shard") == step % shards), step, shards, sent, possible, longest))
         new = _newly_reached(counts[-shards:], least, longest, slots) & (reached == NEVER)
         sent.destroy()
         if new.any():
             reached[new] = step
             last = step + shards
         step += 1
+    possible.destroy()
     rows = counts[0]
     for t in counts[1:]:
         rows = rows.union(t)
-    common = rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    totals = rows.where(F.col("words") == 1).groupBy("lang").agg(F.sum("n").alias("n"))
+    common = rows.where(F.col("words") > 0).groupBy("lang", "words", "phrase").agg(
+        F.sum("n").alias("f")).where(F.col("f") >= least)
+    totals = rows.where(F.col("words") == 0).groupBy("lang").agg(F.sum("n").alias("n"))
     return written(common.select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f")), written(totals)
 
 

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, shards, block):
 def test_crowded_table_of_reached_phrases(spark):
     """Hashes that collide only add work."""
     rows = made(9, 60)
-    got = phrases.collocations(table(spark, rows), shards=2, block_bytes=300, table_bytes=(8, 8), **SMALL)
+    got = phrases.collocations(table(spark, rows), shards=2, block_bytes=300, table_slots=(8, 8), **SMALL)
     assert sorted(map(tuple, got.collect())) == brute(rows, **SMALL)
 
 
@@ -87,11 +87,11 @@ def test_each_phrase_is_counted_for_one_circle():
     units = pa.table({"lang": ["en", "en"], "word": pa.array([b"a", b"b"])})
     seq = np.array([0, 1, 0, 1, -1, 0], np.int32)
     one = phrases._hashes(units)
-    seen = []
+    seen, all_possible = [], np.full((4, 1 << 13), 255, np.uint8)
     for step in range(9):
         reached = np.full(1 << 16, phrases.NEVER, np.uint8)
         reached[one & np.uint64(0xFFFF)] = [1, 2]  # the second word was common after scan 2
-        seen.append({(r["words"], r["phrase"]): r["n"] for b in phrases.count_block(units, seq, step, 4, reached, 4)
+        seen.append({(r["words"], r["phrase"]): r["n"] for b in phrases.count_block(units, seq, step, 4, reached, all_possible, 4)
                      for r in b.to_pylist()})
     assert [s.get((2, b"a b")) for s in seen] == [None, None, None, 2, 2, 2, 2, None, None]
     assert [s.get((1, b"a")) for s in seen] == [3, 3, 3, 3, None, None, None, None, None]
