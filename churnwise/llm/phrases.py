@@ -11,9 +11,9 @@ Which phrases have reached the threshold is told to the tasks by a table of boun
 hash of a phrase, holding the scan in which one with that hash reached it.  Two phrases with one hash
 only make the scans count a phrase that would not have needed it; counts are kept by the phrase itself.
 
-One pass before the scans adds up the occurrences of all phrases by hash alone, in tables of the same
-size.  Where the sum stays below the threshold no phrase with that hash can reach it, and the scans leave
-such phrases out.  Both tables prune the better the fewer words share a slot; neither changes a result.
+Before the scans the occurrences of phrases are added up by hash alone, in tables of the same size: first
+those of one and two words, then those of more words whose subphrases may be common.  Where the sum stays
+below the threshold no phrase with that hash can reach it, and the scans leave such phrases out.  Both tables prune the better the fewer words share a slot; neither changes a result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LONGEST = 4  # words of a candidate, at most
 COVERED = 80  # per cent of its occurrences inside one longer candidate from which a candidate goes
 REPORTED = 2000  # rows per language
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20  # text in one block
+BLOCK_BYTES = 8 << 20  # text in one block
 BATCH_ROWS = 1 << 16  # rows in one output batch
 TABLE_SLOTS = (1 << 16, 1 << 25)  # least and most slots of the tables by hash
 PIECE_SLOTS = 1 << 16  # slots that are added up together
@@ -134,27 +134,39 @@ def _opened(batch: pa.RecordBatch):
     release_memory()
 
 
-def _possible(stored: DataFrame, slots: int, least: int, longest: int) -> np.ndarray:
-    """A bit per length and slot: whether the phrases with that hash occur ``least`` times together.
+def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _possible(stored: DataFrame, known: np.ndarray, sizes: range, slots: int, least: int) -> np.ndarray:
+    """``known`` with a row more for each of ``sizes``: a bit per slot, whether the phrases of so many words
+    with that hash occur ``least`` times together.  ``known`` has the rows of all shorter phrases.
 
     Tasks add up in bytes that stop at 255; their sums are added in two rounds, a stretch of slots at a
     time, so that no task holds more than ``MERGED_TASKS`` of them.
     """
     piece, most = min(PIECE_SLOTS, slots), 255
+    sent = stored.sparkSession.sparkContext.broadcast(known.tobytes())
 
     def summed(batches):
-        tables = np.zeros((longest, slots), np.uint8)
+        before = np.frombuffer(sent.value, np.uint8).reshape(-1, slots // 8)
+        tables = {size: np.zeros(slots, np.uint8) for size in sizes}
         for batch in batches:
             for table, seq in _opened(batch):
-                for size, hashed, whole in phrase_hashes(seq, _hashes(table), longest):
-                    at = np.sort((hashed[whole] & np.uint64(slots - 1)).astype(np.uint32))
+                alive = None
+                for size, hashed, whole in phrase_hashes(seq, _hashes(table), sizes[-1]):
+                    slot = hashed & np.uint64(slots - 1)
+                    alive = whole if alive is None else alive[:-1] & alive[1:] & whole
+                    if size <= len(before):
+                        alive = alive & _bit(before[size - 1], slot)
+                        continue
+                    at = np.sort(slot[alive].astype(np.uint32))
                     first = np.flatnonzero(np.diff(at, prepend=-1))
-                    slot, n = at[first], np.diff(np.append(first, len(at)))
-                    tables[size - 1, slot] = np.minimum(tables[size - 1, slot] + n, most)
+                    at, n = at[first], np.diff(np.append(first, len(at)))
+                    tables[size][at] = np.minimum(tables[size][at] + n, most)
         number = TaskContext.get().partitionId() // MERGED_TASKS
-        for size in range(longest):
-            kept = [(at // piece, tables[size, at:at + piece]) for at in range(0, slots, piece)
-                    if tables[size, at:at + piece].any()]
+        for size, sums in tables.items():
+            kept = [(at // piece, sums[at:at + piece]) for at in range(0, slots, piece) if sums[at:at + piece].any()]
             yield pa.RecordBatch.from_arrays([
                 pa.array([size] * len(kept), pa.int32()), pa.array([k for k, _ in kept], pa.int32()),
                 pa.array([number] * len(kept), pa.int32()),
@@ -179,16 +191,18 @@ def _possible(stored: DataFrame, slots: int, least: int, longest: int) -> np.nda
     rows = stored.select("units", "ids").mapInArrow(summed, schema)
     rows = rows.groupBy("size", "piece", "tasks").applyInArrow(merged, "size int, piece int, sums binary")
     rows = rows.groupBy("size", "piece").applyInArrow(bits, "size int, piece int, bits binary")
-    out = np.zeros((longest, slots // 8), np.uint8)
-    for size, at, found in rows.collect():  # at most ``longest`` * slots / 8 bytes
-        out[size, at * piece // 8:(at + 1) * piece // 8] = np.frombuffer(found, np.uint8)
+    out = np.concatenate((known, np.zeros((len(sizes), slots // 8), np.uint8)))
+    for size, at, found in rows.collect():  # at most slots / 8 bytes a length
+        out[size - 1, at * piece // 8:(at + 1) * piece // 8] = np.frombuffer(found, np.uint8)
+    sent.destroy()
     return out
 
 
 def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reached: np.ndarray,
                 possible: np.ndarray, longest: int):
     """(lang, words, phrase, hash, n) of the phrases of a block that are active in this step; while
-    words are, each language's number of words comes with ``words`` 0."""
+    words are, each language's number of words comes with ``words`` 0.  ``hash`` is null where it is
+    of no more use: at phrases of full length and those that have reached the threshold."""
     lang, word = table.column("lang"), table.column("word")
     hashes = _hashes(table)
     mask = np.uint64(len(reached) - 1)
@@ -196,12 +210,13 @@ def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reache
     def rows(size, place, hashed, count):
         for a in range(0, len(place), BATCH_ROWS):
             part = place[a:a + BATCH_ROWS]
+            done = (reached[hashed[part] & mask] != NEVER) | (size == longest)
             unit = [pa.array(seq[part + j]) for j in range(size)]
             texts = [word.take(u) for u in unit]
             phrase = pc.binary_join_element_wise(*texts, b" ") if size > 1 else texts[0]
             yield pa.RecordBatch.from_arrays([
                 _flat(lang.take(unit[0])), pa.array(np.full(len(part), size, np.int32)), _flat(phrase),
-                pa.array(hashed[part].view(np.int64)), pa.array(count[a:a + BATCH_ROWS], pa.int64())],
+                pa.array(hashed[part].view(np.int64), mask=done), pa.array(count[a:a + BATCH_ROWS], pa.int64())],
                 ["lang", "words", "phrase", "hash", "n"])
 
     if step < shards:
@@ -209,8 +224,8 @@ def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reache
         total = np.bincount(langs.indices.to_numpy()[seq[seq >= 0]], minlength=len(langs.dictionary))
         zero = np.zeros(len(total), np.int64)
         yield pa.RecordBatch.from_arrays([
-            langs.dictionary, pa.array(zero, pa.int32()), pa.array([b""] * len(total), pa.binary()), pa.array(zero),
-            pa.array(total, pa.int64())], ["lang", "words", "phrase", "hash", "n"])
+            langs.dictionary, pa.array(zero, pa.int32()), pa.array([b""] * len(total), pa.binary()),
+            pa.nulls(len(total), pa.int64()), pa.array(total, pa.int64())], ["lang", "words", "phrase", "hash", "n"])
     since = None  # scan after which both subphrases of the phrase at each place were common
     for size, hashed, whole in phrase_hashes(seq, hashes, longest):
         if len(whole) == 0:
@@ -222,8 +237,7 @@ def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reache
             active = whole & (since < step) & (since.astype(np.int16) + shards >= step) & (since != NEVER)
         slot = hashed & mask
         at = np.flatnonzero(active)
-        bit = possible[size - 1, slot[at] >> np.uint64(3)] >> (slot[at] & np.uint64(7)).astype(np.uint8)
-        at = at[(bit & 1) == 1]
+        at = at[_bit(possible[size - 1], slot[at])]
         if len(at):
             first, count = _counted(seq, len(hashes), at, size)
             yield from rows(size, first, hashed, count)
@@ -247,12 +261,12 @@ def _scan(shard: DataFrame, step: int, shards: int, reached, possible, longest:
     return written(rows.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")))
 
 
-def _newly_reached(tables: list[DataFrame], least: int, longest: int, slots: int) -> np.ndarray:
+def _newly_reached(tables: list[DataFrame], least: int, slots: int) -> np.ndarray:
     """The slots of the phrases whose counts over ``tables`` reach ``least``, as a bitmap of bounded size."""
-    rows = tables[0].select("hash", "words", "n")
+    rows = tables[0].select("hash", "n")
     for t in tables[1:]:
-        rows = rows.union(t.select("hash", "words", "n"))
-    common = rows.where(F.col("words").between(1, longest - 1)).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        rows = rows.union(t.select("hash", "n"))
+    common = rows.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.col("hash").bitwiseAND(slots - 1) + 1
     maps = common.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
@@ -272,7 +286,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Both are exact.  A phrase cannot reach the threshold before its subphrases, so at most
     ``longest`` circles are scanned, the later ones for few phrases.  The tables by hash have a
     slot for every eighth word, between the bounds of ``table_slots``: at most 32 MB for the reached
-    phrases and 4 MB for each length of possible ones are broadcast, and a task adds up in 32 MB a length.
+    phrases and 4 MB for each length of possible ones are broadcast, and a task adds up in 64 MB.
     Beyond 30 words a slot, a thousand million words, no sum stays below the threshold, and the scans
     count every phrase whose subphrases are common.
     """
@@ -282,13 +296,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     low, high = table_slots
     slots = min(max(low, 1 << (n_words // 8).bit_length()), high)
     reached = np.full(slots, NEVER, np.uint8)
-    possible = spark.sparkContext.broadcast(_possible(stored, slots, least, longest).tobytes())
+    possible = np.zeros((0, slots // 8), np.uint8)
+    for size in range(1, longest + 1, 2):
+        possible = _possible(stored, possible, range(size, min(size + 2, longest + 1)), slots, least)
+    possible = spark.sparkContext.broadcast(possible.tobytes())
     counts: list[DataFrame] = []
     step, last = 0, shards - 1
     while step <= last:
         sent = spark.sparkContext.broadcast(reached.tobytes())
         counts.append(_scan(stored.where(F.col("shard") == step % shards), step, shards, sent, possible, longest))
-        new = _newly_reached(counts[-shards:], least, longest, slots) & (reached == NEVER)
+        new = _newly_reached(counts[-shards:], least, slots) & (reached == NEVER)
         sent.destroy()
         if new.any():
             reached[new] = step
