@@ -72,3 +72,11 @@ def customer_history(tx: DataFrame, customer_id, key: str = "customer_id",
                      date_col: str = "transaction_date", id_col: str = "transaction_id") -> DataFrame:
     """Transactions of one customer, newest first."""
     return tx.where(F.col(key) == F.lit(customer_id)).orderBy(F.desc(date_col), F.asc(id_col))
+
+
+def customer_activity(tx: DataFrame, customer_id, key: str = "customer_id") -> DataFrame:
+    """Transactions, sales, cancellations and most modifications of one customer per month."""
+    mine = tx.where(F.col(key) == F.lit(customer_id))
+    return mine.groupBy(F.date_trunc("month", "transaction_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("transactions"), F.round(F.sum("sales_amount"), 2).alias("sales"),
+        F.sum("transaction_canceled").alias("canceled"), F.max("modification_count").alias("most_modifications"))

@@ -56,19 +56,24 @@ def split_hash(key: str = "customer_id", seed: int = 42) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str = "customer_id", test: float = 0.2,
-                     seed: int = 42, label: str = "churn") -> tuple[DataFrame, DataFrame]:
+                     seed: int = 42, label: str = "churn", broadcast: bool = True) -> tuple[DataFrame, DataFrame]:
     """(train, test): of each class the rows whose key hash is at most the class's ``test``
     quantile of the hash, which is that share of its rows to within one row.
 
     The split depends on keys and labels only, so it is repeatable on any partitioning.
-    Rows with a null label are split as a class of their own."""
+    Rows with a null label are split as a class of their own.  The limits are found from keys and
+    labels alone and read as one map; beyond ``BROADCAST_TARGETS`` classes pass ``broadcast=False``,
+    which joins them by class."""
     rows = df.withColumn("_h", split_hash(key, seed)).withColumn("_class", F.coalesce(
         F.col(label).cast("string"), F.lit("null label")))
-    cuts = quantiles(rows, "_h", [test], by=["_class"]).select("_class", F.col("value").alias("_cut"))
-    limit = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_class", "_cut")))).scalar()  # an entry per class
-    marked = rows.withColumn("_test", F.col("_h") <= F.try_element_at(limit, F.col("_class")))
-    return (marked.where(~F.col("_test")).drop("_h", "_class", "_test"),
-            marked.where(F.col("_test")).drop("_h", "_class", "_test"))
+    cuts = quantiles(rows.select("_h", "_class"), "_h", [test], by=["_class"], broadcast=broadcast).select(
+        "_class", F.col("value").alias("_cut"))
+    if broadcast:
+        limit = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_class", "_cut")))).scalar()  # an entry per class
+        marked = rows.withColumn("_test", F.col("_h") <= F.try_element_at(limit, F.col("_class")))
+    else:
+        marked = rows.join(cuts, "_class").withColumn("_test", F.col("_h") <= F.col("_cut"))
+    return (marked.where(~F.col("_test")).select(*df.columns), marked.where(F.col("_test")).select(*df.columns))
 
 
 # F7 ---------------------------------------------------------------------------

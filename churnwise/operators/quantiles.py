@@ -10,8 +10,16 @@ exact answer takes two passes over the rows:
    that holds each wanted rank.  The bins of a group are at most a few million whatever the
    number of rows.
 2. Rows of the wanted bins (about n / BINS_PER_E of a group's rows) are counted per distinct
-   value; a running sum gives x[j] and x[j+1], which are interpolated linearly
-   (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
+   value.  Values in a narrow band (times of a few days, ids near a thousand million) can all
+   lie in one bin, so the counts of a wanted bin are summed again over ``LINEAR_BINS`` equal
+   stretches between its smallest and largest value, and a running sum over these finds the
+   stretch of the wanted rank.  A bin spans a factor of about 1 + 1 / BINS_PER_E, so a
+   stretch has at most about 7 million doubles, and far fewer unless they are neighbours.
+3. A running sum over the values of that stretch gives x[j] and x[j+1], which are interpolated
+   linearly (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
+
+The counts of step 2 are exchanged once and read twice.  No task sorts more than the bins, the
+stretches or the values of one stretch of a group, however many rows and distinct values it has.
 
 Nulls and NaN are skipped; without any value the quantiles are null.  ``exact=False``
 returns the values of a sketch instead.
@@ -28,6 +36,7 @@ DEFAULT_ACCURACY = 10_000
 BINS_PER_E = 10_000
 # ln of the smallest double is -744.4, so this makes the bin of every positive value positive
 BIN_SHIFT = 8_000_000
+LINEAR_BINS = 1 << 16  # stretches of a wanted bin
 BROADCAST_TARGETS = 100_000  # (group, probability) rows broadcast at most
 
 
@@ -54,7 +63,7 @@ def _targets(vals: DataFrame, by: Sequence[str], probs: Sequence[float], moments
         mean = F.sum(c * F.col("_m")).over(group) / F.sum("_c").over(group)
         cols += [mean.alias("_mean"), F.min("_lo").over(group).alias("_min"), F.max("_hi").over(group).alias("_max")]
     out = bins.select(*bins.columns, *cols)
-    kept = ["_n", "_before", "_c", "_hi", "_next"]
+    kept = ["_n", "_before", "_c", "_lo", "_hi", "_next"]
     if moments:
         off = F.col("_m") - F.col("_mean")
         out = out.withColumn("_ss", F.sum(c * (F.col("_s2") + off * off)).over(group))
@@ -67,6 +76,25 @@ def _targets(vals: DataFrame, by: Sequence[str], probs: Sequence[float], moments
     return out.select(*by, "_bin", *kept, F.inline(hit))
 
 
+def _in_stretch(counts: DataFrame, by: Sequence[str], broadcast: bool = True) -> DataFrame:
+    """Of the counted values of the wanted bins those of the stretch that holds the wanted rank,
+    with ``_before`` and ``_next`` of the stretch.  There are as many stretches as wanted bins."""
+    width = F.col("_hi") - F.col("_lo")
+    part = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(LINEAR_BINS))), F.lit(LINEAR_BINS - 1))
+    counts = counts.withColumn("_part", F.when(width > 0, part).otherwise(F.lit(0)).cast("long"))
+    parts = counts.groupBy(*by, "_i", "_part").agg(
+        F.sum("_k").alias("_pc"), F.min("_v").alias("_first"), F.max("_j").alias("_rank"),
+        F.max("_before").alias("_start"), F.max("_next").alias("_end"))
+    order = Window.partitionBy(*by, "_i").orderBy("_part")
+    upto = F.col("_start") + F.sum("_pc").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.select(*by, "_i", "_part", "_rank", "_pc", upto.alias("_upto"),
+                         F.coalesce(F.lead("_first").over(order), "_end").alias("_after"))
+    held = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_pc"))
+    wanted = parts.where(held).select(*by, "_i", "_part", (F.col("_upto") - F.col("_pc")).alias("_start"), "_after")
+    return counts.join(F.broadcast(wanted) if broadcast else wanted, [*by, "_i", "_part"]).withColumns(
+        {"_before": F.col("_start"), "_next": F.col("_after")}).drop("_start", "_after", "_part")
+
+
 def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str], moments: bool,
             broadcast: bool) -> DataFrame:
     v = F.col("_v")
@@ -81,6 +109,7 @@ def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str],
     keys = [*by, "_bin"]
     carried = [c for c in targets.columns if c not in keys]
     counts = vals.join(targets, keys).groupBy(*keys, *carried, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    counts = _in_stretch(counts, by, broadcast)
     one = Window.partitionBy(*by, "_i")
     upto = F.col("_before") + F.sum("_k").over(one.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counts.withColumn("_upto", upto)

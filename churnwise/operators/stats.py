@@ -250,11 +250,14 @@ def histogram(df: DataFrame, col: str, bins: int = 30, divisor: float = 1.0) ->
 
 # D22 / E3 ---------------------------------------------------------------------
 def box_summary(df: DataFrame, group: str, col: str, divisor: float = 1.0,
-                order: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+                order: Sequence[str] | None = None, exact: bool = True, broadcast: bool = True) -> DataFrame:
     """Quartiles, 1.5 x IQR whiskers (most extreme values inside the fences)
-    and outlier count per group; rows ordered by the declared category order."""
+    and outlier count per group; rows ordered by the declared category order.
+
+    Beyond ``BROADCAST_TARGETS`` groups and probabilities pass ``broadcast=False``, which joins the
+    quartiles by key, as in ``quantiles``; a sketch (``exact=False``) always does."""
     vals = _keyed(df, group).select(group, per_unit(col, divisor).alias("_x"))
-    q = quantiles(vals, "_x", [0.25, 0.5, 0.75], by=[group], exact=exact)
+    q = quantiles(vals, "_x", [0.25, 0.5, 0.75], by=[group], exact=exact, broadcast=broadcast)
     wide = q.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     fences = wide.select(group, "q1", "median", "q3",
@@ -263,8 +266,9 @@ def box_summary(df: DataFrame, group: str, col: str, divisor: float = 1.0,
                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
     x = F.col("_x")
     inside = (x >= F.col("_lf")) & (x <= F.col("_uf"))
-    # one row per category, as many as quantiles() has just broadcast
-    out = (vals.where(x.isNotNull() & ~F.isnan(x)).join(F.broadcast(fences), group)
+    # a row per group, no more than quantiles() has just broadcast
+    fences = F.broadcast(fences) if exact and broadcast else fences
+    out = (vals.where(x.isNotNull() & ~F.isnan(x)).join(fences, group)
            .groupBy(group, "q1", "median", "q3", "iqr")
            .agg(F.min(F.when(inside, x)).alias("lower_whisker"),
                 F.max(F.when(inside, x)).alias("upper_whisker"),

@@ -6,9 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -76,9 +79,55 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a derived table that several passes read: it is computed by the first job that
-    needs it and held on the executors, in memory and beyond that on their disks, until
-    ``spark.catalog.clearCache()`` or the end of the session; what a lost executor held is
-    computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def kept(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Derived tables that several passes read, kept while the ``with`` block runs.
+
+    Each is computed by the first job that needs it and held on the executors, in memory and
+    beyond that on their disks; what a lost executor held is computed again from its lineage.
+    On leaving the block, also by an error, nothing stays; a lazy result must be ``finished`` inside it.
+    """
+    held = tuple(t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables)
+    try:
+        yield held
+    finally:
+        for t in held:
+            t.unpersist()
+
+
+def finished(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """The rows of ``df``, computed now and read from the shared folder from here on.  A small result
+    that is ``ordered`` keeps its order in one file."""
+    path = scratch_path(df.sparkSession, "finished")
+    (df.coalesce(1) if ordered else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files_fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Number, size, last change and a digest of (path, size, change) of all files under ``paths``.
+
+    The files are listed by Spark and never opened, so a table of many files is listed by many tasks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select(
+        "path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(
+        F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
+class FittedModels:
+    """Models by name and input files: one is trained when it is first asked for and again when the files
+    it was trained on have changed since."""
+
+    def __init__(self):
+        self._held: dict[tuple, tuple] = {}
+
+    def get(self, spark: SparkSession, name: str, paths: Sequence[str], train: Callable[[], object]):
+        key = (spark.sparkContext.applicationId, name, *paths)
+        state = files_fingerprint(spark, paths)
+        found = self._held.get(key)
+        if found is None or found[0] != state:
+            self._held[key] = found = (state, train())
+        return found[1]
+
+    def clear(self) -> None:
+        self._held.clear()

@@ -29,9 +29,17 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "orders").select(F.max("o_orderdate")).scalar()
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem rolled up by order (``L``); map-side combined before the shuffle."""
+def order_lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """lineitem rolled up by order (``L``); map-side combined before the shuffle.
+
+    With ``orders`` only the lines of these orders are grouped: the range of their keys reaches the
+    scan, where row groups outside it are skipped, and a semi-join leaves the lines of their keys.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if orders is not None:
+        ends = [orders.select(f("o_orderkey")).scalar() for f in (F.min, F.max)]
+        li = li.where(F.col("l_orderkey").between(*ends)).join(
+            orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.min("l_suppkey").alias("seller_id"),
@@ -42,14 +50,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, recent_days: int | None = None) -> DataFrame:
-    """``tx`` (all orders) or ``tx180`` (``recent_days=180``)."""
+def transactions(spark: SparkSession, sf_dir: str, recent_days: int | None = None, customer=None) -> DataFrame:
+    """``tx`` (all orders) or ``tx180`` (``recent_days=180``), of one ``customer`` if given."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     if recent_days is not None:
         cutoff = as_of(spark, sf_dir) - F.make_dt_interval(F.lit(recent_days))
         orders = orders.where(F.col("o_orderdate") > cutoff)
-    lines = order_lines(spark, sf_dir)
+    if customer is not None:
+        orders = orders.where(F.col("o_custkey") == F.lit(customer))
+    lines = order_lines(spark, sf_dir, orders if customer is not None else None)
     j = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
     canceled = F.coalesce(F.col("all_returned"), F.lit(False))
     return j.select(

@@ -176,3 +176,10 @@ def test_original_vocabulary(spark):
         cut("p", schemas.RISK_EDGES, schemas.ORIGINAL_RISK_LABELS).alias("r"),
         band("s", schemas.GAUGE_EDGES, schemas.ORIGINAL_GAUGE_LABELS).alias("g")).collect()
     assert [tuple(r) for r in risk] == [("낮음", "낮음"), ("높음", "높음")]
+
+
+def test_split_without_a_map_of_classes(spark):
+    df = spark.range(3000).select(F.col("id").alias("customer_id"), (F.col("id") % 3).alias("churn"), F.lit("x").alias("_h"))
+    parts = [[sorted(r["customer_id"] for r in part.collect()) for part in model.stratified_split(
+        df.drop("_h"), broadcast=b)] for b in (True, False)]
+    assert parts[0] == parts[1] and len(parts[0][1]) == pytest.approx(600, abs=3)

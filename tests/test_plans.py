@@ -31,6 +31,19 @@ def test_point_lookup_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_custkey,7\)", plan)
 
 
+@pytest.mark.parametrize("name", ["customer_history", "customer_activity"])
+def test_one_customer_reads_few_lines(spark, name):
+    """The lines are filtered by the keys of the customer's orders before they are grouped."""
+    plan = _plan(catalog.REGISTRY[name].run(spark, SF_SMALL))
+    scan = re.search(r"Scan parquet \n(?:(?!Scan parquet)[\s\S])*?lineitem\.parquet[\s\S]*?ReadSchema", plan).group()
+    pushed = re.findall(r"(?:DataFilters|PushedFilters): \[[^\]]*\]", plan)
+    assert "LeftSemi" in plan
+    assert any("l_orderkey" in p and "GreaterThanOrEqual" in p for p in pushed) or "l_orderkey" in scan
+    tree = plan[:plan.index("\n\n")]
+    line = [i for i, x in enumerate(tree.splitlines()) if "Semi" in x][0]
+    assert any("HashAggregate" in x or "SortAggregate" in x for x in tree.splitlines()[:line])  # grouped above the join
+
+
 def test_columns_are_pruned(spark):
     plan = _plan(rollups.customer_rollup(catalog.tx(spark, SF_SMALL)))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from churnwise.operators import model, rollups, stats
 from churnwise.operators.quantiles import quantiles
@@ -153,3 +154,46 @@ def test_quality_checks_flags(spark):
                                 allow_null=["cancellation_date"]).collect()}
     assert got == {"row_count": True, "amount_min": True, "amount_max": False, "mod_cancel_corr": False,
                    "cancel_rate": True, "no_missing": False}
+
+
+@pytest.mark.parametrize("low,step", [(1.0e9, 1.0), (1.7e9, 0.25), (-1.0e9, 1.0), (1.0, 2.0 ** -52)])
+def test_quantiles_of_a_narrow_band(spark, low, step):
+    """All values lie in a few logarithmic bins; they are told apart by stretches of a bin."""
+    n = 200_000
+    df = spark.range(n).select((F.lit(low) + F.col("id") * F.lit(step)).alias("v"), (F.col("id") % 2).alias("g"))
+    values = low + np.arange(n) * step
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "v", probs, by=["g"]).collect()}
+    for g in (0, 1):
+        for p in probs:
+            part = values[g::2]
+            at = p * (len(part) - 1)
+            j = int(np.floor(at))
+            wanted = part[j] + (at - j) * (part[min(j + 1, len(part) - 1)] - part[j])
+            assert got[g, p] == pytest.approx(wanted, rel=0, abs=step * 1e-3 + abs(wanted) * 2e-16)
+
+
+def test_no_task_sorts_a_narrow_band(spark):
+    """Of 10 million ids near 10^9 in one group at most 1 % are sorted by one window."""
+    from churnwise.operators import quantiles as q
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") + 10 ** 9).cast("double").alias("_v"), F.lit(1).alias("g"))
+    vals = df.withColumn("_bin", q.value_bin(F.col("_v")))
+    targets = q._targets(vals, ["g"], [0.5], False)
+    assert vals.select("_bin").distinct().count() < n / 100
+    carried = [c for c in targets.columns if c not in ("g", "_bin")]
+    counts = vals.join(F.broadcast(targets), ["g", "_bin"]).groupBy("g", "_bin", *carried, "_v").agg(
+        F.count(F.lit(1)).alias("_k"))
+    assert min(q.LINEAR_BINS, counts.count()) < n / 100  # stretches
+    assert q._in_stretch(counts, ["g"]).count() < n / 100
+    assert q.quantiles(df, "_v", [0.5], by=["g"]).first()["value"] == 10 ** 9 + (n - 1) / 2
+
+
+def test_many_groups_without_broadcast(spark):
+    df = spark.range(120_000).select((F.col("id") % 40_000).alias("g"), F.col("id").cast("double").alias("x"))
+    out = stats.box_summary(df, "g", "x", broadcast=False)
+    assert out.count() == 40_000
+    row = out.where("g = 7").first()
+    assert (row["q1"], row["median"], row["n"]) == (20_007.0, 40_007.0, 3)
+    with pytest.raises(Exception, match="broadcast=False"):
+        stats.box_summary(df, "g", "x").collect()
