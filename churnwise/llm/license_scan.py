@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.llm.license_texts import EQUIVALENT, KNOWN
+from churnwise.llm.license_texts import EQUIVALENT, KNOWN, NOTICE
 
 KNOWN_BROADCAST_ROWS = 10_000  # rows of a known-licence table that are broadcast at most
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text: lower case, equivalent spellings made one, lines that
-    state a copyright removed, everything but letters and digits one space, no empty lines."""
-    out = F.lower(text)
+    """The canonical lines of a text: lower case, copyright notices removed (``NOTICE``), equivalent
+    spellings made one, everything but letters and digits one space, no empty lines.  A line of terms
+    that begins with "copyright" or with the list mark "(c)" stays."""
+    out = F.array_join(F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(NOTICE)), "\n")
     for pattern, word in EQUIVALENT:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(word))
     out = F.regexp_replace(out, F.lit("[^a-z0-9\n]+"), F.lit(" "))
     lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
-    return F.filter(lines, lambda x: (x != "") & ~x.startswith("copyright "))
+    return F.filter(lines, lambda x: x != "")
 
 
 def canonical_text(text: Column) -> Column:
@@ -44,8 +45,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     as a notice (scope ``line``); it matches when its canonical form has the digest of a
     known one.  Digests are only computed for texts as long as some known one, which
     loses none.  Documents without a match have no row; null and empty texts never match;
-    rows that repeat an id are counted together, null ids too.  Known tables of up to
-    ``KNOWN_BROADCAST_ROWS`` rows are broadcast, larger ones joined by digest.
+    rows that repeat an id are counted together, null ids too.  A very long text is read whole, an
+    empty table gives no row, and of ``docs`` only the two named columns are read, so others cannot
+    clash.  Known tables of up to ``KNOWN_BROADCAST_ROWS`` rows are broadcast, larger ones joined by digest.
     """
     sizes = known.agg(F.collect_set("size")).scalar()  # the lengths that occur
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"),
@@ -68,12 +70,13 @@ def scan_sql(texts: list[tuple[str, str]] | None = None) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def canonical(column: str) -> str:
-        out = f"lower({column})"
+        out = (f"array_to_string(list_filter(string_split(lower({column}), chr(10)), "
+               f"lambda x: NOT regexp_matches(x, {quoted(NOTICE)})), chr(10))")
         for pattern, word in EQUIVALENT:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(word)}, 'g')"
         out = f"regexp_replace({out}, '[^a-z0-9\n]+', ' ', 'g')"
         return (f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x, ' ')), "
-                f"lambda x: x <> '' AND NOT starts_with(x, 'copyright '))")
+                f"lambda x: x <> '')")
 
     given = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in (texts if texts is not None else KNOWN))
     return f"""

@@ -4,16 +4,22 @@ from pathlib import Path
 
 # Spellings that count as one, as patterns on lower-case text.
 EQUIVALENT = [
-    (r"\(c\)|©", " copyright "),
+    (r"copyright[ \t]*(?:\(c\)|©)|©", " copyright "),
     (r"licence", "license"),
     (r"licensor's|licencor's", "licensors"),
     (r"sub-license", "sublicense"),
     (r"non-commercial", "noncommercial"),
     (r"https?://", ""),
     (r"&", " and "),
-    (r"all rights reserved", " copyright reserved "),  # a line of its own goes with the copyright lines
 ]
 
+# A lower-case line that states a copyright and grants nothing.  The mark comes first, then a year or
+# its placeholder and a name, or both marks and a short name; or all of the line reserves the rights.
+_MARK, _YEAR = r"(?:copyright|\(c\)|©)", r"(?:(?:19|20)[0-9][0-9]|19yy|yyyy|year)(?:[^a-z0-9][^\n]{0,120})?"
+_BOTH = r"(?:copyright[^a-z0-9(©]*(?:\(c\)|©)|(?:\(c\)|©)[^a-z0-9(©]*copyright)"
+NOTICE = (rf"^[^a-z0-9(©]*(?:{_MARK}[^a-z0-9(©]*{_YEAR}|{_BOTH}[^a-z0-9]*{_YEAR}|{_BOTH}[^a-z0-9\n][^\n]{{0,80}}"
+          r"|all rights reserved[^a-z0-9]*)\z")
+
 # Public licence texts and notices, by SPDX identifier.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.

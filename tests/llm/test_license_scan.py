@@ -1,5 +1,7 @@
 """Licence scan: canonical forms, joins, parity with its SQL."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -64,3 +66,69 @@ def test_whole_long_texts_and_rights_reserved(spark):
     want = [(n, "document", i, 1) for n, i in enumerate(ids)] + [
         (20, "document", "BSD-3-Clause", 1), (21, "document", "MIT", 1), (22, "document", "Apache-2.0", 1)]
     assert [r for r in scan(spark, rows) if r[1] == "document"] == want
+
+
+# The lines of the known texts that may go, by hand: every one names a holder or a placeholder.
+NOTICES = re.compile(r"copyright \(c\) +([0-9]{4}(, ?[0-9]{4})*|<year>|year|19yy) .*|copyright \[yyyy\] .*|copyright \(c\)  year .*"
+                     r"|[_.]+ all rights reserved[.]?")
+
+
+def plain(text):
+    """Own normaliser: what is left of each line, with the lines that are notices left out."""
+    from churnwise.llm.license_texts import EQUIVALENT
+    out = []
+    for line in text.lower().split("\n"):
+        if NOTICES.fullmatch(line.strip()):
+            continue
+        for pattern, word in EQUIVALENT:
+            line = re.sub(pattern, word, line)
+        out.append(" ".join(re.findall("[a-z0-9]+", line)))
+    return " ".join(x for x in out if x)
+
+
+def test_only_notices_go(spark):
+    """The canonical form of every known text is the plain one: no line of terms is left out."""
+    from churnwise.llm.license_texts import KNOWN
+    df = spark.createDataFrame(KNOWN, "id string, text string")
+    got = df.select("text", ls.canonical_text(ls.F.col("text")).alias("c")).collect()
+    assert len(got) == len(KNOWN)
+    for r in got:
+        assert r["c"] == plain(r["text"])
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "MPL-2.0", "MPL-1.1", "BSD-3-Clause", "GFDL-1.3-only"])
+def test_altered_lines_never_match(spark, name):
+    from churnwise.llm.license_texts import KNOWN
+    text = max((t for i, t in KNOWN if i == name), key=len)
+    lines = text.split("\n")
+    rows = [(n, "\n".join([*lines[:n], line + " not at all", *lines[n + 1:]])) for n, line in enumerate(lines)
+            if plain(line)]
+    rows += [(10_000 + n, "\n".join([*lines[:n], *lines[n + 1:]])) for n, line in enumerate(lines) if plain(line)]
+    assert len(rows) > 10
+    assert [r for r in scan(spark, rows) if r[1] == "document" and r[0] not in ends(text, rows)] == []
+
+
+def ends(text, rows):
+    """Rows that are another known text: some texts are known with and without what follows their terms."""
+    from churnwise.llm.license_texts import KNOWN
+    known = {plain(t) for _, t in KNOWN}
+    return {n for n, t in rows if plain(t) in known}
+
+
+def test_altered_apache_clause(spark):
+    from churnwise.llm.license_texts import KNOWN
+    text = max((t for i, t in KNOWN if i == "Apache-2.0"), key=len)
+    other = re.sub(r"\(c\) You must retain, in the Source form of any Derivative Works",
+                   "(c) You need not keep anything at all and may remove", text)
+    assert other != text
+    assert [r for r in scan(spark, [(1, other), (2, text)]) if r[1] == "document"] == [(2, "document", "Apache-2.0", 1)]
+
+
+def test_notices(spark):
+    lines = ["Copyright 2019 The Authors", "(c) 2019-2021 X", "© 2001 Y, Inc. All rights reserved.", "# Copyright (C) Some Company.",
+             "Copyright [yyyy] [name of copyright owner]", "All rights reserved."]
+    terms = ["(c) You must retain", "copyright license to reproduce", "copyright holder, and you cure", "(c) under Patent Claims",
+             "Copyright (c) 2019" + " and you lose all rights" * 20, "copyright 20 years", "all rights reserved to you"]
+    df = spark.createDataFrame([(x,) for x in lines + terms], "text string")
+    got = [r["n"] for r in df.select(ls.F.size(ls.canonical_lines(ls.F.col("text"))).alias("n")).collect()]
+    assert got == [0] * len(lines) + [1] * len(terms)
