@@ -84,7 +84,7 @@ def op8_simhash(spark, d):
 @register
 def op9_mixing(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"), TARGET_WEIGHTS)
-    return mixed.select("doc_id", "source", "mix_source", "block", "release", "deadline", "slot", "place", "on_target")
+    return mixed.select("doc_id", "source", "mix_source", "target", "block", "release", "deadline", "slot", "place", "on_target")
 
 
 @register

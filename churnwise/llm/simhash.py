@@ -178,11 +178,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id
-    (a repeated id stays once); rows without an id are kept."""
-    near = near_duplicates(docs, id_col, text_col, size, radius)
-    stay = near.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    # the rows of a repeated id are ranked by content; both steps use the join's partitioning
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    ranked = docs.join(stay, id_col, "left_semi").select("*", F.row_number().over(first).alias(RANK))
-    return ranked.where(F.col(RANK) == 1).drop(RANK).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stay: of each component the one with the smallest id; rows without
+    an id are kept.
+
+    Rows are told apart by id and text: a row under a repeated id stays if its own text has no
+    near duplicate under a smaller id, and of several rows of one component with the smallest id, or
+    of repeated rows, one stays.  Empty and null texts are near duplicates of each other; texts of any
+    length are read whole; an empty table gives no row; other columns are kept, whatever their names.
+    """
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    keyed = docs.select(F.when(F.col(id_col).isNotNull(), row).alias("key"), F.col(text_col).alias("words"))
+    near = near_duplicates(keyed, "key", "words", size, radius)
+    stay = near.where(F.col("id") == F.col("component")).select(F.col("id").alias(RANK)).distinct()
+    held = docs.select("*", F.when(F.col(id_col).isNotNull(), row).alias(RANK))
+    # equal rows are ranked by content; both steps use the join's partitioning
+    first = Window.partitionBy(RANK).orderBy(F.xxhash64(*docs.columns))
+    number = f"{RANK}_number"
+    ranked = held.join(stay, RANK, "left_semi").select("*", F.row_number().over(first).alias(number))
+    return ranked.where(F.col(number) == 1).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

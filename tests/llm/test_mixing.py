@@ -1,5 +1,7 @@
 """Mixing: Pfair windows, deviation, whole results."""
 
+from fractions import Fraction
+
 import pytest
 
 from churnwise.llm import mixing
@@ -78,3 +80,54 @@ def test_named_sources_and_the_rest():
     assert set(mixing.own_weights({}, counts)) == set(counts)
     many = mixing.slots_per_period(mixing.own_weights({"rest": 1.0}, {str(i): 1 + 9 * (i % 2) for i in range(3000)}))
     assert many["1"] > many["0"]
+
+
+def test_exact_weights_over_a_million_slots():
+    """Twenty sources with a hot one: each is less than one block from its exact weight after any slot."""
+    weights = {"s%02d" % i: w for i, w in enumerate([0.3371, *[round(0.0211 + 0.0013 * i, 4) for i in range(19)]])}
+    n = 1_000_000
+    target = mixing.target_weights(weights, dict.fromkeys(weights, 1))
+    assert sum(target.values()) == 1
+    assert all(target[s] == Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for s, w in weights.items())
+    rows = mixing.schedule_blocks(target, {s: int(w * n) for s, w in target.items()})
+    done, worst = dict.fromkeys(weights, 0), 0.0
+    exact = {s: (w.numerator, w.denominator) for s, w in target.items()}
+    for at, (s, j, release, deadline, slot) in enumerate(rows):
+        if slot != at:  # a source has run out
+            break
+        assert done[s] == j and release <= slot < deadline
+        done[s] += 1
+        a, b = exact[s]
+        worst = max(worst, abs(done[s] * b - (slot + 1) * a) / b)
+        if at % 997 == 0:
+            assert all(abs(done[k] * d - (slot + 1) * c) < d for k, (c, d) in exact.items())
+    assert at > 0.999 * n and worst < 1
+
+
+def test_weights_as_written():
+    assert mixing.target_weights({"a": 0.3, "b": 0.1, "rest": 0.6}, {"a": 5, "b": 5, "c": 5, "d": 5}) == {
+        "a": Fraction(3, 10), "b": Fraction(1, 10), "c": Fraction(3, 10), "d": Fraction(3, 10)}
+    assert mixing.target_weights({}, {}) == {}
+
+
+def test_registered_query_shows_the_weights(spark):
+    from churnwise.llm.queries import QUERIES
+    from conftest import SF_SMALL
+    rows = QUERIES["op9_mixing"](spark, SF_SMALL).collect()
+    assert len(rows) == len({r["place"] for r in rows}) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    target = {r["mix_source"]: r["target"] for r in rows}
+    assert sum(target.values()) == pytest.approx(1)
+    blocks = {s: set() for s in target}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        assert r["release"] <= r["slot"] < r["deadline"]
+        if r["on_target"]:
+            blocks[r["mix_source"]].add(r["block"])
+            assert all(abs(len(b) - (r["slot"] + 1) * target[s]) < 1 + 1e-9 for s, b in blocks.items())
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    df = spark.createDataFrame([(i, "s%d" % i) for i in range(4)], "doc_id long, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(df, {"rest": 1.0})
+    assert mixing.mix(df.where("doc_id < 3"), {"rest": 1.0}).count() == 3

@@ -6,7 +6,7 @@ from test_simhash import plain
 from test_suffix_dedup import brute
 
 import corpus_pipeline
-from churnwise.llm import mixing, packing
+from churnwise.llm import mixing, packing, simhash
 from churnwise.llm.common import written
 from churnwise.llm.queries import TARGET_WEIGHTS, tokenizer
 from conftest import SF_SMALL
@@ -115,21 +115,65 @@ def test_odd_documents(spark):
     assert {str(r["doc_id"]) for r in kept["packing"].collect()} == set(ids)
 
 
-def test_packing_keeps_the_order_of_the_mix(spark):
-    """Sequences are numbered in the order of the mix, however the files with the rows are read."""
+def mixed_documents(spark):
     names = ["src0"] * 9 + ["src%d" % i for i in range(1, 8)]
     data = [(i, "w" * (i % 7 + 1), "en", names[i % len(names)], i % 7 + 1) for i in range(6000)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
-    stored = written(corpus_pipeline.mixing_stage(spark, docs, SF_SMALL).repartition(5))
-    packed = written(corpus_pipeline.packing_stage(spark, stored, SF_SMALL).repartition(3))
+    return names, spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def in_files(spark, df, rows=700):
+    """``df`` written in files of at most ``rows`` rows and read again."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", rows)
+    try:
+        return written(df)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def order_of(packed):
     first = {}
     for r in packed.orderBy("sequence_id").collect():
         first.setdefault(r["doc_id"], len(first))
+    return list(first)
+
+
+def test_packing_keeps_the_order_of_the_mix(spark):
+    """Sequences are numbered in the order of the mix, however the files with the rows are read."""
+    names, docs = mixed_documents(spark)
+    stored = in_files(spark, corpus_pipeline.mixing_stage(spark, docs, SF_SMALL))
+    assert len(stored.inputFiles()) > 5
+    first = order_of(written(corpus_pipeline.packing_stage(spark, stored, SF_SMALL).repartition(3)))
     mixed = mixing.mix(docs, TARGET_WEIGHTS).orderBy("place").collect()
-    assert list(first) == [r["doc_id"] for r in mixed]
+    assert first == [r["doc_id"] for r in mixed]
     counts = {s: sum(r["source"] == s for r in mixed) for s in set(names)}
     share = mixing.slots_per_period(mixing.own_weights(TARGET_WEIGHTS, counts))
     total, target = sum(share.values()), [r["source"] for r in mixed if r["on_target"]]
     for n in range(mixing.BLOCK_ROWS, len(target) * 9 // 10, mixing.BLOCK_ROWS):  # whole blocks only
-        got = [names[d % len(names)] for d in list(first)[:n]]
+        got = [names[d % len(names)] for d in first[:n]]
         assert all(abs(got.count(s) - n * share[s] / total) < mixing.BLOCK_ROWS for s in share)
+
+
+def test_without_mixing_the_order_is_another(spark):
+    _, docs = mixed_documents(spark)
+    stored = in_files(spark, docs.coalesce(1))
+    assert order_of(corpus_pipeline.packing_stage(spark, stored, SF_SMALL)) == list(range(6000))
+
+
+def test_extra_columns_survive(spark):
+    names = ["kept", "place", "block", "n_bytes", "n_removed", "n_spans", "mix_source", "release", "deadline", "slot",
+             "on_target", "target", "row", "key", "keep", "fp", "component", "src", "a b"]
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    docs = written(docs.select("*", *[corpus_pipeline.F.concat(corpus_pipeline.F.lit(n), "doc_id").alias(n) for n in names]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, SF_SMALL))
+        assert after.dtypes == docs.dtypes, name
+        assert after.count() > 0
+        for r in after.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names), name
+        docs = after
+
+
+def test_a_unique_text_under_a_repeated_id_stays(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text of words that nobody else has here"
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b), (None, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([(0, a), (1, a), (2, b)])
