@@ -11,6 +11,7 @@ brute-force version.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,37 +21,52 @@ from churnwise.llm.queries import TARGET_WEIGHTS, section, tokenizer
 from churnwise.sources.bindings import table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, an empty table and
+    extra columns of any name, which it hands on; what becomes of them is told by the operator it calls.
+    """
     out = quality.classify(docs, table(spark, sf_dir, "labels"), *section(docs))
     return out.where("keep").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; rows without an id stay."""
     return simhash.keep_one(docs)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the passages that a document with a smaller id has."""
-    cut = suffix_dedup.remove_repeats(docs, as_text=True)
-    rest = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Every document stays, without the passages that a document with a smaller id has.
+
+    ``n_chars`` is counted anew; the other columns are carried as one struct.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0), *others).alias("row")), as_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the rows come in the order of the mix."""
-    mixed = mixing.mix(docs, TARGET_WEIGHTS)
-    return mixed.orderBy("place").select(*docs.columns)
+    """Every document stays; the rows are written in the order of the mix, which the next stage reads."""
+    mixed = mixing.mix(docs, TARGET_WEIGHTS, as_struct=True).orderBy("place")
+    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed sequence, numbered in the order of the mix.
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` in the order in which its rows were written: by the numbers in the names of Spark's files, then
+    by row.  Spark reads files in any order; a table that comes from no file is taken as it is."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs
+    number = [F.regexp_extract("_file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\.")]
+    return placed.orderBy(*[F.coalesce(n, F.lit(0)) for n in number], "_file", "_row").select(*docs.columns)
 
-    Files are not read in the order of their rows, so the place of a row is derived again: it
-    depends on the rows alone, and the columns of ``documents`` cannot carry it.
-    """
-    ordered = mixing.mix(docs, TARGET_WEIGHTS).orderBy("place").select(*docs.columns)
-    packed = packing.pack(ordered, *tokenizer(), added=True)
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per packed sequence, numbered in the order in which the documents were written."""
+    packed = packing.pack(in_file_order(docs), *tokenizer(), added=True)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
