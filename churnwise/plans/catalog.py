@@ -551,7 +551,7 @@ def q_customer_history(spark, d):
 
 @register("customer_activity", with_ctes(["tx"], """
 SELECT date_trunc('month', transaction_date) AS month, count(*) AS transactions, round(sum(sales_amount), 2) AS sales,
-  sum(transaction_canceled) AS canceled, max(modification_count) AS most_modifications
+  CAST(sum(transaction_canceled) AS BIGINT) AS canceled, max(modification_count) AS most_modifications
 FROM tx WHERE customer_id = (SELECT max(customer_id) FROM tx) GROUP BY 1"""))
 def q_customer_activity(spark, d):
     """B4 + E5: what one customer did per month, from this customer's orders and their lines alone."""
@@ -560,10 +560,10 @@ def q_customer_activity(spark, d):
 
 
 @register("order_time_quantiles", """
-SELECT o_orderpriority AS service_category, p,
-  round(quantile_cont(epoch(CAST(o_orderdate AS TIMESTAMP)), p), 6) AS value
-FROM orders, (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS p)
-WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority, p""")
+SELECT service_category, p, round(value, 6) AS value FROM (
+  SELECT o_orderpriority AS service_category, unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS p,
+    unnest(quantile_cont(epoch(CAST(o_orderdate AS TIMESTAMP)), [0.01, 0.25, 0.5, 0.75, 0.99])) AS value
+  FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority)""")
 def q_order_time_quantiles(spark, d):
     """D17 over seconds since 1970, a narrow band for logarithmic bins."""
     rows = bindings.table(spark, d, "orders").select(
