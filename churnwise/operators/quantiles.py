@@ -11,15 +11,15 @@ exact answer takes two passes over the rows:
    number of rows.
 2. Rows of the wanted bins (about n / BINS_PER_E of a group's rows) are counted per distinct
    value.  Values in a narrow band (times of a few days, ids near a thousand million) can all
-   lie in one bin, so the counts of a wanted bin are summed again over ``LINEAR_BINS`` equal
+   lie in one bin; with ``narrow`` the counts of a wanted bin are summed again over ``LINEAR_BINS`` equal
    stretches between its smallest and largest value, and a running sum over these finds the
    stretch of the wanted rank.  A bin spans a factor of about 1 + 1 / BINS_PER_E, so a
    stretch has at most about 7 million doubles, and far fewer unless they are neighbours.
-3. A running sum over the values of that stretch gives x[j] and x[j+1], which are interpolated
+3. A running sum over the values of that bin or stretch gives x[j] and x[j+1], which are interpolated
    linearly (x[j] + (p(n-1) - j) * (x[j+1] - x[j]), the usual "type 7" definition).
 
-The counts of step 2 are exchanged once and read twice.  No task sorts more than the bins, the
-stretches or the values of one stretch of a group, however many rows and distinct values it has.
+With ``narrow`` no task sorts more than the bins, the stretches or the values of one stretch of a group,
+however many rows and distinct values it has.
 
 Nulls and NaN are skipped; without any value the quantiles are null.  ``exact=False``
 returns the values of a sketch instead.
@@ -96,7 +96,7 @@ def _in_stretch(counts: DataFrame, by: Sequence[str], broadcast: bool = True) ->
 
 
 def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str], moments: bool,
-            broadcast: bool) -> DataFrame:
+            broadcast: bool, narrow: bool = False) -> DataFrame:
     v = F.col("_v")
     vals = (df.select(*by, F.col(col).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
             .withColumn("_bin", value_bin(v)))
@@ -109,7 +109,7 @@ def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str],
     keys = [*by, "_bin"]
     carried = [c for c in targets.columns if c not in keys]
     counts = vals.join(targets, keys).groupBy(*keys, *carried, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    counts = _in_stretch(counts, by, broadcast)
+    counts = _in_stretch(counts, by, broadcast) if narrow else counts
     one = Window.partitionBy(*by, "_i")
     upto = F.col("_before") + F.sum("_k").over(one.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counts.withColumn("_upto", upto)
@@ -127,9 +127,13 @@ def _picked(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str],
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, broadcast: bool = True) -> DataFrame:
+              exact: bool = True, accuracy: int = DEFAULT_ACCURACY, broadcast: bool = True, narrow: bool = False) -> DataFrame:
     """One row per group and probability: ``(*by, p, value)``; nulls and NaN are skipped.
 
+    Pass ``narrow`` for columns whose values lie in a narrow band (times, ids): the values of a wanted
+    bin are then told apart by stretches (step 2 above), which costs another pass over the rows of the bin.
+    The result is the same without it; one task then sorts the distinct values of a wanted bin.
+
     Without ``by`` there is a row per probability even when there are no values.  The
     wanted bins (groups times probabilities) are broadcast so that no row is exchanged
     before it is counted; beyond ``BROADCAST_TARGETS`` of them pass ``broadcast=False``,
@@ -140,7 +144,7 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     if not probs or any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     if exact:
-        picked = _picked(df, col, probs, by, False, broadcast).select(*by, "_i", "p", "value")
+        picked = _picked(df, col, probs, by, False, broadcast, narrow).select(*by, "_i", "p", "value")
     else:
         v = F.col(col).cast("double")
         vals = df.select(*by, v.alias("_v")).where(~F.isnan(v) & v.isNotNull())

@@ -568,7 +568,7 @@ def q_order_time_quantiles(spark, d):
     """D17 over seconds since 1970, a narrow band for logarithmic bins."""
     rows = bindings.table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("service_category"), F.unix_timestamp("o_orderdate").cast("double").alias("at"))
-    return rounded(quantiles(rows, "at", [0.01, 0.25, 0.5, 0.75, 0.99], by=["service_category"]))
+    return rounded(quantiles(rows, "at", [0.01, 0.25, 0.5, 0.75, 0.99], by=["service_category"], narrow=True))
 
 
 @register("cancel_scatter", with_ctes(["tx"], """

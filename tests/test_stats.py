@@ -163,7 +163,7 @@ def test_quantiles_of_a_narrow_band(spark, low, step):
     df = spark.range(n).select((F.lit(low) + F.col("id") * F.lit(step)).alias("v"), (F.col("id") % 2).alias("g"))
     values = low + np.arange(n) * step
     probs = [0.0, 0.013, 0.5, 0.77, 1.0]
-    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "v", probs, by=["g"]).collect()}
+    got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, "v", probs, by=["g"], narrow=True).collect()}
     for g in (0, 1):
         for p in probs:
             part = values[g::2]
@@ -186,7 +186,7 @@ def test_no_task_sorts_a_narrow_band(spark):
         F.count(F.lit(1)).alias("_k"))
     assert min(q.LINEAR_BINS, counts.count()) < n / 100  # stretches
     assert q._in_stretch(counts, ["g"]).count() < n / 100
-    assert q.quantiles(df, "_v", [0.5], by=["g"]).first()["value"] == 10 ** 9 + (n - 1) / 2
+    assert q.quantiles(df, "_v", [0.5], by=["g"], narrow=True).first()["value"] == 10 ** 9 + (n - 1) / 2
 
 
 def test_many_groups_without_broadcast(spark):
