@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.functions.columns import fill_zero, whole_days
+from churnwise.functions.columns import fill_zero, month, whole_days
 from churnwise.operators.quantiles import quantile_row
 from churnwise.schemas import SEGMENT_LABELS
 
@@ -112,3 +112,14 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     so broadcasting it is safe at any scale.
     """
     return df.crossJoin(F.broadcast(one_row))
+
+
+# D10 by customer --------------------------------------------------------------
+def monthly_amounts(tx: DataFrame, key: str = "customer_id", date: str = "transaction_date",
+                    amount: str = "sales_amount") -> DataFrame:
+    """One row per customer and one column ``yyyy-MM`` per month that occurs: the customer's amount of the month,
+    null where they bought nothing.  The months (one value per calendar month) are read first."""
+    rows = tx.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(
+        key, month(F.col(date)).alias("_month"), F.col(amount).alias("_amount"))
+    months = rows.agg(F.sort_array(F.collect_set("_month"))).first()[0]
+    return rows.groupBy(key).pivot("_month", months).agg(F.sum("_amount"))

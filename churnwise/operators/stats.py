@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnwise.functions.columns import cut, month, numeric_columns, per_unit, round_even
+from churnwise.operators.correlation import wide_correlation
 from churnwise.operators.quantiles import moments_and_median, quantiles
 from churnwise.schemas import AGE_EDGES, AGE_LABELS
 
@@ -166,10 +167,16 @@ def pair_corr(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 # D19 --------------------------------------------------------------------------
+WIDE = 16  # columns beyond which the pairs no longer fit one generated aggregation
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Long form ``(col_a, col_b, corr)`` for every ordered pair, from one
-    aggregation holding the n(n+1)/2 distinct pairs."""
+    aggregation holding the n(n+1)/2 distinct pairs; beyond ``WIDE`` columns
+    from matrix products in the tasks (``correlation.wide_correlation``)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if len(cols) > WIDE:
+        return wide_correlation(df, cols)
     aggs, cells = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):

@@ -346,6 +346,22 @@ def q_correlation_matrix(spark, d):
     return rounded(stats.correlation_matrix(tx(spark, d), CORR_COLUMNS))
 
 
+@register("monthly_correlation", """
+WITH m AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS amount FROM orders
+  WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY ALL),
+k AS (SELECT DISTINCT month FROM m),
+p AS (SELECT x.month AS col_a, y.month AS col_b, corr(x.amount, y.amount) AS c, count(*) AS n
+  FROM m x JOIN m y USING (o_custkey) WHERE x.amount IS NOT NULL AND y.amount IS NOT NULL GROUP BY ALL)
+SELECT a.month AS col_a, b.month AS col_b, round(CASE WHEN n < 2 OR isnan(c) THEN NULL ELSE c END, 6) AS corr
+FROM k a CROSS JOIN k b LEFT JOIN p ON p.col_a = a.month AND p.col_b = b.month""")
+def q_monthly_correlation(spark, d):
+    """D19 over a wide table: do customers who buy much in one month buy much in another?  Every month is a
+    column, mostly null."""
+    orders = bindings.table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    wide = rollups.monthly_amounts(orders, "o_custkey", "o_orderdate", "o_totalprice")
+    return rounded(stats.correlation_matrix(wide, wide.columns[1:]))
+
+
 @register("null_counts", with_ctes(["tx"], "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
     f"{'true' if c == 'cancellation_date' else 'false'} AS allowed FROM tx"
@@ -773,6 +789,43 @@ def q_csv_round_trip(spark, d):
         return finished(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+# What is wrong with a line of the damaged file, by the row's category (null and other categories: nothing)
+_DAMAGE = {"1-URGENT": "bad sales_amount", "2-HIGH": "bad transaction_date", "3-MEDIUM": "malformed row",
+           "4-NOT SPECIFIED": "bad cancellation_date"}
+_CASE = "CASE service_category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _DAMAGE.items()) + " END"
+
+
+@register("csv_quarantine", with_ctes(["tx"], f"""
+SELECT 'transactions' AS table_name, 'read' AS outcome, NULL AS reason,
+  count(*) FILTER (WHERE {_CASE} IS NULL OR {_CASE} = 'bad cancellation_date') AS rows FROM tx
+UNION ALL SELECT 'transactions', 'rejected', {_CASE}, count(*) FROM tx
+  WHERE {_CASE} IS NOT NULL AND {_CASE} <> 'bad cancellation_date' GROUP BY {_CASE}
+UNION ALL SELECT 'transactions', 'nulled', 'bad cancellation_date', count(*) FROM tx
+  WHERE {_CASE} = 'bad cancellation_date' HAVING count(*) > 0
+UNION ALL SELECT 'transactions', 'read otherwise than written', NULL, 0"""))
+def q_csv_quarantine(spark, d):
+    """A1-A3: the transactions written with damaged lines; what is read, rejected by reason, or read as null, and
+    the rows read that differ from the written ones."""
+    from churnwise.sources import io
+    path = scratch_path(spark, "damaged")
+    with kept(tx(spark, d)) as (t,):
+        is_ = {v: F.col("service_category").eqNullSafe(F.lit(k)) for k, v in _DAMAGE.items()}
+        cells = {c: F.col(c).cast("string") for c in t.columns}
+        for c, text in (("sales_amount", "n/a"), ("transaction_date", "2024-13-45"), ("cancellation_date", "unknown")):
+            cells[c] = F.when(is_[f"bad {c}"], F.lit(text)).otherwise(cells[c])
+        line = F.to_csv(F.struct(*[v.alias(c) for c, v in cells.items()]))
+        t.select(F.when(is_["malformed row"], F.concat(line, F.lit(",1"))).otherwise(line).alias("value")).write.text(
+            f"{path}/transactions.csv")
+        got = io.read_checked(spark, path, {"transactions": t.schema}, header=False)["transactions"]
+        lost = is_["bad sales_amount"] | is_["bad transaction_date"] | is_["malformed row"]
+        want = t.where(~lost).withColumn("cancellation_date", F.when(
+            ~is_["bad cancellation_date"], F.col("cancellation_date")))
+        odd = _difference("transactions", want, got.rows).select(
+            "table_name", F.lit("read otherwise than written").alias("outcome"),
+            F.lit(None).cast("string").alias("reason"), F.col("mismatches").alias("rows"))
+        return finished(io.check_summary("transactions", got).unionByName(odd))
+
+
 # ---------------------------------------------------------------------------
 # The quality report in long form
 # ---------------------------------------------------------------------------
@@ -942,6 +995,16 @@ def q_planted_scores(spark, d):
                                                "risk_score"))
 
 
+@register("planted_selected_score", with_ctes(["cu"], f"""
+SELECT customer_id, {_PLANTED} AS predicted_churn, CAST({_PLANTED} AS DOUBLE) AS churn_probability,
+  {_PLANTED} * 100.0::DOUBLE AS risk_score FROM cu WHERE customer_id = (SELECT min(c_custkey) FROM customer)"""))
+def q_planted_selected_score(spark, d):
+    """the picked customer's score by the tree of the planted label."""
+    rows, m = _planted(spark, d)
+    return rounded(model.score_customers(m, rows, [_first_customer(spark, d)]).select(
+        "customer_id", "predicted_churn", "churn_probability", "risk_score"))
+
+
 @register("planted_dashboard_scores", with_ctes(["cu"], f"""
 SELECT customer_id, {_PLANTED} AS predicted_churn, CAST({_PLANTED} AS DOUBLE) AS churn_probability FROM cu"""))
 def q_planted_dashboard_scores(spark, d):

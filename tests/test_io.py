@@ -76,3 +76,51 @@ def test_write_report_text(spark):
     lines = [r[0] for r in spark.read.text(f"{d}/report").collect()]
     assert len(lines) == rep.count()
     assert "shape | transactions.rows | 1500.000000" in lines
+
+
+SCHEMA = "id long, amount double, at timestamp_ntz, note string, cancellation_date timestamp_ntz"
+
+
+def test_quarantine_accounts_for_every_row(spark):
+    from pyspark.sql import types as T
+    d = tempfile.mkdtemp(prefix="cw-bad-")
+    lines = ["id,amount,at,note,cancellation_date", "1,1.5,2024-01-02,ok,", "2,x,2024-01-02,two faults in none,",
+             "3,2.5,2024-99-02,late,", "4,y,2024-99-02,both,", "5,1.0", "6,1.0,2024-01-02,more,,7",
+             "7,1.0,2024-01-02,\"a, quoted\",soon", "", "8,,,,", "1.5,1.0,2024-01-02,no int,"]
+    _write(f"{d}/t.csv/part-0.csv", "\n".join(lines) + "\n")
+    got = io.read_checked(spark, d, {"t": T.StructType.fromDDL(SCHEMA)})["t"]
+    rows = {r["id"]: r for r in got.rows.collect()}
+    assert sorted(rows) == [1, 7, 8]
+    assert rows[7]["note"] == "a, quoted" and rows[7]["cancellation_date"] is None
+    assert rows[8][1:] == (None, None, None, None)
+    rejected = {r["record"]: (r["reason"], r["reasons"]) for r in got.rejected.collect()}
+    assert len(rejected) == 6 and rejected["5,1.0"][0] == io.MALFORMED
+    assert rejected["6,1.0,2024-01-02,more,,7"][0] == io.MALFORMED
+    both = next(v for k, v in rejected.items() if k.startswith("4,"))
+    assert both == ("bad amount", ["bad amount", "bad at"])
+    assert [(r["reason"], r["record"][:2]) for r in got.nulled.collect()] == [("bad cancellation_date", "7,")]
+    counts = {(r["outcome"], r["reason"]): r["rows"] for r in io.check_summary("t", got).collect()}
+    assert counts == {("read", None): 3, ("rejected", "bad amount"): 2, ("rejected", "bad at"): 1,
+                      ("rejected", "bad id"): 1, ("rejected", io.MALFORMED): 2, ("nulled", "bad cancellation_date"): 1}
+    assert got.rows.count() + got.rejected.count() == len([x for x in lines[1:] if x])
+
+
+def test_quarantine_of_an_empty_table(spark):
+    from pyspark.sql import types as T
+    d = tempfile.mkdtemp(prefix="cw-none-")
+    _write(f"{d}/t.csv/part-0.csv", "id,amount,at,note,cancellation_date\n")
+    got = io.read_checked(spark, d, {"t": T.StructType.fromDDL(SCHEMA)})["t"]
+    assert got.rows.count() == got.rejected.count() == got.nulled.count() == 0
+
+
+@pytest.mark.parametrize("bom", [True, False])
+def test_byte_order_mark(spark, bom):
+    d = tempfile.mkdtemp(prefix="cw-bom-")
+    df = spark.createDataFrame([("가", 1.0), ("b", 2.0)], "k string, v double").repartition(2)
+    io.write_tables({"t": df}, d, bom=bom)
+    parts = [f for f in os.listdir(f"{d}/t.csv") if f.startswith("part-")]
+    assert parts
+    for f in parts:
+        with open(f"{d}/t.csv/{f}", "rb") as h:
+            assert h.read().startswith(b"\xef\xbb\xbfk,v") == bom
+    assert sorted(io.read_tables(spark, d, {"t": df.schema})["t"].collect()) == sorted(df.collect())
