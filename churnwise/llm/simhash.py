@@ -20,6 +20,7 @@ BITS = 64
 SEED = 42
 RANK = "rank of a repeated id"
 TEXT_STEP = 1 << 18  # bytes of one text whose words are held at a time
+TASK_FINGERPRINTS = 1 << 13  # distinct fingerprints whose variants one task writes
 TASK_VARIANTS = 1 << 20  # variants one group is planned for
 SORT_VARIANTS = 1 << 19  # variants sorted at once, about; a group with more takes several rounds
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -93,6 +94,8 @@ def similar_links(distinct: DataFrame, radius: int, count: int, key_bits: int |
     small, large = radius // 2, radius - radius // 2
     per_fp = sum(math.comb(BITS, r) for r in range(large + 1))
     groups = max(1, math.ceil(count * per_fp / TASK_VARIANTS))
+    # the few bytes of folded fingerprints would be coalesced into one task, which then writes all variants
+    distinct = distinct.repartition(max(1, math.ceil(count / TASK_FINGERPRINTS)), "fp")
     if key_bits is None:
         key_bits = min(30, max(16, 1 + groups.bit_length()))
     low_bits = BITS - key_bits
