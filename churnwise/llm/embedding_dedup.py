@@ -65,7 +65,9 @@ class Quantiser:
         """Which lists can hold a vector within ``radius``: those whose bisecting plane
         with the own list is no further away than that."""
         square = (self.centroids ** 2).sum(1)[None, :] - 2 * x @ self.centroids.T
-        apart = np.linalg.norm(self.centroids[own][:, None, :] - self.centroids[None, :, :], axis=2)
+        apart = np.empty(square.shape)
+        for o in np.unique(own):  # one list at a time: lists x dim numbers, not rows x lists x dim
+            apart[own == o] = np.linalg.norm(self.centroids - self.centroids[o], axis=1)
         return square - square[np.arange(len(x)), own][:, None] <= 2 * radius * apart + SLACK
 
     def distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
