@@ -62,7 +62,7 @@ def tokenizer() -> tuple[str, str]:
 def op4_packing(spark, d):
     packed = packing.pack(table(spark, d, "documents"), *tokenizer(), added=True)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-                         "sequence_id", "offset")
+                         "sequence_id", "offset", "bucket")
 
 
 @register
