@@ -1005,6 +1005,35 @@ def q_planted_selected_score(spark, d):
         "customer_id", "predicted_churn", "churn_probability", "risk_score"))
 
 
+@register("stream_latest_scores", with_ctes(["cu"], """
+SELECT customer_id, CASE WHEN region = 'ASIA' THEN TIMESTAMP '2024-01-03 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END
+    AS updated_at, CAST(p AS INTEGER) AS predicted_churn, CAST(CAST(p AS INTEGER) AS DOUBLE) AS churn_probability
+FROM (SELECT customer_id, region, coalesce(last_order_days + CASE WHEN region = 'ASIA' THEN 200 ELSE 0 END > 90, false)
+  AS p FROM cu)"""))
+def q_stream_latest_scores(spark, d):
+    """customers arrive, some are corrected, and after a restart outdated versions and repeats of all come
+    late; each customer's newest score once."""
+    from churnwise.streaming import scoring
+    src, sink, log = (scratch_path(spark, n) for n in ("arrivals", "arrival-scores", "arrival-log"))
+    rows, m = _planted(spark, d)
+
+    def arrive(df, day):
+        df.withColumn("updated_at", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp_ntz")).write.mode("append").parquet(src)
+
+    def run():
+        stream = scoring.read_customer_stream(spark, src, spark.read.parquet(src).schema)
+        scoring.start_scoring(m, stream, sink, checkpoint=log).awaitTermination()
+
+    arrive(rows, 2)
+    arrive(rows.where("region = 'ASIA'").withColumn("last_order_days", F.col("last_order_days") + 200), 3)
+    run()
+    arrive(rows.withColumn("last_order_days", F.lit(0).cast(rows.schema["last_order_days"].dataType)), 1)
+    arrive(rows, 2)
+    run()
+    return rounded(scoring.latest_scores(spark.read.parquet(sink)).select(
+        "customer_id", "updated_at", "predicted_churn", "churn_probability"))
+
+
 @register("planted_dashboard_scores", with_ctes(["cu"], f"""
 SELECT customer_id, {_PLANTED} AS predicted_churn, CAST({_PLANTED} AS DOUBLE) AS churn_probability FROM cu"""))
 def q_planted_dashboard_scores(spark, d):

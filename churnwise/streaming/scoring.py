@@ -12,6 +12,7 @@ import os
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -43,3 +44,18 @@ def start_scoring(model: PipelineModel, stream: DataFrame, sink_dir: str, name:
               .option("path", sink_dir).option("checkpointLocation", ckpt).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def latest_scores(scores: DataFrame, key: str = "customer_id", at: str = "updated_at") -> DataFrame:
+    """Of the scored rows of each ``key`` the one with the newest ``at``, all columns.
+
+    Arrivals may repeat, be corrected later or come late: the sink of ``start_scoring`` holds every arrival once
+    (its log makes a restarted batch write nothing twice), and this reads one row per customer from it.  So no
+    arrival is too late, no state is held however many customers there are, and the rows of a customer with many
+    corrections are combined before the shuffle.  Null ``at`` is the oldest; of different rows with the same
+    ``at`` one is chosen by content, the same in every run; rows without a key are left out.
+    """
+    names = scores.columns
+    newest = F.max_by(F.struct(*names), F.struct(F.col(at).alias("at"), F.xxhash64(*names).alias("tie")))
+    return scores.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        newest.alias("newest")).select("newest.*")
