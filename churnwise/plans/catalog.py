@@ -963,6 +963,59 @@ def q_shap_adds_up(spark, d):
         F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(off, F.lit(True))).alias("mismatches"))
 
 
+@register("shap_agrees", with_ctes(["cu"], "SELECT count(*) AS rows, 0::BIGINT AS mismatches FROM cu"))
+def q_shap_agrees(spark, d):
+    """the attributions from expressions are those of the recursion, to 1e-9."""
+    from churnwise.operators import explain
+    m, rows = fitted_model(spark, d), cu(spark, d)
+    a, b = explain.shap_values(m, rows), explain.shap_expressions(m, rows)
+    cells = F.array(*[c for c in a.columns if c != "customer_id"])
+    both = a.select("customer_id", cells.alias("a")).join(b.select("customer_id", cells.alias("b")), "customer_id", "left")
+    off = F.exists(F.zip_with("a", "b", lambda x, y: F.abs(x - y) > 1e-9), lambda v: F.coalesce(v, F.lit(True)))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(off, F.lit(True))).alias("mismatches"))
+
+
+@register("exact_root_split", with_ctes(["cu"], f"""
+ENC AS (SELECT {_ENC_SQL}, churn FROM cu),
+WT AS (SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (WHERE churn = 0)) AS w0,
+        count(*) / (2.0::DOUBLE * count(*) FILTER (WHERE churn = 1)) AS w1 FROM ENC),
+LNG AS (UNPIVOT ENC ON age, total_spent, total_orders, avg_order_value, last_order_days, support_tickets,
+        subscription_type_encoded, customer_type_encoded, region_encoded INTO NAME feature VALUE v),
+VALS AS (SELECT feature, v, CAST(count(*) FILTER (WHERE churn = 0) AS BIGINT) AS n0,
+        CAST(count(*) FILTER (WHERE churn = 1) AS BIGINT) AS n1 FROM LNG GROUP BY feature, v),
+PRE AS (SELECT feature, v, lead(v) OVER o AS nxt, sum(n0) OVER o AS l0, sum(n1) OVER o AS l1,
+        sum(n0) OVER (PARTITION BY feature) AS t0, sum(n1) OVER (PARTITION BY feature) AS t1
+      FROM VALS WINDOW o AS (PARTITION BY feature ORDER BY v)),
+SPL AS (SELECT feature, (v + nxt) / 2 AS threshold, CAST(l0 AS BIGINT) AS l0, CAST(l1 AS BIGINT) AS l1,
+        CAST(t0 AS BIGINT) AS zeros, CAST(t1 AS BIGINT) AS ones,
+        l1 * w1 * l1 * w1 / (l0 * w0 + l1 * w1) + (t1 - l1) * w1 * (t1 - l1) * w1 / ((t0 - l0) * w0 + (t1 - l1) * w1) AS score
+      FROM PRE, WT WHERE nxt IS NOT NULL AND l0 + l1 >= 10 AND t0 + t1 - l0 - l1 >= 10)
+SELECT feature, round(threshold, 6) AS threshold, zeros, ones, l0 AS zeros_left, l1 AS ones_left
+FROM SPL ORDER BY score DESC, feature, threshold LIMIT 1"""))
+def q_exact_root_split(spark, d):
+    """F8: the best first split of the churn label over every midpoint of all nine features."""
+    from churnwise.operators import exact_tree
+    from churnwise.schemas import FEATURES
+    rows = rounded(model.encode_features(cu(spark, d)).select(*FEATURES, "churn"), total_spent=2)
+    nodes = exact_tree.exact_splits(rows, params=TreeParams(max_depth=1))
+    left = nodes.select(F.col("node").alias("left"), F.col("zeros").alias("zeros_left"), F.col("ones").alias("ones_left"))
+    return rounded(nodes.where("feature IS NOT NULL").join(left, "left").select(
+        "feature", "threshold", "zeros", "ones", "zeros_left", "ones_left"))
+
+
+@register("exact_planted_scores", with_ctes(["cu"], """
+SELECT customer_id, CAST(p AS INTEGER) AS predicted_churn, CAST(CAST(p AS INTEGER) AS DOUBLE) AS churn_probability,
+  CAST(p AS INTEGER) * 100.0::DOUBLE AS risk_score
+FROM (SELECT customer_id, coalesce(last_order_days > 90 AND total_spent > 100000, false) AS p FROM cu)"""))
+def q_exact_planted_scores(spark, d):
+    """F8: a label of two limits is learned without a fault from candidate bins that hit neither."""
+    from churnwise.operators import exact_tree
+    rows = cu(spark, d).drop("churn_probability").withColumn(
+        "planted", flag((F.col("last_order_days") > PLANTED_DAYS) & (F.col("total_spent") > 100000)))
+    m = exact_tree.train_exact_tree(rows, "planted", TreeParams(max_depth=4, min_leaf=1), min_split=2, bins=16)
+    return rounded(model.score(m, rows).select("customer_id", "predicted_churn", "churn_probability", "risk_score"))
+
+
 @register("importance_adds_up", with_ctes(["cu"], """
 SELECT 9::BIGINT AS features, true AS sums_to_one, true AS in_order"""))
 def q_importance_adds_up(spark, d):

@@ -108,6 +108,22 @@ def test_shap_additive_and_exact(spark, fitted, data):
     assert len(top) == 3 and top[0]["mean_abs_shap"] >= top[-1]["mean_abs_shap"]
 
 
+def test_shap_without_python(fitted, data):
+    """Expressions give what the recursion gives, in a plan without a Python node; NaN and a tree of one leaf too."""
+    odd = data.withColumn("total_spent", F.when(F.col("customer_id") % 7 == 0, float("nan")).otherwise(F.col("total_spent")))
+    one_leaf = model.train_tree(data, params=TreeParams(max_depth=0))
+    for m, rows in ((fitted, odd), (one_leaf, data)):
+        a, b = explain.shap_values(m, rows), explain.shap_expressions(m, rows)
+        assert a.columns == b.columns and a.dtypes == b.dtypes
+        names = [c for c in a.columns if c != "customer_id"]
+        both = a.join(b.select("customer_id", *[F.col(c).alias(f"_{c}") for c in names]), "customer_id")
+        off = both.select(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in names]).alias("off"))
+        n, most = off.agg(F.count("off"), F.max("off")).first()
+        assert n == data.count() and most < 1e-12
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_recovery_beats_majority(spark, data):
     train, test = model.stratified_split(data)
     m = model.train_tree(train, params=TreeParams(max_depth=10, min_leaf=10))
