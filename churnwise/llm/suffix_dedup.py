@@ -10,17 +10,17 @@ verified byte by byte.  Only suffixes that can matter are sorted:
 * Each string of ``length`` bytes contains one anchor, its ``gram`` of smallest hash.
   Consecutive strings with the same anchor form a run; equal strings have equal anchors at
   equal places.  (1) The blocks learn which of their anchors occur elsewhere.  (2) Runs
-  around such anchors are grouped; of equal runs all but those of the smallest id are
-  removed.  (3) Runs that share an anchor but differ are cut into what they have in common
-  by suffix sorting: their bytes right of the anchor and, reversed, left of it.  (4) Each
-  block applies what it has learnt.
-
-All hashes are 64 bits; runs are taken as equal when the 64-bit hash of all their bytes
-agrees in a group of one anchor.  The groups are dealt by anchor over as many buckets as
-the input needs.  Copies of a run within a block count once, so a passage of any frequency
-sends a row per block.  An anchor with many different surroundings (a passage common to
-very many documents) is taken out of (2): each of its strings travels by its own hash,
-once per block.
+  around such anchors are grouped with their bytes.  Of equal runs all but those of the
+  smallest id are removed; runs that share an anchor but differ are cut into what they have
+  in common by suffix sorting: their bytes right of the anchor and, reversed, left of it.
+  (3) Each block applies what it has learnt.
+
+All hashes are 64 bits and only say what to compare: within a block and within a group, runs
+of equal hash are compared byte by byte with one of them, and those that differ are treated
+as other runs, so no byte is removed on a hash alone.  The groups are dealt by anchor over as
+many buckets as the input needs.  Copies of a run within a block count once, so a passage of
+any frequency sends a row per block.  Of an anchor with many different surroundings (a
+passage common to very many documents) each string travels by its own hash, once per block.
 """
 
 from __future__ import annotations
@@ -140,6 +140,41 @@ def block_runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, usable: np
     return Runs(*(np.concatenate(c) for c in zip(*out)))
 
 
+def equal_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (at least 8) from ``one`` are those from ``other``, eight at a time; the last eight
+    may overlap the ones before."""
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,))  # the eight bytes from each place
+    same = np.ones(len(one), bool)
+    for at in range(0, int(size.max(initial=0)), 8):
+        here = np.minimum(at, size - 8)
+        same &= words[one + here] == words[other + here]
+    return same
+
+
+def verified_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: tuple, doc: np.ndarray
+                     ) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each run, its run of smallest id): runs are of one class if all of ``keys``, the last of which is the
+    hash of their bytes, agree and so do their bytes.  Runs whose hash alone agrees make classes of their own."""
+    *keys, content = keys
+    while True:
+        order = np.lexsort((doc, content, *keys))
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in (content, *keys):
+            new[1:] |= k[order][1:] != k[order][:-1]
+        class_of = np.empty(len(order), np.int64)
+        class_of[order] = np.cumsum(new) - 1
+        one = order[new]
+        rest = np.flatnonzero(one[class_of] != np.arange(len(order)))
+        head = one[class_of[rest]]
+        differ = rest[(size[rest] != size[head])
+                      | ~equal_bytes(data, start[rest], start[head], np.minimum(size[rest], size[head]))]
+        if not len(differ):
+            return class_of, one
+        content = content.copy()
+        content[differ] = _mixed(content[differ] + np.uint64(1))  # a collision: another class, verified in turn
+
+
 # --- suffix sorting -------------------------------------------------------------------------
 
 
@@ -282,6 +317,48 @@ def removable(data: np.ndarray, group: np.ndarray, doc: np.ndarray, count: np.nd
     return mask
 
 
+def _every_string(count: np.ndarray) -> np.ndarray:
+    """The mask of all strings of runs of ``count`` strings, 1 to 64."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - count).astype(np.uint64)
+
+
+def repeated_strings(data: np.ndarray, key: np.ndarray, content: np.ndarray, doc: np.ndarray, common: np.ndarray,
+                     count: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each run a bit mask of its strings that also occur in a run of the same ``key`` with a smaller document id.
+
+    Of equal runs, compared byte by byte, those of the smallest id are left; what these share with the key's other
+    runs is found by sorting suffixes.  ``common`` strings and runs are different groups even where their keys are equal."""
+    size = count + length - 1
+    start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+    class_of, one = verified_classes(data, start, size, (common, key, content), doc)
+    again = doc > doc[one][class_of]
+    mask = np.where(again, _every_string(count), np.uint64(0))
+    rest = np.flatnonzero(~again)
+    rest = rest[np.lexsort((doc[rest], key[rest], common[rest]))]
+    first, many = _groups(key[rest], common[rest])
+    # a group of one document has nothing to give
+    last = first + many - 1
+    rest = rest[np.repeat(doc[rest][first] < doc[rest][last], many)]
+    first, many = _groups(key[rest], common[rest])
+    group = np.repeat(np.arange(len(first)), many)
+    end = np.cumsum(size[rest])
+    for a, b in _chunks(group, end):
+        part = rest[a:b]
+        from_ = np.concatenate(([0], np.cumsum(size[part])[:-1])).astype(np.int64)
+        bytes_ = data[np.arange(int(size[part].sum())) - np.repeat(from_ - start[part], size[part])]
+        mask[part] = removable(bytes_, group[a:b], doc[part], count[part], offset[part], length)
+    return mask
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, how many) of rows sorted by ``keys``."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return runs(np.cumsum(new))
+
+
 # --- blocks ---------------------------------------------------------------------------------
 
 
@@ -303,13 +380,8 @@ class Block:
         self.codes, self.code_of = np.unique(self.code, return_inverse=True)
         self.doc = self.ids[self.runs.doc]
         # classes of equal runs: their code, smallest id and one run that has it
-        order = np.lexsort((self.doc, self.runs.content, self.code))
-        code, content = self.code[order], self.runs.content[order]
-        new = np.concatenate(([True], (code[1:] != code[:-1]) | (content[1:] != content[:-1]))) if len(order) \
-            else np.empty(0, bool)
-        self.class_of = np.empty(len(order), np.int64)
-        self.class_of[order] = np.cumsum(new) - 1
-        self.one = order[new]
+        self.class_of, self.one = verified_classes(self.data, self.runs.place, self.runs.count + (length - 1),
+                                                   (self.code, self.runs.content), self.doc)
         self.class_code = self.code_of[self.one]
         self.class_doc = self.doc[self.one]
 
@@ -318,7 +390,8 @@ class Block:
         return np.bincount(self.class_code, minlength=len(self.codes)) > COMMON_SURROUNDINGS
 
     def status(self, found: list | None) -> np.ndarray:
-        """0, 1 (occurs in two documents) or 2 (common) of each code, after pass 1."""
+        """0, 1 (occurs in another block, or with different runs of two documents here) or 2 (common) of each code,
+        after pass 1."""
         out = np.zeros(len(self.codes), np.uint8)
         bucket = (self.codes >> np.uint64(32)).astype(np.int64)
         for r in found or []:
@@ -329,7 +402,8 @@ class Block:
             high = np.full(len(out), np.iinfo(np.int64).min)
             np.minimum.at(low, self.code_of, self.doc)
             np.maximum.at(high, self.code_of, self.doc)
-            out = np.maximum(out, (low < high).astype(np.uint8))
+            several = np.bincount(self.class_code, minlength=len(out)) > 1
+            out = np.maximum(out, ((low < high) & several).astype(np.uint8))
         return out
 
     def bytes_of(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -454,9 +528,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = table.drop("size")
 
     def each_block(batches):
-        """(block number, Block, what pass 1, 2 and 3 told it) of each row."""
+        """(block number, Block, what pass 1 and 2 told it) of each row."""
         for batch in batches:
-            told = [batch.column(c) if c in batch.schema.names else None for c in ("one", "two", "three")]
+            told = [batch.column(c) if c in batch.schema.names else None for c in ("one", "two")]
             for at in range(batch.num_rows):
                 b = Block(batch.column("data")[at].as_buffer(), id_col, text_col, buckets, length, gram)
                 yield (batch.column("block")[at].as_py(), b,
@@ -493,57 +567,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = written(table.mapInArrow(anchors, schema1).groupBy("bucket").applyInArrow(occur, schema2))
     with_one = table.join(learnt(one, "one"), "block", "left")
 
-    # pass 2: equal runs around shared anchors
-    schema3, kinds3 = _fields("bucket:int block:long key:binary content:binary doc:binary number:binary")
+    # pass 2: equal runs around one anchor, and what differing ones have in common
+    schema3, kinds3 = _fields("bucket:int block:long key:binary content:binary doc:binary number:binary common:binary "
+                              "count:binary offset:binary data:binary")
 
     def shared_runs(batches):
-        for number, b, one, *_ in each_block(batches):
+        for number, b, one, _ in each_block(batches):
             status = b.status(one)
             mine = np.flatnonzero(status[b.class_code] == 1)
-            code = b.codes[b.class_code[mine]]
-            yield _batch([(k, number, *(c.tobytes() for c in cols)) for k, *cols in _split(
-                (code >> np.uint64(32)).astype(np.int32), code.astype("<u4"), b.runs.content[b.one[mine]],
-                b.class_doc[mine], mine.astype("<u4"))], schema3, kinds3)
-
-    schema4, kinds4 = _fields("block:long same:binary differ:binary")
-
-    def equal_runs(t: pa.Table) -> pa.Table:
-        key, content, doc, number = _arrays(t, key="<u4", content="<u8", doc="<i8", number="<u4")
-        owner = _owners(t, "key", 4)
-        order = np.lexsort((doc, content, key))
-        key, content, doc, number, owner = (c[order] for c in (key, content, doc, number, owner))
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new = new_key | np.concatenate(([True], content[1:] != content[:-1]))
-        start, many = runs(np.cumsum(new))
-        same = doc > np.repeat(doc[start], many)
-        of = np.cumsum(new_key) - 1
-        first = np.flatnonzero(new_key)
-        kinds = np.bincount(of, weights=new)
-        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        differ = ((kinds > 1) & several)[of] & ~same
-        by = np.argsort(owner, kind="stable")
-        blocks_of, rows = t.column("block").to_pylist(), []
-        for i, n, s, d in _split(owner[by], number[by], same[by], differ[by]):
-            if s.any() or d.any():
-                rows.append((blocks_of[i], n[s].tobytes(), n[d].tobytes()))
-        return pa.Table.from_batches([_batch(rows, schema4, kinds4)])
-
-    two = written(with_one.mapInArrow(shared_runs, schema3).groupBy("bucket").applyInArrow(equal_runs, schema4))
-    with_two = with_one.join(learnt(two, "two"), "block", "left")
-
-    # pass 3: what differing runs around one anchor have in common
-    schema5, kinds5 = _fields("bucket:int block:long key:binary doc:binary number:binary common:binary count:binary "
-                              "offset:binary data:binary")
-
-    def differing_runs(batches):
-        for number, b, one, two, _ in each_block(batches):
-            status = b.status(one)
-            found = [np.frombuffer(r["differ"], "<u4") for r in two]
-            mine = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
             run = b.one[mine]
             _, _, _, place, lowest, hashes = b.common_strings(status)
             key = np.concatenate((b.runs.anchor[run], hashes))
-            parts = (key, np.concatenate((b.class_doc[mine], lowest)),
+            parts = (key, np.concatenate((b.runs.content[run], hashes)), np.concatenate((b.class_doc[mine], lowest)),
                      np.concatenate((mine, np.arange(len(place)))).astype("<u4"),
                      np.repeat(np.array([0, 1], np.uint8), [len(mine), len(place)]),
                      np.concatenate((b.runs.count[run], np.ones(len(place), np.int64))).astype(np.uint8),
@@ -553,50 +588,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.argsort(bucket, kind="stable")
             rows = []
             for k, where, *cols in _split(bucket[order], from_[order], *(p[order] for p in parts)):
-                piece = b.bytes_of(where, cols[4].astype(np.int64) + length - 1)
+                piece = b.bytes_of(where, cols[5].astype(np.int64) + length - 1)
                 rows.append((k, number, *(c.tobytes() for c in cols), piece.tobytes()))
-            yield _batch(rows, schema5, kinds5)
+            yield _batch(rows, schema3, kinds3)
 
-    schema6, kinds6 = _fields("block:long number:binary common:binary mask:binary")
+    schema4, kinds4 = _fields("block:long number:binary common:binary mask:binary")
 
-    def cut(t: pa.Table) -> pa.Table:
-        key, doc, number, common, count, offset, data = _arrays(
-            t, key="<u8", doc="<i8", number="<u4", common=np.uint8, count=np.uint8, offset=np.uint8, data=np.uint8)
+    def repeated(t: pa.Table) -> pa.Table:
+        key, content, doc, number, common, count, offset, data = _arrays(
+            t, key="<u8", content="<u8", doc="<i8", number="<u4", common=np.uint8, count=np.uint8, offset=np.uint8,
+            data=np.uint8)
         owner = _owners(t, "key", 8)
-        count, offset = count.astype(np.int64), offset.astype(np.int64)
-        start = np.concatenate(([0], np.cumsum(count + length - 1)[:-1])).astype(np.int64)
-        order = np.lexsort((key, common))
-        size = count[order] + length - 1
-        first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-        data = data[np.arange(int(size.sum())) - np.repeat(first - start[order], size)]
-        # common strings and runs are different groups even where their keys are equal
-        group = np.cumsum(np.concatenate(([True], (key[order][1:] != key[order][:-1])
-                                          | (common[order][1:] != common[order][:-1]))))
-        mask = np.empty(len(key), np.uint64)
-        for a, b in _chunks(group, first + size):
-            part = order[a:b]
-            mask[part] = removable(data[first[a]:first[b - 1] + size[b - 1]], group[a:b], doc[part], count[part],
-                                   offset[part], length)
+        mask = repeated_strings(data, key, content, doc, common, count.astype(np.int64), offset.astype(np.int64), length)
         blocks_of, rows = t.column("block").to_pylist(), []
         for i, n, c, m in _split(owner, number, common, mask):
             hit = m > 0
             if hit.any():
                 rows.append((blocks_of[i], n[hit].tobytes(), c[hit].tobytes(), m[hit].tobytes()))
         release_memory()
-        return pa.Table.from_batches([_batch(rows, schema6, kinds6)])
+        return pa.Table.from_batches([_batch(rows, schema4, kinds4)])
 
-    three = written(with_two.mapInArrow(differing_runs, schema5).groupBy("bucket").applyInArrow(cut, schema6))
+    two = written(with_one.mapInArrow(shared_runs, schema3).groupBy("bucket").applyInArrow(repeated, schema4))
 
-    # pass 4: remove
+    # pass 3: remove
     def removed(batches):
-        for _, b, one, two, three in each_block(batches):
-            yield _without(b, b.status(one), two, three, as_text)
+        for _, b, one, two in each_block(batches):
+            yield _without(b, b.status(one), two, as_text)
 
-    return with_two.join(learnt(three, "three"), "block", "left").mapInArrow(
+    return with_one.join(learnt(two, "two"), "block", "left").mapInArrow(
         removed, T.StructType(docs.schema.fields + added))
 
 
-def _without(b: Block, status: np.ndarray, two: list, three: list, as_text: bool) -> pa.RecordBatch:
+def _without(b: Block, status: np.ndarray, two: list, as_text: bool) -> pa.RecordBatch:
     """The rows of a block with their removed bytes, counts and what is kept."""
     r, length = b.runs, b.length
     edge = np.zeros(len(b.data) + 1, np.int64)
@@ -605,19 +628,17 @@ def _without(b: Block, status: np.ndarray, two: list, three: list, as_text: bool
         np.add.at(edge, place, 1)
         np.add.at(edge, place + size, -1)
 
-    whole = np.zeros(len(b.one), bool)
     mask = np.zeros(len(b.one), np.uint64)
     place, doc, kind, one, lowest, _ = b.common_strings(status)
     seen = np.zeros(len(one), bool)
     for row in two:
-        whole[np.frombuffer(row["same"], "<u4")] = True
-    for row in three:
         number, common = np.frombuffer(row["number"], "<u4"), np.frombuffer(row["common"], np.uint8) == 1
         mask[number[~common]] |= np.frombuffer(row["mask"], "<u8")[~common]
         seen[number[common]] = True
     if len(r.place):
         own = status[b.code_of] < 2
         own_class = b.class_of
+        whole = mask == _every_string(r.count[b.one])
         all_of = own & ((b.doc > b.class_doc[own_class]) | whole[own_class])
         cover(r.place[all_of], r.count[all_of] + length - 1)
         some = np.flatnonzero(own & ~all_of & (mask[own_class] > 0))

@@ -151,3 +151,46 @@ def test_kept_text_drops_broken_characters(spark):
     half = spark.createDataFrame([(1, shared + "\u00e9"), (2, shared + "\u00e8"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["kept"] for r in sd.remove_repeats(half, as_text=True).collect()}
     assert got == {1: shared + "\u00e9", 2: "", 3: ""}
+
+
+def test_runs_whose_hashes_collide():
+    """Runs of one hash and other bytes are other classes, and what is removed does not depend on the hashes."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(6)]
+    texts = [texts[i] for i in rng.integers(0, 6, 40)] + [texts[0][:55], texts[0][:55] + b"#####"]
+    size = np.array([len(t) for t in texts])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    doc = rng.permutation(len(texts))
+    nothing = np.zeros(len(texts), np.uint64)
+    class_of, one = sd.verified_classes(data, start, size, (nothing, nothing), doc)
+    for i, t in enumerate(texts):
+        assert texts[one[class_of[i]]] == t and doc[one[class_of[i]]] == min(
+            d for d, u in zip(doc, texts) if u == t)
+    assert len(one) == len(set(texts))
+
+    count, offset = size - 49, np.full(len(texts), 10)  # every string of a run holds the anchor
+    found = [sd.repeated_strings(data, nothing, content, doc, np.zeros(len(texts), np.uint8), count, offset)
+             for content in (nothing, np.array([hash(t) & (2 ** 63 - 1) for t in texts], np.uint64))]
+    assert (found[0] == found[1]).all()
+    for i, t in enumerate(texts):
+        smaller = [texts[j] for j in range(len(texts)) if doc[j] < doc[i]]
+        assert bool(found[0][i] & np.uint64(1)) == any(u[:50] == t[:50] for u in smaller)
+        if t in smaller:
+            assert found[0][i] == (1 << int(count[i])) - 1
+
+
+def test_equal_bytes_to_the_last():
+    data = np.frombuffer(b"abcdefghijklmnopqrst" + b"abcdefghijklmnopqrsX" + b"abcdefgh", np.uint8)
+    one, other = np.array([0, 0, 0, 0]), np.array([20, 20, 40, 0])
+    assert sd.equal_bytes(data, one, other, np.array([20, 19, 8, 20])).tolist() == [False, True, True, True]
+    none = np.empty(0, np.int64)
+    assert sd.equal_bytes(np.empty(0, np.uint8), none, none, none).tolist() == []
+
+
+def test_strings_on_which_the_hashes_are_weak(spark):
+    """Thue-Morse strings and their complements agree in many low bits of a polynomial modulo 2^64."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(512))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    rows = [(1, bits), (2, other), (3, other + bits), (4, bits[7:300]), (5, other[64:] + "c" + bits[:64])]
+    assert run(spark, rows) == brute(rows)
