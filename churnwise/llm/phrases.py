@@ -9,7 +9,8 @@ second scan on, and the circle closes over the shards it missed.
 
 Which phrases have reached the threshold is told to the tasks by a table of bounded size: a byte per
 hash of a phrase, holding the scan in which one with that hash reached it.  Two phrases with one hash
-only make the scans count a phrase that would not have needed it; counts are kept by the phrase itself.
+only make the scans count a phrase that would not have needed it; counts are kept by the phrase itself,
+and a phrase never passes for common before its own subphrases, so each circle is scanned whole.
 
 Before the scans the occurrences of phrases are added up by hash alone, in tables of the same size: first
 those of one and two words, then those of more words whose subphrases may be common.  Where the sum stays
@@ -241,8 +242,8 @@ def count_block(table: pa.Table, seq: np.ndarray, step: int, shards: int, reache
         if len(at):
             first, count = _counted(seq, len(hashes), at, size)
             yield from rows(size, first, hashed, count)
-        known = whole if size == 1 else whole & (since != NEVER)
-        since = np.where(known, reached[slot], NEVER).astype(np.uint8)
+        # a slot can be reached by another phrase before this one is counted, so never before ``since``
+        since = np.where(whole, reached[slot] if size == 1 else np.maximum(since, reached[slot]), NEVER).astype(np.uint8)
 
 
 def _flat(column) -> pa.Array:

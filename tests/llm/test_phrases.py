@@ -95,3 +95,34 @@ def test_each_phrase_is_counted_for_one_circle():
                      for r in b.to_pylist()})
     assert [s.get((2, b"a b")) for s in seen] == [None, None, None, 2, 2, 2, 2, None, None]
     assert [s.get((1, b"a")) for s in seen] == [3, 3, 3, 3, None, None, None, None, None]
+
+
+def test_slot_reached_by_another_phrase_first():
+    """Where the slot of "a b" is reached before its words are, "a b c" still gets its full circle."""
+    import pyarrow as pa
+    units = pa.table({"lang": ["en"] * 3, "word": pa.array([b"a", b"b", b"c"])})
+    seq = np.array([0, 1, 2], np.int32)
+    hashes, mask = phrases._hashes(units), np.uint64(0xFFFF)
+    pairs = next(hashed for size, hashed, _ in phrases.phrase_hashes(seq, hashes, 2) if size == 2)
+    all_possible = np.full((4, 1 << 13), 255, np.uint8)
+    found = []
+    for step in range(9):
+        reached = np.full(1 << 16, phrases.NEVER, np.uint8)
+        for slots, at in ((pairs, 0), (hashes, 2)):  # a scan sees what was reached in the scans before it
+            if at < step:
+                reached[slots & mask] = at
+        found.append([r["n"] for b in phrases.count_block(units, seq, step, 4, reached, all_possible, 4)
+                      for r in b.to_pylist() if r["phrase"] == b"a b c"])
+    assert found == [[], [], [], [1], [1], [1], [1], [], []]
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_rare_words_in_a_crowded_table(spark, seed):
+    """Words that become common scan by scan, beside longer phrases that share their slots."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(r.choice(["en", "de"]), " ".join(r.choices(words, [1 / (i + 1) for i in range(40)], k=r.randrange(5, 40))))
+            for _ in range(60)]
+    got = phrases.collocations(table(spark, rows).repartition(3), block_bytes=200, table_slots=(64, 64),
+                               least=3, covered=80, reported=2000)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 80, 2000)
