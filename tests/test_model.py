@@ -199,3 +199,27 @@ def test_split_without_a_map_of_classes(spark):
     parts = [[sorted(r["customer_id"] for r in part.collect()) for part in model.stratified_split(
         df.drop("_h"), broadcast=b)] for b in (True, False)]
     assert parts[0] == parts[1] and len(parts[0][1]) == pytest.approx(600, abs=3)
+
+
+def test_training_evaluates_its_input_once(spark):
+    """The weights and all passes of the training read written rows, not the plan of the input."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).select(F.col("id").alias("customer_id"), (F.col("id") % 2).alias("churn"),
+                                   *[(F.col("id") % (i + 2)).cast("double").alias(f)
+                                     for i, f in enumerate(schemas.FEATURES)])
+    m = model.train_tree(rows.mapInArrow(counted, rows.schema), params=TreeParams(max_depth=3, min_leaf=1))
+    assert m.stages[-1].numNodes > 1
+    assert seen.value == 300
+
+
+def test_train_evaluate_reads_written_customers(spark, monkeypatch):
+    train, seen = model.train_tree, []
+    monkeypatch.setattr(model, "train_tree", lambda df: seen.append(df.inputFiles()) or train(df))
+    assert catalog.REGISTRY["train_evaluate"].run(spark, "/root/testdata/sf0.001").count() == 5
+    assert seen[0] and all("/finished-" in f for f in seen[0])
